@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, media, packing, pii, quality, secrets, tokens, toxicity
+from . import decontaminate, html, jaccard, media, packing, pii, quality, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_quality_crf": quality.query,
     "op3_secret_scan": secrets.query,
     "op4_token_counts": tokens.query,
+    "op5_html_text": html.query,
     "op6_harmonic_packing": packing.query,
     "op7_benchmark_leaks": decontaminate.query,
     "op8_pii_surrogates": pii.query,
