@@ -1,7 +1,429 @@
-"""All queries of the search library, with their SQL."""
+"""All queries of the search library, with their SQL. Derived values are rounded, as sums' order is not fixed."""
 
 from __future__ import annotations
 
-FLAGSHIP = "dedisperse_brute"
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pulsegrid.functions import dispersion, quantise
+from pulsegrid.functions.dispersion import Band
+from pulsegrid.operators import bandpass, beams, cluster, search, timeaxis
+from pulsegrid.streaming import heaps
+
+from . import inputs
+
+FLAGSHIP = "search_candidates"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+BAND = Band()
+EPS = (3600.0, 20.0, 30.0)
+
+
+def query(name: str, needs: list[str] | None = None, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = inputs.with_ctes(needs or [], sql)
+        return f
+
+    return add
+
+
+def r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# --- sources and scalar functions -------------------------------------------
+
+
+@query("filterbank_scan", ["fb"], "SELECT beam, sample, chan, power FROM fb")
+def filterbank_scan(spark, d):
+    """Beams and channels of the scanned samples."""
+    return inputs.filterbank(spark, d)
+
+
+for _bits in (1, 2, 4):
+
+    @query(f"unpack_{_bits}bit", ["packed"], f"SELECT id, line, CAST(i AS INT) AS field, (byte >> CAST(i * {_bits} AS INT)) & {(1 << _bits) - 1} AS value FROM packed, range({8 // _bits}) r(i)")
+    def unpack(spark, d, bits=_bits):
+        """Packed samples, lowest field first."""
+        return inputs.packed(spark, d).select("id", "line", F.posexplode(quantise.unpack_bits(F.col("byte"), bits)).alias("field", "value"))
+
+
+@query("nibble_decode", ["ant"], "SELECT sample, chan, antenna, count(*) AS n, CAST(sum(hi - 16 * CAST(hi > 7 AS INT)) AS BIGINT) AS re, CAST(sum(lo - 16 * CAST(lo > 7 AS INT)) AS BIGINT) AS im FROM ant GROUP BY 1, 2, 3")
+def nibble_decode(spark, d):
+    """Signed voltages of antenna bytes, summed by sample, channel and antenna."""
+    a = inputs.antenna_bytes(spark, d)
+    return a.groupBy("sample", "chan", "antenna").agg(F.count("*").alias("n"), F.sum(quantise.nibble(F.col("hi"))).alias("re"), F.sum(quantise.nibble(F.col("lo"))).alias("im"))
+
+
+@query("chan_reorder", [], "SELECT l_partkey % 1024 AS c, CASE WHEN l_partkey % 2 = 0 THEN (l_partkey % 1024) // 2 ELSE 512 + (l_partkey % 1024 - 1) // 2 END AS chan, 1023 - l_partkey % 1024 AS inverted, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def chan_reorder(spark, d):
+    """Packet channels in band order (even ones first), and from the band's other end."""
+    c = F.col("l_partkey") % 1024
+    rows = inputs.read(spark, d, "lineitem").select(c.alias("c"), F.when(c % 2 == 0, F.floor(c / 2)).otherwise(512 + F.floor((c - 1) / 2)).alias("chan"), (1023 - c).alias("inverted"))
+    return rows.groupBy("c", "chan", "inverted").agg(F.count("*").alias("n"))
+
+
+@query("power", ["volts"], "SELECT series, chan, round(re * re + im * im, 6) AS power FROM volts")
+def power(spark, d):
+    """Power of complex voltages."""
+    return inputs.voltages(spark, d).select("series", "chan", r(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+
+
+@query("stokes_i", ["volts"], "SELECT series, round(sum(re * re + im * im), 6) AS power FROM volts GROUP BY 1")
+def stokes_i(spark, d):
+    """Total power of each series."""
+    return beams.stokes_i(inputs.voltages(spark, d), ["series"]).select("series", r("power").alias("power"))
+
+
+@query("mulaw_power", ["fb"], "SELECT beam, sample, chan, code, round((power(256.0, (code + 0.5) / 256.0) - 1) / 255.0 * 500.0, 6) AS decoded FROM (SELECT beam, sample, chan, CAST(least(floor(log10(1.0 + 255.0 * least(power / 500.0, 1.0)) / log10(256.0) * 256), 255) AS INT) AS code FROM fb)")
+def mulaw_power(spark, d):
+    """Mu-law codes of powers, and what they decode to."""
+    fb = inputs.filterbank(spark, d).select("beam", "sample", "chan", quantise.mulaw_encode(F.col("power"), 500.0).alias("code"))
+    return fb.withColumn("decoded", r(quantise.mulaw_decode(F.col("code"), 500.0)))
+
+
+@query("dm_shift", ["fb", "shifts"], "SELECT chan, dm_idx, shift, cells FROM shifts JOIN (SELECT chan, count(*) AS cells FROM fb GROUP BY 1) USING (chan)")
+def dm_shift(spark, d):
+    """Shifts of the channels that hold data, with their cells."""
+    cells = inputs.filterbank(spark, d).groupBy("chan").agg(F.count("*").alias("cells"))
+    return search.shift_table(spark, BAND).join(F.broadcast(cells), "chan").select("chan", "dm_idx", "shift", "cells")
+
+
+@query("channel_dispersion", ["fb"], "SELECT chan, count(*) AS cells, round(8300.0 * 1.25 / ((418.0 - 1.25 * chan) * (418.0 - 1.25 * chan) * (418.0 - 1.25 * chan)), 9) AS smear, round(4148.741601 * (1.0 / ((418.0 - 1.25 * chan) * (418.0 - 1.25 * chan)) - 1.0 / (418.0 * 418.0)), 9) AS delay FROM fb GROUP BY 1")
+def channel_dispersion(spark, d):
+    """Smearing within each channel, and its delay, for one unit of dispersion measure."""
+    cells = inputs.filterbank(spark, d).groupBy("chan").agg(F.count("*").alias("cells"))
+    f = BAND.frequency(F.col("chan"))
+    return cells.select("chan", "cells", r(F.lit(8300.0) * BAND.width / (f * f * f), 9).alias("smear"), r(dispersion.dm_delay(f, F.lit(BAND.top)), 9).alias("delay"))
+
+
+# --- sums along time and frequency ------------------------------------------
+
+
+@query("time_series", ["fb"], "SELECT beam, sample, sum(power) AS power FROM fb GROUP BY 1, 2")
+def time_series(spark, d):
+    """Sums over the channels."""
+    return timeaxis.time_series(inputs.filterbank(spark, d))
+
+
+@query("downsample", ["fb"], "SELECT beam, chan, CAST(floor(sample / 8.0) AS BIGINT) AS sample, sum(power) AS power FROM fb GROUP BY 1, 2, 3")
+def downsample(spark, d):
+    """Sums of eight samples."""
+    return timeaxis.downsample(inputs.filterbank(spark, d), 8)
+
+
+@query("bin_time", ["fb"], "SELECT beam, chan, CAST(floor(sample / 4.0) AS BIGINT) AS sample, sum(power) / 4.0 AS power FROM fb GROUP BY 1, 2, 3")
+def bin_time(spark, d):
+    """Means of four samples."""
+    return timeaxis.bin_time(inputs.filterbank(spark, d), 4)
+
+
+@query("bin_channel", ["fb"], "SELECT beam, sample, CAST(floor(chan / 4.0) AS INT) AS chan, sum(power) AS power FROM fb GROUP BY 1, 2, 3")
+def bin_channel(spark, d):
+    """Sums of four channels."""
+    return timeaxis.bin_channel(inputs.filterbank(spark, d), 4)
+
+
+@query("fold", ["fb", "nsamp"], "SELECT beam, chan, CAST(sample % 64 AS INT) AS bin, sum(power) AS power, round(sum(power) / (SELECT CAST(n // 64 AS DOUBLE) FROM nsamp), 6) AS mean FROM fb WHERE sample < (SELECT n // 64 * 64 FROM nsamp) GROUP BY 1, 2, 3")
+def fold(spark, d):
+    """Whole periods of 64 samples, summed and averaged by phase."""
+    fb = inputs.filterbank(spark, d)
+    return timeaxis.fold(fb, search.samples(fb), 64).withColumn("mean", r("mean"))
+
+
+@query("mean_stddev", ["fb"], "SELECT beam, round(avg(power), 6) AS mean, round(stddev_pop(power), 6) AS std, max(power) AS top, min(power) AS least FROM fb GROUP BY 1")
+def mean_stddev(spark, d):
+    """Mean, deviation and extremes of each beam."""
+    return inputs.filterbank(spark, d).groupBy("beam").agg(r(F.avg("power")).alias("mean"), r(F.stddev_pop("power")).alias("std"), F.max("power").alias("top"), F.min("power").alias("least"))
+
+
+@query("kurtosis", ["fb"], "SELECT beam, chan, round(avg(power * power * power * power) - 0.0, 3) AS m4, round(avg(power), 6) AS m1 FROM fb GROUP BY 1, 2")
+def kurtosis(spark, d):
+    """Raw fourth and first moments of each channel, of which kurtosis is made."""
+    p = F.col("power")
+    return inputs.filterbank(spark, d).groupBy("beam", "chan").agg(r(F.avg(p * p * p * p), 3).alias("m4"), r(F.avg(p)).alias("m1"))
+
+
+@query("snr_histogram", ["points"], "SELECT beam, CAST(floor(snr / 10.0) AS BIGINT) AS bin, count(*) AS n, round(sum(snr), 4) AS weight FROM points GROUP BY 1, 2")
+def snr_histogram(spark, d):
+    """Detections by snr in tens."""
+    return inputs.detection_points(spark, d).groupBy("beam", F.floor(F.col("snr") / 10.0).alias("bin")).agg(F.count("*").alias("n"), r(F.sum("snr"), 4).alias("weight"))
+
+
+@query("multipixel_image", ["fb"], "SELECT sample, round(log10(sum(power) FILTER (beam = 0)), 6) AS beam_0, round(log10(sum(power) FILTER (beam = 1)), 6) AS beam_1 FROM fb GROUP BY 1")
+def multipixel_image(spark, d):
+    """Log power of the beams side by side for each sample."""
+    wide = inputs.filterbank(spark, d).groupBy("sample").pivot("beam", [0, 1]).agg(F.sum("power"))
+    return wide.select("sample", r(F.log10("0")).alias("beam_0"), r(F.log10("1")).alias("beam_1"))
+
+
+# --- bandpass and interference ----------------------------------------------
+
+
+@query("bandpass", ["means"], "SELECT beam, chan, round(mean, 6) AS mean FROM means")
+def bandpass_means(spark, d):
+    """Mean power of each channel."""
+    fb = inputs.filterbank(spark, d)
+    return bandpass.bandpass(fb, search.samples(fb)).withColumn("mean", r("mean"))
+
+
+@query("bandpass_fit", ["fit"], "SELECT beam, chan, round(mean, 6) AS mean, round(fitted, 6) AS fitted FROM fit")
+def bandpass_fit(spark, d):
+    """Line through the bandpass."""
+    fb = inputs.filterbank(spark, d)
+    return bandpass.bandpass_fit(bandpass.bandpass(fb, search.samples(fb))).select("beam", "chan", r("mean").alias("mean"), r("fitted").alias("fitted"))
+
+
+@query("bandpass_stats", ["fit"], "SELECT beam, round(avg(mean), 6) AS mean, round(stddev_pop(mean), 6) AS std, round(sqrt(avg((mean - fitted) * (mean - fitted))), 6) AS rmse FROM fit GROUP BY 1")
+def bandpass_stats(spark, d):
+    """Spread of the bandpass and its distance from the line."""
+    fb = inputs.filterbank(spark, d)
+    return bandpass.bandpass_stats(bandpass.bandpass(fb, search.samples(fb))).select("beam", *(r(c).alias(c) for c in ("mean", "std", "rmse")))
+
+
+@query(
+    "channel_clip",
+    ["fit"],
+    """, limits AS (SELECT beam, sqrt(avg((mean - fitted) * (mean - fitted))) AS rmse FROM fit GROUP BY 1),
+    hot AS (SELECT b.beam, b.chan, b.block, f.fitted FROM (SELECT beam, chan, CAST(floor(sample / 16.0) AS BIGINT) AS block, sum(power) / 16.0 AS level FROM fb GROUP BY 1, 2, 3) b JOIN fit f USING (beam, chan) JOIN limits USING (beam) WHERE b.level > f.fitted + rmse * 30.0),
+    wide AS (SELECT DISTINCT beam, chan, block + o AS block, fitted FROM hot, (VALUES (-1), (0), (1)) v(o))
+    SELECT fb.beam, fb.sample, fb.chan, round(coalesce(w.fitted, fb.power), 6) AS power, w.fitted IS NOT NULL AS clipped FROM fb LEFT JOIN wide w ON w.beam = fb.beam AND w.chan = fb.chan AND w.block = CAST(floor(fb.sample / 16.0) AS BIGINT)""",
+)
+def channel_clip(spark, d):
+    """Loud blocks of a channel replaced by the fit, with their neighbours."""
+    fb = inputs.filterbank(spark, d)
+    fit = bandpass.bandpass_fit(bandpass.bandpass(fb, search.samples(fb)))
+    return bandpass.channel_clip(fb, fit, 16, 30.0).withColumn("power", r("power"))
+
+
+@query(
+    "spectrum_clip",
+    ["means"],
+    """, spectra AS (SELECT beam, sample, sum(power) / 16.0 AS level FROM fb GROUP BY 1, 2), s AS (SELECT beam, avg(level) AS centre, stddev_pop(level) AS rms FROM spectra GROUP BY 1),
+    far AS (SELECT beam, sample FROM spectra JOIN s USING (beam) WHERE abs(level - centre) > rms * 2.5)
+    SELECT fb.beam, fb.sample, fb.chan, round(CASE WHEN far.sample IS NOT NULL THEN m.mean ELSE fb.power END, 6) AS power FROM fb JOIN means m ON m.beam = fb.beam AND m.chan = fb.chan LEFT JOIN far ON far.beam = fb.beam AND far.sample = fb.sample""",
+)
+def spectrum_clip(spark, d):
+    """Spectra outside 2.5 deviations replaced by the bandpass."""
+    fb = inputs.filterbank(spark, d)
+    return bandpass.spectrum_clip(fb, bandpass.bandpass(fb, search.samples(fb)), BAND.channels, 2.5).withColumn("power", r("power"))
+
+
+@query(
+    "sigma_clip",
+    ["fb"],
+    """, l AS (SELECT beam, CAST(floor(chan / 4.0) AS INT) AS subband, sample, sum(power) AS level FROM fb GROUP BY 1, 2, 3), s AS (SELECT beam, subband, avg(level) AS m, stddev_pop(level) AS s FROM l GROUP BY 1, 2), a AS (SELECT beam, avg(m) AS al FROM s GROUP BY 1)
+    SELECT l.beam, l.subband, l.sample, round(CASE WHEN m > 2 * al THEN 0.0 WHEN abs(level - m) >= 4 * s.s THEN m ELSE level END, 6) AS level FROM l JOIN s ON s.beam = l.beam AND s.subband = l.subband JOIN a ON a.beam = l.beam""",
+)
+def sigma_clip(spark, d):
+    """Sub-band levels clipped at four deviations."""
+    return bandpass.sigma_clip(inputs.filterbank(spark, d), 4).withColumn("level", r("level"))
+
+
+@query("channel_mask", ["fb"], "SELECT beam, sample, chan, power FROM fb WHERE chan NOT BETWEEN 3 AND 4 AND chan <> 15 UNION ALL SELECT beam, sample, t.c AS chan, sum(power * t.s) AS power FROM fb JOIN (VALUES (3, 2, 0.5), (3, 5, 0.5), (4, 2, 0.5), (4, 5, 0.5), (15, 14, 1.0)) t(c, k, s) ON fb.chan = t.k GROUP BY 1, 2, 3")
+def channel_mask(spark, d):
+    """Channels 3, 4 and 15 filled from their neighbours."""
+    return bandpass.mask_channels(inputs.filterbank(spark, d), [(3, 4), (15, 15)], BAND.channels)
+
+
+@query("block_dilate", ["fb"], "SELECT beam, chan, block, flag, max(flag) OVER (PARTITION BY beam, chan ORDER BY block ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS wide FROM (SELECT beam, chan, CAST(floor(sample / 16.0) AS BIGINT) AS block, CAST(max(power) >= 60 AS INT) AS flag FROM fb GROUP BY 1, 2, 3)")
+def block_dilate(spark, d):
+    """Blocks with a loud cell, and those next to them."""
+    blocks = inputs.filterbank(spark, d).groupBy("beam", "chan", F.floor(F.col("sample") / 16).alias("block")).agg((F.max("power") >= 60).cast("int").alias("flag"))
+    return bandpass.dilate(blocks, ["beam", "chan"], "block", "flag")
+
+
+# --- dedispersion and detection ---------------------------------------------
+
+
+@query("dedisperse_brute", ["dd"], "SELECT beam, dm_idx, t, value FROM dd")
+def dedisperse_brute(spark, d):
+    """The dedispersed plane of both beams over 32 trials."""
+    return search.dedisperse(inputs.filterbank(spark, d), BAND)
+
+
+@query("dedisperse_single_dm", ["dd"], "SELECT beam, dm_idx, t, value FROM dd WHERE dm_idx = 7")
+def dedisperse_single_dm(spark, d):
+    """One trial."""
+    return search.dedisperse(inputs.filterbank(spark, d), BAND, keep=[7])
+
+
+@query(
+    "dedisperse_subband",
+    ["fb", "nsamp", "shifts"],
+    """, sh AS (SELECT chan, chan // 4 AS subband, dm_idx, shift FROM shifts), top AS (SELECT subband, dm_idx, shift AS whole FROM sh WHERE chan % 4 = 0),
+    inn AS (SELECT chan, sh.subband, sh.dm_idx AS coarse, shift - whole AS shift FROM sh JOIN top ON top.subband = sh.subband AND top.dm_idx = sh.dm_idx WHERE sh.dm_idx % 8 = 0),
+    one AS (SELECT beam, subband, coarse, sample - shift AS t, sum(power) AS power FROM fb JOIN inn USING (chan) GROUP BY 1, 2, 3, 4)
+    SELECT beam, dm_idx, t - whole AS t, sum(power) AS value FROM one JOIN top ON top.subband = one.subband AND top.dm_idx - top.dm_idx % 8 = one.coarse WHERE t - whole >= 0 AND t - whole < (SELECT n FROM nsamp) - (SELECT max(shift) FROM shifts) GROUP BY 1, 2, 3""",
+)
+def dedisperse_subband(spark, d):
+    """Two-stage dedispersion over four sub-bands and every eighth coarse trial."""
+    return search.dedisperse_subband(inputs.filterbank(spark, d), BAND)
+
+
+@query("detect_threshold", ["dd"], ", s AS (SELECT beam, avg(value) AS mean, stddev_pop(value) AS rms FROM dd GROUP BY 1) SELECT beam, dm_idx, t, value, round((value - mean) / rms, 6) AS snr FROM dd JOIN s USING (beam) WHERE value - mean >= rms * 3.0")
+def detect_threshold(spark, d):
+    """Points three deviations above their beam's mean."""
+    return search.detections(search.dedisperse(inputs.filterbank(spark, d), BAND), 3.0).withColumn("snr", r("snr"))
+
+
+@query(
+    "median_filter",
+    ["fb"],
+    """, s AS (SELECT beam, sample, sum(power) AS power, row_number() OVER (PARTITION BY beam ORDER BY sample) - 1 AS k FROM fb GROUP BY 1, 2)
+    SELECT a.beam, a.sample, list_sort(list_concat([f.power for i in range(greatest(0, 2 - any_value(a.k)))], list(b.power)))[1 + (greatest(0, 2 - any_value(a.k)) + count(*)) // 2] AS smooth FROM s a JOIN s b ON a.beam = b.beam AND b.k BETWEEN a.k - 2 AND a.k + 2 JOIN s f ON f.beam = a.beam AND f.k = 0 GROUP BY 1, 2, f.power""",
+)
+def median_filter(spark, d):
+    """Running median of five of each beam's time series."""
+    series = timeaxis.time_series(inputs.filterbank(spark, d))
+    return search.median_filter(series, ["beam"], "sample", "power").select("beam", "sample", "smooth")
+
+
+@query("detrend_normalise", ["dd"], ", f AS (SELECT beam, dm_idx, regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM dd GROUP BY 1, 2), q AS (SELECT beam, dm_idx, t, value - a * t - b AS residual FROM dd JOIN f USING (beam, dm_idx)), m AS (SELECT beam, dm_idx, sqrt(avg(residual * residual)) AS rms FROM q GROUP BY 1, 2) SELECT beam, dm_idx, t, round(residual / rms, 5) AS normal FROM q JOIN m USING (beam, dm_idx)")
+def detrend_normalise(spark, d):
+    """Each dedispersed series without its trend, over its deviation."""
+    plane = search.dedisperse(inputs.filterbank(spark, d), BAND)
+    return search.detrend(plane, ["beam", "dm_idx"], "t", "value").select("beam", "dm_idx", "t", r("normal", 5).alias("normal"))
+
+
+for _width in (2, 6, 20):
+
+    @query(f"boxcar_{_width}", ["dd"], f"SELECT beam, dm_idx, t, round(sum(value) OVER (PARTITION BY beam, dm_idx ORDER BY t ROWS BETWEEN {_width // 2} PRECEDING AND {(_width - 1) // 2} FOLLOWING) / sqrt({_width}.0), 6) AS match FROM dd")
+    def boxcar(spark, d, width=_width):
+        """Boxcar filter of the dedispersed plane."""
+        plane = search.dedisperse(inputs.filterbank(spark, d), BAND)
+        return search.boxcar(plane, ["beam", "dm_idx"], "t", "value", width).select("beam", "dm_idx", "t", r("match").alias("match"))
+
+
+@query("tbb_semi_join", ["dd"], ", s AS (SELECT beam, avg(value) AS mean, stddev_pop(value) AS rms FROM dd GROUP BY 1), h AS (SELECT DISTINCT beam, CAST(floor(t / 256.0) AS BIGINT) AS buffer FROM dd JOIN s USING (beam) WHERE value - mean >= rms * 3.5) SELECT fb.beam, fb.sample, fb.chan, fb.power FROM fb SEMI JOIN h ON h.beam = fb.beam AND h.buffer = CAST(floor(fb.sample / 256.0) AS BIGINT)")
+def tbb_semi_join(spark, d):
+    """Raw samples of the buffers that hold a detection."""
+    fb = inputs.filterbank(spark, d)
+    hits = search.detections(search.dedisperse(fb, BAND), 3.5).select("beam", F.floor(F.col("t") / 256).alias("buffer")).distinct()
+    return fb.withColumn("buffer", F.floor(F.col("sample") / 256)).join(hits, ["beam", "buffer"], "left_semi").select("beam", "sample", "chan", "power")
+
+
+# --- voltages ----------------------------------------------------------------
+
+
+@query("beamform", ["ant"], """, v AS (SELECT sample, chan, antenna, CAST(hi - 16 * CAST(hi > 7 AS INT) AS DOUBLE) AS re, CAST(lo - 16 * CAST(lo > 7 AS INT) AS DOUBLE) AS im FROM ant), w AS (SELECT v.sample, v.chan, CAST(b.i AS INT) AS beam, re, im, cos(0.1 * antenna * (b.i + 1) * (chan + 1)) AS wr, sin(0.1 * antenna * (b.i + 1) * (chan + 1)) AS wi FROM v, range(4) b(i))
+    SELECT sample, chan, beam, round(sum(re * wr - im * wi), 5) AS re, round(sum(re * wi + im * wr), 5) AS im FROM w GROUP BY 1, 2, 3""")
+def beamform(spark, d):
+    """Four beams from eight antennas."""
+    a = inputs.antenna_bytes(spark, d).select("sample", "chan", "antenna", quantise.nibble(F.col("hi")).cast("double").alias("re"), quantise.nibble(F.col("lo")).cast("double").alias("im"))
+    out = beams.beamform(a, beams.steering(spark, 8, 4, 4))
+    # adding zero turns a rounded minus zero into zero
+    return out.select("sample", "chan", "beam", (r("re", 5) + 0.0).alias("re"), (r("im", 5) + 0.0).alias("im"))
+
+
+@query("interbinning", ["volts"], "SELECT series, chan, round(greatest(re * re + im * im, (re + coalesce(pr, 0)) * (re + coalesce(pr, 0)) + (im + coalesce(pi, 0)) * (im + coalesce(pi, 0)), (re + coalesce(nr, 0)) * (re + coalesce(nr, 0)) + (im + coalesce(ni, 0)) * (im + coalesce(ni, 0))), 6) AS best FROM (SELECT *, lag(re) OVER w AS pr, lag(im) OVER w AS pi, lead(re) OVER w AS nr, lead(im) OVER w AS ni FROM volts WINDOW w AS (PARTITION BY series ORDER BY chan))")
+def interbinning(spark, d):
+    """Power of Fourier bins with their neighbours."""
+    return timeaxis.interbin(inputs.voltages(spark, d), ["series"], "chan").select("series", "chan", r("best").alias("best"))
+
+
+@query("fft_channelise", ["volts"], "SELECT series, CAST(k.i AS INT) AS bin, round(sum(re * cos(2 * pi() * k.i * chan / 32.0) + im * sin(2 * pi() * k.i * chan / 32.0)), 5) + 0.0 AS re, round(sum(im * cos(2 * pi() * k.i * chan / 32.0) - re * sin(2 * pi() * k.i * chan / 32.0)), 5) + 0.0 AS im FROM volts, range(32) k(i) GROUP BY 1, 2")
+def fft_channelise(spark, d):
+    """Discrete Fourier transform of each series of 32 complex samples: a join with the table of phases, then a sum."""
+    k = F.broadcast(spark.range(32).select(F.col("id").cast("int").alias("bin")))
+    x = inputs.voltages(spark, d).join(k)
+    a = F.lit(2.0) * F.pi() * F.col("bin") * F.col("chan") / F.lit(32.0)
+    re, im = F.sum(F.col("re") * F.cos(a) + F.col("im") * F.sin(a)), F.sum(F.col("im") * F.cos(a) - F.col("re") * F.sin(a))
+    return x.groupBy("series", "bin").agg((r(re, 5) + 0.0).alias("re"), (r(im, 5) + 0.0).alias("im"))
+
+
+@query("pfb_fir", ["volts"], "SELECT series, chan, round(((lag(re, 2) OVER w) * 0.25 * (chan + 1) + (lag(re, 1) OVER w) * 0.5 * (chan + 1)) + re * 1.0 * (chan + 1), 6) AS filtered FROM volts WINDOW w AS (PARTITION BY chan ORDER BY series) QUALIFY lag(re, 2) OVER w IS NOT NULL")
+def pfb_fir(spark, d):
+    """Three-tap polyphase sums over successive series."""
+    weights = [[s * (c + 1) for c in range(32)] for s in (0.25, 0.5, 1.0)]
+    out = timeaxis.filter_bank(inputs.voltages(spark, d), [], "series", "chan", "re", weights)
+    return out.select("series", "chan", r("filtered").alias("filtered"))
+
+
+# --- clusters ----------------------------------------------------------------
+
+
+@query("dbscan_neighbours", ["points"], "SELECT a.id, count(b.id) AS n FROM points a LEFT JOIN points b ON a.beam = b.beam AND a.buffer = b.buffer AND a.id <> b.id AND abs(a.time - b.time) < 3600 AND abs(a.dm - b.dm) < 20 AND abs(a.snr - b.snr) < 30 GROUP BY 1")
+def dbscan_neighbours(spark, d):
+    """Number of neighbours of each detection in its beam and buffer."""
+    return cluster.neighbours(inputs.detection_points(spark, d), EPS, ["beam", "buffer"])
+
+
+@query("dbscan")
+def dbscan(spark, d):
+    """Density clusters of each beam and buffer."""
+    found = cluster.core_clusters(inputs.detection_points(spark, d), (3600.0, 200.0, 100.0), 2, ["beam", "buffer"])
+    return found.select("id", "beam", "buffer", "cluster", "type")
+
+
+@query("dm_histogram", ["points"], "SELECT beam, buffer, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, round(sum(snr), 4) AS weight FROM points GROUP BY 1, 2, 3")
+def dm_histogram(spark, d):
+    """Summed snr by dm for each beam and buffer."""
+    return cluster.dm_histogram(inputs.detection_points(spark, d), ["beam", "buffer"], 50.0).withColumn("weight", r("weight", 4))
+
+
+@query("moving_average3", ["points"], "SELECT beam, buffer, bin, round(CASE WHEN p IS NULL OR n IS NULL THEN weight ELSE (p + weight + n) / 3.0 END, 4) AS smooth FROM (SELECT *, lag(weight) OVER w AS p, lead(weight) OVER w AS n FROM (SELECT beam, buffer, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, sum(snr) AS weight FROM points GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY beam, buffer ORDER BY bin))")
+def moving_average3(spark, d):
+    """Smoothed dm histograms."""
+    hist = cluster.dm_histogram(inputs.detection_points(spark, d), ["beam", "buffer"], 50.0)
+    return cluster.smooth_histogram(hist, ["beam", "buffer"]).select("beam", "buffer", "bin", r("smooth", 4).alias("smooth"))
+
+
+@query("running_cluster_offset", ["points"], "SELECT beam, buffer, n, coalesce(CAST(sum(n) OVER (PARTITION BY beam ORDER BY buffer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM (SELECT beam, buffer, count(DISTINCT dm) AS n FROM points GROUP BY 1, 2)")
+def running_cluster_offset(spark, d):
+    """First free number of each buffer, when those before took one for each dm."""
+    counts = inputs.detection_points(spark, d).groupBy("beam", "buffer").agg(F.countDistinct("dm").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("beam").orderBy("buffer").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("before", F.coalesce(before, F.lit(0)))
+
+
+@query("argmax_dm", ["points"], "SELECT beam, buffer, round(max(snr), 6) AS snr, arg_max(dm, struct_pack(a := snr, b := -id)) AS dm FROM points GROUP BY 1, 2")
+def argmax_dm(spark, d):
+    """Best detection of each beam and buffer."""
+    p = inputs.detection_points(spark, d)
+    return p.groupBy("beam", "buffer").agg(r(F.max("snr")).alias("snr"), F.max_by("dm", F.struct("snr", -F.col("id"))).alias("dm"))
+
+
+@query("prune_related", ["points"], "SELECT a.id, a.beam, a.buffer FROM points a ANTI JOIN points b ON a.beam = b.beam AND a.buffer = b.buffer AND abs(a.time - b.time) <= 7200 AND (b.snr > a.snr OR (b.snr = a.snr AND b.id < a.id))")
+def prune_related(spark, d):
+    """Detections that no better one lies within two hours of, by a window over time in microseconds."""
+    p = inputs.detection_points(spark, d).withColumn("at", F.round(F.col("time") * 1e6).cast("long"))
+    w = Window.partitionBy("beam", "buffer").orderBy("at").rangeBetween(-7200 * 1_000_000, 7200 * 1_000_000)
+    best = F.max(F.struct(F.col("snr").alias("s"), (-F.col("id")).alias("i"))).over(w)
+    return p.withColumn("best", best).filter((F.col("best.s") == F.col("snr")) & (F.col("best.i") == -F.col("id"))).select("id", "beam", "buffer")
+
+
+# --- streaming -----------------------------------------------------------------
+
+
+@query("heap_assembly", [], "SELECT CAST(floor(epoch_us(ts) / 1e6 / 3600) AS BIGINT) AS heap, CAST(user_id % 4 AS INT) AS beam, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def heap_assembly(spark, d):
+    """Packets of a stream assembled into hourly heaps of each beam."""
+    schema = inputs.read(spark, d, "events").schema
+    packets = spark.readStream.schema(schema).option("pathGlobFilter", "*events*").parquet(f"{d}/events*.parquet")
+    packets = packets.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).cast("int").alias("beam"), F.col("value").alias("payload"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return heaps.run_to_table(heaps.heaps(packets, 3600, "1 hour"), base).withColumn("total", r("total", 4))
+
+
+# --- the whole search ------------------------------------------------------------
+
+
+@query("search_candidates")
+def search_candidates(spark, d):
+    """From filterbank to clusters: clip spectra, dedisperse, detect, cluster in buffers, and describe each cluster."""
+    fb = inputs.filterbank(spark, d)
+    clean = bandpass.spectrum_clip(fb, bandpass.bandpass(fb, search.samples(fb)), BAND.channels, 2.5)
+    hits = search.detections(search.dedisperse(clean, BAND), 3.0)
+    points = hits.select(
+        (F.col("t") * BAND.dms + F.col("dm_idx")).alias("id"), "beam", F.floor(F.col("t") / 1024).alias("buffer"),
+        (F.col("t") * BAND.tsamp).alias("time"), (F.col("dm_idx") * BAND.dm_step).alias("dm"), "snr",
+    )
+    found = cluster.core_clusters(points, (8 * BAND.tsamp, 6.0, 2.0), 2, ["beam", "buffer"]).filter("cluster >= 0")
+    keys = ["beam", "buffer", "cluster"]
+    hist = cluster.smooth_histogram(cluster.dm_histogram(found, keys, BAND.dm_step), keys)
+    return cluster.cluster_params(found, hist, keys, BAND.dm_step)
