@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from pulsegrid.jobs import more  # noqa: F401
 from pulsegrid.jobs.registry import ORACLE_SQL, QUERIES
 
 from .conftest import SF
