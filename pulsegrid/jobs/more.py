@@ -59,9 +59,7 @@ def mulaw_complex(spark, d):
 def median5_forward(spark, d):
     """Median of each sample and the four after it; the last four have none."""
     series = timeaxis.time_series(inputs.filterbank(spark, d))
-    frame = F.collect_list("power").over(Window.partitionBy("beam").orderBy("sample").rowsBetween(0, 4))
-    out = series.select("beam", "sample", frame.alias("f")).filter(F.size("f") == 5)
-    return out.select("beam", "sample", F.get(F.sort_array("f"), 2).alias("smooth"))
+    return search.median_forward(series, ["beam"], "sample", "power").select("beam", "sample", "smooth")
 
 
 @query("waterfall_fold", ["fb"], "SELECT CAST(sample % 128 AS BIGINT) AS sample, chan, sum(power) AS power FROM fb GROUP BY 1, 2")

@@ -6,9 +6,11 @@ samples, which is one number for the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import SIZE, over_rows
+
 
 def bandpass(fb: DataFrame, samples: int) -> DataFrame:
     """(beam, chan, mean)."""
@@ -78,7 +80,6 @@ def mask_channels(fb: DataFrame, ranges: list[tuple[int, int]], channels: int) -
     return fb.filter(~inside).select("beam", "sample", "chan", "power").unionByName(filled)
 
 
-def dilate(flags: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
+def dilate(flags: DataFrame, keys: list[str], order: str, flag: str, size: int = SIZE) -> DataFrame:
     """A flag also holds for the rows before and after."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-1, 1)
-    return flags.withColumn("wide", F.max(flag).over(w))
+    return over_rows(flags, keys, order, 1, 1, lambda w: {"wide": F.max(flag).over(w.rowsBetween(-1, 1))}, size).drop("rank")

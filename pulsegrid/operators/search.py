@@ -8,11 +8,13 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.dispersion import Band, dm_shift
 
+from .chunks import SIZE, over_rows
+
 
 def shift_table(spark: SparkSession, band: Band, first: int = 0) -> DataFrame:
     """(chan, dm_idx, shift) relative to channel ``first``; band.channels * band.dms rows."""
@@ -69,13 +71,27 @@ def detections(dd: DataFrame, sigmas: float) -> DataFrame:
     return found.select("beam", "dm_idx", "t", "value", ((F.col("value") - F.col("mean")) / F.col("rms")).alias("snr"))
 
 
-def median_filter(series: DataFrame, keys: list[str], order: str, value: str, wing: int = 2) -> DataFrame:
+def median_filter(series: DataFrame, keys: list[str], order: str, value: str, wing: int = 2, size: int = SIZE) -> DataFrame:
     """Centred running median; before the first sample stand copies of it, at the end the frame shrinks."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    frame = F.collect_list(value).over(w.rowsBetween(-wing, wing))
-    padded = F.concat(F.array_repeat(F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), (F.lit(wing) - F.least(F.row_number().over(w) - 1, F.lit(wing))).cast("int")), frame)
-    middle = F.sort_array(padded)
-    return series.withColumn("smooth", F.get(middle, F.floor(F.size(middle) / 2).cast("int")))
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        # only the first chunk, where a window's first row is the series' first, holds ranks below the wing
+        missing = (F.lit(wing) - F.least(F.col("rank"), F.lit(wing))).cast("int")
+        first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        middle = F.sort_array(F.concat(F.array_repeat(first, missing), F.collect_list(value).over(w.rowsBetween(-wing, wing))))
+        return {"smooth": F.get(middle, F.floor(F.size(middle) / 2).cast("int"))}
+
+    return over_rows(series, keys, order, wing, wing, columns, size).drop("rank")
+
+
+def median_forward(series: DataFrame, keys: list[str], order: str, value: str, width: int = 5, size: int = SIZE) -> DataFrame:
+    """Median of each row and those after it; rows with too few after them go."""
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        return {"frame": F.collect_list(value).over(w.rowsBetween(0, width - 1))}
+
+    out = over_rows(series, keys, order, 0, width - 1, columns, size).filter(F.size("frame") == width)
+    return out.withColumn("smooth", F.get(F.sort_array("frame"), width // 2)).drop("frame", "rank")
 
 
 def detrend(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -86,7 +102,11 @@ def detrend(series: DataFrame, keys: list[str], order: str, value: str) -> DataF
     return rest.join(rms, keys).withColumn("normal", F.col("residual") / F.col("rms"))
 
 
-def boxcar(series: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
+def boxcar(series: DataFrame, keys: list[str], order: str, value: str, width: int, size: int = SIZE) -> DataFrame:
     """Matched filter of one width: running sum over the root of the width."""
-    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return series.withColumn("match", F.sum(value).over(frame) / F.sqrt(F.lit(float(width))))
+    back, ahead = width // 2, (width - 1) // 2
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        return {"match": F.sum(value).over(w.rowsBetween(-back, ahead)) / F.sqrt(F.lit(float(width)))}
+
+    return over_rows(series, keys, order, back, ahead, columns, size).drop("rank")

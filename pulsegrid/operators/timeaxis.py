@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .chunks import SIZE, over_rows
+
 
 def downsample(fb: DataFrame, factor: int) -> DataFrame:
     """Sums of ``factor`` consecutive samples."""
@@ -33,15 +35,18 @@ def fold(fb: DataFrame, samples: int, bins: int) -> DataFrame:
     return out.withColumn("mean", F.col("power") / F.lit(float(samples // bins)))
 
 
-def filter_bank(series: DataFrame, keys: list[str], block: str, position: str, value: str, weights: list[list[float]]) -> DataFrame:
+def filter_bank(series: DataFrame, keys: list[str], block: str, position: str, value: str, weights: list[list[float]], size: int = SIZE) -> DataFrame:
     """Polyphase sums: each position's value over the last ``len(weights)`` blocks, weighted; the first blocks lack some and go."""
     taps = len(weights)
-    w = Window.partitionBy(*keys, position).orderBy(block)
-    out = F.lit(0.0)
-    for t in range(taps):
-        weight = F.element_at(F.array(*(F.lit(x) for x in weights[t])), F.col(position) + 1)
-        out = out + F.lag(value, taps - 1 - t).over(w) * weight
-    return series.withColumn("filtered", out).filter(F.col("filtered").isNotNull())
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        out = F.lit(0.0)
+        for t in range(taps):
+            weight = F.element_at(F.array(*(F.lit(x) for x in weights[t])), F.col(position) + 1)
+            out = out + F.lag(value, taps - 1 - t).over(w) * weight
+        return {"filtered": out}
+
+    return over_rows(series, [*keys, position], block, taps - 1, 0, columns, size).filter(F.col("filtered").isNotNull()).drop("rank")
 
 
 def interbin(spectrum: DataFrame, keys: list[str], order: str) -> DataFrame:

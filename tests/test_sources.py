@@ -84,3 +84,20 @@ def test_dispersed_pulse_peaks_at_its_trial(spark):
     fb = constant(spark, 256, 0).join(shifts, "chan").withColumn("power", noise + F.when(F.col("sample") == 100 + F.col("shift"), 8.0).otherwise(0.0)).drop("shift")
     best = search.dedisperse(fb, band).orderBy(F.desc("value")).first()
     assert (best["dm_idx"], best["t"]) == (9, 100)
+
+
+@pytest.mark.parametrize("size", [1 << 16, 8])
+def test_windows_cross_chunks(spark, size):
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.choice(400, 100, replace=False)).tolist()
+    rows = [(k, t, float(rng.integers(0, 50))) for k in (0, 1) for t in at]
+    df = spark.createDataFrame(rows, "beam int, t long, v double")
+    for k in (0, 1):
+        v = [r[2] for r in rows if r[0] == k]
+        want = [sorted([v[0]] * max(0, 2 - i) + v[max(0, i - 2) : i + 3]) for i in range(len(v))]
+        got = search.median_filter(df.filter(f"beam = {k}"), ["beam"], "t", "v", 2, size).orderBy("t").collect()
+        assert [r.smooth for r in got] == [w[len(w) // 2] for w in want]
+        got = search.boxcar(df.filter(f"beam = {k}"), ["beam"], "t", "v", 6, size).orderBy("t").collect()
+        assert [r.match for r in got] == pytest.approx([sum(v[max(0, i - 3) : i + 3]) / 6**0.5 for i in range(len(v))])
+        got = search.median_forward(df.filter(f"beam = {k}"), ["beam"], "t", "v", 5, size).orderBy("t").collect()
+        assert [r.smooth for r in got] == [sorted(v[i : i + 5])[2] for i in range(len(v) - 4)]
