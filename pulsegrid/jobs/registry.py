@@ -410,6 +410,16 @@ def heap_assembly(spark, d):
     return heaps.run_to_table(heaps.heaps(packets, 3600, "1 hour"), base).withColumn("total", r("total", 4))
 
 
+@query("running_fold", [], "SELECT CAST(l_suppkey % 2 AS INT) AS beam, CAST(floor(l_orderkey / 4.0) AS BIGINT) % 64 AS bin, sum(l_quantity) AS power, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def running_fold(spark, d):
+    """A stream of powers folded into profiles of 64 bins that grow with each batch."""
+    schema = inputs.read(spark, d, "lineitem").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/lineitem*.parquet")
+    profile = rows.groupBy((F.col("l_suppkey") % 2).cast("int").alias("beam"), (F.floor(F.col("l_orderkey") / 4.0) % 64).alias("bin")).agg(F.sum("l_quantity").alias("power"), F.count("*").alias("n"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return heaps.run_to_table(profile, base)
+
+
 # --- the whole search ------------------------------------------------------------
 
 

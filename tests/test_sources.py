@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.dispersion import Band
 from pulsegrid.operators import search, timeaxis
+from pulsegrid.sources import detections, voltage
 from pulsegrid.sources import filterbank as source
 
 
@@ -101,3 +102,55 @@ def test_windows_cross_chunks(spark, size):
         assert [r.match for r in got] == pytest.approx([sum(v[max(0, i - 3) : i + 3]) / 6**0.5 for i in range(len(v))])
         got = search.median_forward(df.filter(f"beam = {k}"), ["beam"], "t", "v", 5, size).orderBy("t").collect()
         assert [r.smooth for r in got] == [sorted(v[i : i + 5])[2] for i in range(len(v) - 4)]
+
+
+def test_voltage_files(spark, tmp_path):
+    def card(k, v):
+        return f"{k:8}= {v}".ljust(80).encode()
+
+    head = card("OBSNCHAN", 2) + card("NBITS", 2) + card("BLOCSIZE", 6) + b"END".ljust(80)
+    body = bytes([0b11100100, 0b00000000, 0b11111111, 0b01010101, 0b10101010, 0b00011011])
+    (tmp_path / "g.raw").write_bytes(head + body + head + body[:3])
+    rows = {(r.pol, r.chan): (r.re, r.im) for r in voltage.guppi(spark, f"file://{tmp_path}/g.raw").collect()}
+    a, b, c, e = (np.float32(x) for x in voltage.LEVELS)
+    assert rows[0, 0] == ([a, a, e], [b, a, e]) and rows[1, 0] == ([c, a, e], [e, a, e])
+    assert rows[0, 1] == ([b, c, e], [b, c, c]) and rows[1, 1] == ([b, c, b], [b, c, a])
+    (tmp_path / "v.bin").write_bytes(np.array([1, -2, 3, -4, 5], "<i1").tobytes())
+    (r,) = voltage.byte_pairs(spark, f"file://{tmp_path}/v.bin").collect()
+    assert (r.re, r.im) == ([1.0, 3.0], [-2.0, -4.0])
+    (tmp_path / "f.bin").write_bytes(np.arange(12, dtype="<f4").tobytes())
+    got = {r.chan: (r.re, r.im) for r in voltage.float_pairs(spark, f"file://{tmp_path}/f.bin", 3).collect()}
+    assert got[1] == ([2.0, 8.0], [3.0, 9.0])
+    with pytest.raises(ValueError):
+        voltage.read_cards(card("A", 1))
+
+
+def test_detections_round_trip(spark, tmp_path):
+    rows = [(0, 1.5, 2.0, 9.0), (1, 700.0, 3.0, 8.0), (1, 1300.0, 4.0, 7.0)]
+    points = spark.createDataFrame(rows, "beam int, time double, dm double, snr double")
+    detections.write_detections(points, f"file://{tmp_path}/a")
+    got = sorted(tuple(r) for r in detections.read_detections(spark, f"file://{tmp_path}/a").select("beam", "time", "dm", "snr").collect())
+    assert got == rows
+    detections.write_detections(points, f"file://{tmp_path}/b", 600)
+    assert sorted(p.name for p in (tmp_path / "b" / "beam=1").iterdir()) == ["period=1200", "period=600"]
+    (tmp_path / "c.csv").write_text("1.0, 2.0, 3.0\nbroken\n4.0, 5.0, 6.0\n")
+    assert len(detections.read_detections(spark, f"file://{tmp_path}/c.csv").collect()) == 2
+
+
+def test_late_packets_are_dropped(spark, tmp_path):
+    from pulsegrid.streaming import heaps
+
+    at = "2024-01-01 {:02d}:00:00"
+    for k, hours in enumerate([[1, 2, 10], [2, 11], [1, 20]]):
+        rows = [(at.format(h), 0, 1.0) for h in hours]
+        spark.createDataFrame(rows, "ts string, beam int, payload double").selectExpr("cast(ts as timestamp) ts", "beam", "payload").coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("ts timestamp, beam int, payload double").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"file://{tmp_path}/in/*")
+    out = f"{tmp_path}/out"
+
+    def save(batch, epoch):
+        batch.write.mode("append").parquet(f"file://{out}")
+
+    heaps.heaps(stream, 3600, "1 hour").writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    n = {r.heap % 24: r.n for r in spark.read.parquet(f"file://{out}").collect()}
+    # what is late in a batch follows from the batches before the last: hour 2's packet still counts, hour 1's is gone; the last heap is open
+    assert n[1] == 1 and n[2] == 2 and 20 not in n
