@@ -6,9 +6,9 @@ Forward-backward gives each line's marginal, the length-weighted mean of the
 good marginals is the document's raw quality, and a logistic curve learnt on
 the same sample turns it into a score.
 
-Learning takes at most ``TRAIN_DOCS`` labelled documents of each label from
-outside the held-out fold, those with the least hashes of their ids, of at
-most ``TRAIN_LINES`` lines each. That is the bound on what the driver gathers.
+Learning takes ``TRAIN_DOCS`` labelled ids of each label at most, from outside
+the held-out fold, those with the least hashes, and their texts of at most
+``TRAIN_LINES`` lines. That is the bound on what the driver gathers.
 A bad document holds good lines too: after a first fit to its document's
 label, each line of a bad document is relabelled by its marginal, and the
 field is fitted again.
@@ -240,16 +240,18 @@ def fit_field(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarra
 def fit(documents: DataFrame, labels: DataFrame) -> Field | None:
     """The field, or None unless both labels have training rows."""
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    usable = documents.filter(F.col("text").isNotNull() & (F.length(F.regexp_replace("text", "[^\n]", "")) < TRAIN_LINES))
-    known = usable.select("doc_id", "text").join(marked, "doc_id")
-    picks = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS) for q in (0, 1)]
+    picks = [marked.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for q in (0, 1)]
+    # at most 2 * TRAIN_DOCS ids meet the documents, so no text of another document is moved
+    chosen = documents.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").filter(F.col("text").isNotNull())
+    short = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < TRAIN_LINES
+    sampled = chosen.filter(short).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
     def rows(texts, quality):
         for text, q in zip(texts, quality):
             x, size = line_features(text)
             yield x.astype("<f4").tobytes(), size.astype("<f4").tobytes(), q
 
-    sample = arrow_map(picks[0].unionByName(picks[1]).select("text", "quality"), rows, "x binary, size binary, quality int").collect()
+    sample = arrow_map(sampled.select("text", "quality"), rows, "x binary, size binary, quality int").collect()
     label = np.array([r.quality for r in sample])
     if len(set(label.tolist())) < 2:
         return None
