@@ -21,7 +21,6 @@ is. Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 from dataclasses import dataclass
@@ -35,7 +34,7 @@ from .common import arrow_map, held_out, is_held_out, materialize, read_table
 BUCKETS = 1 << 20
 PREFIXES = (4, 5)
 EDGES = " .,;:!?\"'()[]{}|*$%&#-_<>=/\\"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 #: Documents' worth of prior for each feature's share.
 PRIOR_DOCS = 20.0
 #: Twice the log-likelihood ratio by which a feature must lean towards toxic texts (4.5 standard errors).
@@ -45,14 +44,17 @@ LEAST_LOG_ODDS = 1.0
 COSTS = (0.02, 0.05, 0.1, 0.2)
 
 
-def features(token: str) -> list[tuple[int, int]]:
-    """Two hashes of each feature of a token: itself and its prefixes, without case and outer punctuation."""
+def buckets(name: bytes) -> tuple[int, int]:
+    """Two hashes of a feature's name."""
+    return zlib.crc32(name) % BUCKETS, BUCKETS + zlib.crc32(name[::-1]) % BUCKETS
+
+
+def names(token: str) -> list[bytes]:
+    """A token's features: itself and its prefixes, without case and outer punctuation."""
     word = token.lower().strip(EDGES)
     if not word:
         return []
-    names = [f"={word}", *(f"{n}{word[:n]}" for n in PREFIXES if len(word) >= n)]
-    digests = (int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names)
-    return [(d % BUCKETS, BUCKETS + (d >> 32) % BUCKETS) for d in digests]
+    return [b"=" + word.encode(), *(b"%d" % n + word[:n].encode() for n in PREFIXES if len(word) >= n)]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -96,8 +98,31 @@ class Model:
 
     def __post_init__(self) -> None:
         self.known: dict[str, float] = {}
+        self.prefix: dict[str, float] = {}
 
-    def token_scores(self, text: str) -> np.ndarray:
+    def lean(self, name: bytes) -> float:
+        a, b = buckets(name)
+        return min(self.weight.get(a, 0.0), self.weight.get(b, 0.0))
+
+    def leaning(self, token: str) -> float:
+        """The largest log-odds of a token's features that lean, or 0. Prefixes are few and kept apart."""
+        word = token.lower().strip(EDGES)
+        if not word:
+            return 0.0
+        best = self.lean(b"=" + word.encode())
+        for n in PREFIXES:
+            if len(word) >= n:
+                p = word[:n]
+                w = self.prefix.get(p)
+                if w is None:
+                    if len(self.prefix) > WORDS_KEPT:
+                        self.prefix.clear()
+                    w = self.prefix[p] = self.lean(b"%d" % n + p.encode())
+                best = max(best, w)
+        return best
+
+    def leanings(self, text: str) -> np.ndarray:
+        """Log-odds of the tokens that lean towards toxic texts, 0 for all others."""
         known, tokens = self.known, text.split()
         try:
             return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
@@ -105,12 +130,16 @@ class Model:
             pass
         if len(known) > WORDS_KEPT:
             known.clear()
-        weight = self.weight
         for t in tokens:
             if t not in known:
-                known[t] = max((min(weight[a], weight[b]) for a, b in features(t) if a in weight and b in weight), default=-self.cost)
+                known[t] = self.leaning(t)
         return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
 
+    def token_scores(self, text: str) -> np.ndarray:
+        lean = self.leanings(text)
+        lean[lean == 0] = -self.cost
+        return lean
+
     def log_p(self, score: float, tokens: int) -> float:
         """Log of the probability that a clean text of that length has so good a segment."""
         log_e = math.log(self.scale * max(tokens, 1)) - self.rate * score
@@ -151,72 +180,92 @@ def calibrate(best: np.ndarray, tokens: np.ndarray) -> tuple[float, float]:
     scale then matches the share of texts beyond the tail's start.
     """
     if not len(best):
-        return 1.0, 1e-3
+        return 1.0, 1.0
     start = max(np.quantile(best, 0.9), 1e-6)
     tail = best[best >= start] - start
+    if not len(tail):  # no clean text has a segment: as if one had
+        return 1.0, 1 / max(float(tokens.sum()), 1.0)
     rate = 1 / max(float(tail.mean()), 0.05)
     scale = len(tail) / max(float(tokens.sum()), 1.0) * math.exp(min(rate * start, 500))
     return rate, scale
 
 
-def lean(text_rows: DataFrame) -> tuple[dict[int, float], int, int]:
-    """Features that lean towards toxic texts with their log-odds, from (text, toxic); and the texts of each label."""
-    spark = text_rows.sparkSession
-
-    def rows(texts, labels):
-        known: dict[str, list[int]] = {}
-        counts: dict[int, list[int]] = {}
-        for text, toxic in zip(texts, labels):
-            seen: set[int] = set()
-            for t in set(text.split()):
-                f = known.get(t)
-                if f is None:
-                    f = known[t] = [h for pair in features(t) for h in pair]
-                seen.update(f)
-            for f in [*seen, -1]:
-                counts.setdefault(f, [0, 0])[0 if toxic else 1] += 1
-        return [(f, a, b) for f, (a, b) in counts.items()]
-
-    counts = arrow_map(text_rows, rows, "feature int, toxic long, clean long", chunk=4096).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = materialize(counts, "toxicity-counts")
-    whole = counts.filter("feature = -1").first()
-    if whole is None or not whole.toxic or not whole.clean:
-        return {}, 0, 0
-    # at most 2 * BUCKETS rows, whatever the corpus; clean features stay on the executors
-    leaning = counts.filter("feature >= 0 and toxic >= 3").filter(F.col("toxic") * F.lit(whole.clean) > F.col("clean") * F.lit(whole.toxic)).toPandas()
+def leanings(text_rows: DataFrame) -> dict[int, float]:
+    """Hashes of features that lean towards toxic texts with their log-odds, from (text, toxic)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known: dict[str, bytes] = {}
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = set(text.split())
+                if len(known) > WORDS_KEPT // 2:
+                    known.clear()
+                for t in tokens:
+                    if t not in known:
+                        known[t] = np.array([h for name in names(t) for h in buckets(name)], "<i4").tobytes()
+                found[0 if toxic else 1].append(np.unique(np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<i4")))
+            for k in (0, 1):
+                if found[k]:
+                    feature, n = np.unique(np.concatenate(found[k]), return_counts=True)
+                    none = np.zeros(len(n), np.int64)
+                    columns = [feature.astype(np.int32), *((n, none) if k == 0 else (none, n))]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["feature", "toxic", "clean"])
+
+    size = dict(text_rows.groupBy("toxic").count().collect())
+    n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
+    if not n_toxic or not n_clean:
+        return {}
+    counts = text_rows.mapInArrow(run, "feature int, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # at most 2 * BUCKETS rows, whatever the corpus; features that don't lean stay on the executors
+    leaning = counts.filter("toxic >= 3").filter(F.col("toxic") * F.lit(n_clean) > F.col("clean") * F.lit(n_toxic)).toPandas()
     t, c = leaning["toxic"].to_numpy(float), leaning["clean"].to_numpy(float)
-    delta, ratio = log_odds(t, c, whole.toxic, whole.clean)
+    delta, ratio = log_odds(t, c, n_toxic, n_clean)
     keep = (ratio >= LEAST_RATIO) & (delta >= LEAST_LOG_ODDS)
-    return dict(zip(leaning["feature"].to_numpy()[keep].tolist(), delta[keep].tolist())), whole.toxic, whole.clean
+    return dict(zip(leaning["feature"].to_numpy()[keep].tolist(), delta[keep].tolist()))
+
+
+def signature(text: str) -> int:
+    """The least hash of the five-word shingles that begin at every eighth word by hash; near copies mostly share it."""
+    words = text.lower().encode().split()
+    marks = [k for k, h in enumerate(map(zlib.crc32, words)) if h % 8 == 0] or range(0, len(words), 8)
+    return min((zlib.crc32(b" ".join(words[k : k + 5])) for k in marks), default=0)
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled rows outside the held-out fold; near copies once."""
-    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(marked, "doc_id")
+    """(text, toxic) of labelled rows outside the held-out fold; near copies once.
 
-    def rows(ids, texts, labels):
-        for i, text, toxic in zip(ids, texts, labels):
-            words = text.lower().encode().split()
-            least = min((zlib.crc32(b" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))), default=0)
-            yield f"{least}:{int(bool(toxic))}", i, text, int(bool(toxic))
+    Signatures, not texts, are compared, and only then are the chosen texts
+    fetched, by one shuffle of the texts at any size.
+    """
+    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("boolean").cast("int")).alias("toxic"))
+    usable = documents.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
 
-    signed = arrow_map(known, rows, "signature string, doc_id long, text string, toxic int")
-    return signed.groupBy("signature").agg(F.min_by("text", "doc_id").alias("text"), F.min_by("toxic", "doc_id").alias("toxic")).select("text", "toxic")
+    def rows(ids, texts):
+        for i, text in zip(ids, texts):
+            yield i, signature(text)
+
+    signed = arrow_map(usable, rows, "doc_id long, signature long").join(marked, "doc_id")
+    chosen = signed.groupBy("signature", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
+    return usable.join(chosen.hint("merge"), "doc_id").select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     """The model, or None where a label has no training rows."""
     train = materialize(training_rows(documents, labels), "toxicity-train")
-    weight, n_toxic, n_clean = lean(train)
+    weight = leanings(train)
     if not weight:
         return None
+    shared = documents.sparkSession.sparkContext.broadcast(Model(weight, 0.0, 1.0, 1.0, 0.0))
 
     def rows(texts, toxic):
-        models = [Model(weight, c, 1.0, 1.0, 0.0) for c in COSTS]
+        m = shared.value
         for text, label in zip(texts, toxic):
-            for k, m in enumerate(models):
-                scores = m.token_scores(text)
+            lean = m.leanings(text)
+            for k, cost in enumerate(COSTS):
+                scores = np.where(lean > 0, lean, -cost)
                 yield k, label, round(max((s for _, _, s in segments(scores)), default=0.0), 3), len(scores)
 
     # a histogram of at most a few thousand cells, not rows: log2 of the length in quarters, score in tenths
