@@ -16,8 +16,8 @@ the smallest id that links reach.
    are bounded and every pair of sets meets.
 4. In a block, DivideSkip finds each query's links: short inverted lists are
    merged, what they count often enough is probed by binary search in the long
-   ones. Sets of the largest component so far need no query of their own,
-   since every link of another set is found from that set.
+   ones. Sets of the component that is largest in the end need no query of
+   their own, since every link of another set is found from that set.
 
 Hashes of shingles and sets have 64 bits, which are taken for the shingles
 themselves.
@@ -208,11 +208,8 @@ def link_block(members: list[np.ndarray]) -> list[int]:
         return [0, 0] if 100 * both >= PERCENT * (len(a) + len(b) - both) else [0, 1]
     if n > 2:
         index = Index(members)
-        largest = 0
-        for q in range(n):
-            # a member of the largest component waits: the links to it of all outside are found from there
-            if q and count[largest] > 1 and find(q) == largest:
-                continue
+
+        def query(q: int) -> None:
             for m in index.links(q).tolist():
                 a, b = find(q), find(m)
                 if a != b:
@@ -220,7 +217,19 @@ def link_block(members: list[np.ndarray]) -> list[int]:
                         a, b = b, a
                     root[b] = a
                     count[a] += count[b]
+
+        largest, waiting = 0, []
+        for q in range(n):
+            # a member of the largest component waits: the links to it of all outside are found from there
+            if q and count[largest] > 1 and find(q) == largest:
+                waiting.append(q)
+                continue
+            query(q)
             largest = max(find(largest), find(q), key=count.__getitem__)
+        # the largest may have been another one before: only sets of one component, which stays, go without a query
+        for q in waiting:
+            if find(q) != find(largest):
+                query(q)
     return [find(i) for i in range(n)]
 
 
