@@ -76,7 +76,7 @@ class Index:
         self.hash, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hash & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-        self.shift = int(2 ** np.ceil(np.log2(max(2, int(self.edits.max(initial=1)) + 1))))  # bands of twice this overlap by half
+        self.shift = np.exp2(np.ceil(np.log2(np.maximum(2, self.edits + 1)))).astype(np.int64)  # an item's bands are twice this and overlap by half
 
     def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text position, item, item position) of every shared q-gram."""
@@ -94,26 +94,28 @@ class Index:
         """(item, first diagonal of a band) with enough shared q-grams, in the text ``code``."""
         at, item, place = self.hits(code)
         # item positions start at a text's end at the latest, so diagonals are counted from -longest
-        lift = int(self.length.max(initial=0)) + 2 * self.shift
+        lift = int(self.length.max(initial=0)) + 2 * int(self.shift.max(initial=0))
         diagonal = at - place + lift
-        wide = diagonal // self.shift
-        span = int(len(code) + lift) // self.shift + 2
+        wide = diagonal // self.shift[item]
+        span = int(len(code) + lift) // int(self.shift.min(initial=2)) + 2
         key = np.concatenate([item * span + wide, item * span + wide - 1])
         found, n = np.unique(key, return_counts=True)
         which = found // span
         for k, i in zip(found[n >= self.least[which]].tolist(), which[n >= self.least[which]].tolist()):
-            yield i, (k % span) * self.shift - lift
+            yield i, (k % span) * int(self.shift[i]) - lift
 
     def search(self, code: np.ndarray, text: str, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, edits): best verified region of each pair; documents lie at ``bounds`` in ``text``."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i, diagonal in self.regions(code):
             item, e = self.items[i][1], int(self.edits[i])
-            lo, hi = diagonal, diagonal + 2 * self.shift + len(item)
-            doc = int(np.searchsorted(bounds, min(max((lo + hi) // 2, 0), len(text) - 1), "right")) - 1
-            for d in {doc, max(doc - 1, 0), min(doc + 1, len(bounds) - 2)}:
-                a, b = max(lo - e, int(bounds[d])), min(hi + e, int(bounds[d + 1]) - 1)
-                if b - a < len(item) - e or best.get((d, i), (e + 1,))[0] == 0:
+            lo, hi = diagonal, diagonal + 2 * int(self.shift[i]) + len(item)
+            # every document that the band overlaps by what the item needs
+            first, last = max(int(np.searchsorted(bounds, lo - e, "right")) - 1, 0), int(np.searchsorted(bounds[:-1], hi + e))
+            begins, ends = np.maximum(lo - e, bounds[first:last]), np.minimum(hi + e, bounds[first + 1 : last + 1] - 1)
+            for k in np.flatnonzero(ends - begins >= len(item) - e).tolist():
+                d, a, b = first + k, int(begins[k]), int(ends[k])
+                if best.get((d, i), (e + 1,))[0] == 0:
                     continue
                 exact = text.find(item, a, b)
                 got = (0, exact, exact + len(item)) if exact >= 0 else align(codes(item), code[a:b], e, lo - e - a, hi - len(item) + e - a)
