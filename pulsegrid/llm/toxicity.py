@@ -7,7 +7,8 @@ turn the best of them into a p-value for a text of that length, which a
 document's score follows.
 
 Learning: all labelled rows outside the held-out fold are used, in one pass;
-near copies count once, as texts with the same least shingle hash. Counts are
+texts that are equal but for case and white space count once for each label,
+and no other row is left out. Counts are
 kept for 2^20 values of each of two hashes of a feature (a word, or its first
 four or five letters), so the model has a fixed size however large the corpus
 is; a feature leans only if both its hashes do.
@@ -26,7 +27,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, is_held_out, materialize, read_table
@@ -227,29 +228,23 @@ def leanings(text_rows: DataFrame) -> dict[int, float]:
     return dict(zip(leaning["feature"].to_numpy()[keep].tolist(), delta[keep].tolist()))
 
 
-def signature(text: str) -> int:
-    """The least hash of the five-word shingles that begin at every eighth word by hash; near copies mostly share it."""
-    words = text.lower().encode().split()
-    marks = [k for k, h in enumerate(map(zlib.crc32, words)) if h % 8 == 0] or range(0, len(words), 8)
-    return min((zlib.crc32(b" ".join(words[k : k + 5])) for k in marks), default=0)
+def text_digest(text: Column) -> Column:
+    """256-bit digest of a text, without its case and with white space collapsed."""
+    return F.unhex(F.sha2(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 256))
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled rows outside the held-out fold; near copies once.
+    """(text, toxic) of labelled rows outside the held-out fold; equal texts once for each label.
 
-    Signatures, not texts, are compared, and only then are the chosen texts
+    Digests, not texts, are compared, and only then are the chosen texts
     fetched, by one shuffle of the texts at any size.
     """
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("boolean").cast("int")).alias("toxic"))
-    usable = documents.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
-
-    def rows(ids, texts):
-        for i, text in zip(ids, texts):
-            yield i, signature(text)
-
-    signed = arrow_map(usable, rows, "doc_id long, signature long").join(marked, "doc_id")
-    chosen = signed.groupBy("signature", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
-    return usable.join(chosen.hint("merge"), "doc_id").select("text", "toxic")
+    usable = documents.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
+    chosen = usable.select("doc_id", "digest").join(marked, "doc_id").groupBy("digest", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    fetched = usable.join(chosen.hint("merge"), ["doc_id", "digest"])
+    # rows with one id and equal texts
+    return fetched.groupBy("doc_id", "digest", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
