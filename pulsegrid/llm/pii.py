@@ -9,7 +9,10 @@ words. Mentions of one entity in any format get one surrogate (coreference).
 
 Surrogates are drawn from a digest of key, kind, entity and attempt. A draw
 that equals another entity's surrogate or any entity found in the corpus is
-drawn again with the next attempt until all are distinct.
+drawn again with the next attempt until all are distinct. Every ``GROW``
+attempts a name gains a syllable, an email's local part a letter, and a phone
+number of fewer than ten digits a digit, so a pool that its entities fill
+grows; the other kinds keep their formats' lengths.
 
 Defined results: a null text stays null, a text without mentions stays as it
 is; all columns and rows stay, copies get equal texts; adjoining mentions are
@@ -26,6 +29,7 @@ from .common import materialize, read_table
 
 KEY = "pulsegrid"
 ATTEMPTS = 64
+GROW = 4
 MALE, FEMALE = ("Mr", "Herr", "Señor", "Monsieur", "господин"), ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "госпожа")
 _UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -107,7 +111,9 @@ def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Col
     h = stream(key, kind, entity, attempt.cast("string"))
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     host = F.regexp_replace(domain, r"\.[^.]*$", "")
-    email = F.concat(like(local, h), F.lit("@"), like(host, stream(key, "host", domain)), F.lit("."), F.substring_index(domain, ".", -1))
+    grown = F.floor(attempt / GROW).cast("int")
+    more = stream(key, "more", kind, entity, attempt.cast("string"))
+    email = F.concat(like(local, h), like(F.repeat(F.lit("a"), grown), more), F.lit("@"), like(host, stream(key, "host", domain)), F.lit("."), F.substring_index(domain, ".", -1))
     octets = [(byte(h, F.lit(0)) % 223 + 1), byte(h, F.lit(1)), byte(h, F.lit(2)), byte(h, F.lit(3)) % 254 + 1]
     ip = F.concat_ws(".", *(o.cast("string") for o in octets))
     body = F.concat(F.left(entity, F.lit(1)), like(F.substr(entity, F.lit(2), F.length(entity) - 2), h), F.lit("0"))
@@ -119,7 +125,8 @@ def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Col
         lambda r, c: F.when(c.rlike("[0-9]"), r * 10 + c.cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97,
     )
     iban = F.concat(F.left(entity, F.lit(2)), F.lpad((98 - rest).cast("string"), 2, "0"), inner)
-    phone = F.concat((byte(h, F.lit(31)) % 8 + 2).cast("string"), F.substr(like(entity, h), F.lit(2)))
+    longer = like(F.repeat(F.lit("0"), F.greatest(F.lit(0), F.least(grown, 10 - F.length(entity)))), more)
+    phone = F.concat((byte(h, F.lit(31)) % 8 + 2).cast("string"), F.substr(like(entity, h), F.lit(2)), longer)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
@@ -127,12 +134,12 @@ def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Col
         .when(kind == "iban", iban)
         .when(kind == "ssn", like(entity, h))
         .when(kind == "phone", phone)
-        .otherwise(F.concat(F.left(entity, F.lit(2)), made_up_name(entity, h)))
+        .otherwise(F.concat(F.left(entity, F.lit(2)), made_up_name(entity, h, grown)))
     )
 
 
-def made_up_name(entity: Column, h: Column) -> Column:
-    """Lower-case words, as many as the entity has; the first word's ending follows the gender mark."""
+def made_up_name(entity: Column, h: Column, grown: Column) -> Column:
+    """Lower-case words, as many as the entity has; the first has ``grown`` more syllables, and its ending follows the gender mark."""
     words = F.split(F.substr(entity, F.lit(3)), "[ -]")
 
     def pick(choices: str, i: Column) -> Column:
@@ -143,7 +150,8 @@ def made_up_name(entity: Column, h: Column) -> Column:
         middle, male, female = SYLLABLES[script]
 
         def one(w, i):
-            base = F.concat(pick(middle, i * 4), pick(middle, i * 4 + 1), pick(middle, i * 4 + 2))
+            more = F.slice(F.sequence(F.lit(12), F.lit(31)), F.lit(1), F.when(i == 0, grown).otherwise(0))
+            base = F.concat(pick(middle, i * 4), pick(middle, i * 4 + 1), pick(middle, i * 4 + 2), F.array_join(F.transform(more, lambda j: pick(middle, j)), ""))
             end = F.when((i == 0) & entity.startswith("f:"), pick(female, i * 4 + 3)).otherwise(pick(male, i * 4 + 3))
             return F.concat(base, end)
 
@@ -165,7 +173,7 @@ def render(kind: Column, mention: Column, surrogate: Column) -> Column:
             F.when(taken, state["k"] + 1).otherwise(state["k"]).alias("k"),
         )
 
-    numbered = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: s["out"])
+    numbered = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: F.concat(s["out"], F.substr(plain, s["k"])))
     name = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.initcap(F.substr(surrogate, F.lit(3))))
     # an email in capitals stays in capitals
     email = F.when(F.upper(mention) == mention, F.upper(surrogate)).otherwise(surrogate)
