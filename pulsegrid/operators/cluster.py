@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..llm.common import materialize
+from ..llm.components import components
 
 
 def neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
@@ -30,41 +30,51 @@ def neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[st
 def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int, keys: list[str]) -> DataFrame:
     """Density clusters of each (beam, buffer): columns cluster (0.. by first point, -1 noise) and type (1 core, 0 border, -1 noise).
 
-    Buffers bound what a group holds. Core points with a chain of core
-    neighbours form a cluster; a border point joins its first core neighbour's.
+    Core points with a chain of core neighbours form a cluster; a border point
+    joins its first core neighbour's. Points meet in cells of eps as in
+    ``neighbours``, so no task holds a group. Core points of one half cell are
+    all neighbours: each half cell is one node of the graph, whose edges are
+    at most those to the half cells around it, however many pairs there are.
     """
-    schema = T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("type", T.IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "dm", "id"], kind="stable").reset_index(drop=True)
-        t, d, s = (pdf[c].to_numpy(float) for c in ("time", "dm", "snr"))
-        n = len(pdf)
-        first, last = np.searchsorted(t, t - eps[0], "right"), np.searchsorted(t, t + eps[0], "left")
-        near = []
-        for i in range(n):
-            j = np.arange(first[i], last[i])
-            near.append(j[(np.abs(d[j] - d[i]) < eps[1]) & (np.abs(s[j] - s[i]) < eps[2]) & (np.abs(t[j] - t[i]) < eps[0])])
-        core = np.array([len(x) - 1 >= least for x in near])
-        cluster = np.full(n, -1)
-        k = 0
-        for i in np.flatnonzero(core):
-            if cluster[i] >= 0:
-                continue
-            cluster[i], todo = k, [i]
-            while todo:
-                for j in near[todo.pop()]:
-                    if core[j] and cluster[j] < 0:
-                        cluster[j] = k
-                        todo.append(j)
-            k += 1
-        kind = np.where(core, 1, -1)
-        for i in np.flatnonzero(~core):
-            cores = near[i][core[near[i]]]
-            if len(cores):
-                cluster[i], kind[i] = cluster[cores[0]], 0
-        return pdf.assign(cluster=cluster.astype("int32"), type=kind.astype("int32"))
-
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    columns = points.columns
+    place = ("time", "dm", "id")
+    ident = F.struct(*keys, "id")
+    cell = points.withColumn("_p", ident)
+    for c, e in zip(("time", "dm"), eps):
+        cell = cell.withColumn(f"_{c}", F.floor(F.col(c) / e))
+    half = [F.floor(F.col(c) * 2 / e).alias(f"_h{c}") for c, e in zip(("time", "dm", "snr"), eps)]
+    cell = materialize(cell.select("*", *half), "points")
+    cells = ["_g", "_time", "_dm"]
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+
+    def meeting(left: DataFrame, right: DataFrame, carried: list[str]) -> DataFrame:
+        """Pairs of neighbours; the right one's columns end in 2."""
+        wide = left.select(F.struct(*keys).alias("_g"), *carried, "_p", "time", "dm", "snr", "_time", "_dm", around.alias("_o"))
+        wide = wide.withColumn("_time", F.col("_time") + F.col("_o.a")).withColumn("_dm", F.col("_dm") + F.col("_o.b")).drop("_o")
+        others = right.select(F.struct(*keys).alias("_g"), "_time", "_dm", *(F.col(c).alias(f"{c}2") for c in [*carried, "_p", "id", "time", "dm", "snr"]))
+        near = F.lit(True)
+        for c, e in zip(("time", "dm", "snr"), eps):
+            near &= F.abs(F.col(c) - F.col(f"{c}2")) < e
+        return wide.join(others, cells).filter(near & (F.col("_p") != F.col("_p2")))
+
+    crowd = meeting(cell, cell, []).groupBy("_p").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    # a point needs itself only where no neighbour is asked for
+    core = cell.join(crowd.select("_p"), "_p", "left_semi") if least > 0 else cell
+    nodes = [*keys, "_htime", "_hdm", "_hsnr"]
+    node = F.min("_p").alias("_node")
+    core = materialize(core.join(core.groupBy(*nodes).agg(node), nodes), "core-points")
+    edges = meeting(core, core, ["_node"]).filter("_node < _node2").select(F.col("_node").alias("a"), F.col("_node2").alias("b"))
+    joined = components(edges).select(F.col("node").alias("_node"), "root")
+    core = core.join(joined, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    # clusters by their first point; a row for each cluster, not for each point
+    first = core.groupBy(*keys, "root").agg(F.min(F.struct(*place)).alias("first"))
+    numbers = first.select("root", (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).alias("cluster"))
+    core = materialize(core.join(numbers, "root").select("_p", *keys, "id", "time", "dm", "snr", "_time", "_dm", "cluster"), "clustered")
+    rest = cell.join(core.select("_p"), "_p", "left_anti").withColumn("cluster", F.lit(-1))
+    reached = meeting(rest, core, ["cluster"]).groupBy("_p").agg(F.min_by("cluster2", F.struct("time2", "dm2", "id2")).alias("_border"))
+    kinds = core.select("_p", "cluster", F.lit(1).alias("type")).unionByName(reached.select("_p", F.col("_border").alias("cluster"), F.lit(0).alias("type")))
+    out = cell.join(kinds, "_p", "left")
+    return out.select(*columns, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"), F.coalesce("type", F.lit(-1)).cast("int").alias("type"))
 
 
 def dm_histogram(points: DataFrame, keys: list[str], step: float) -> DataFrame:
