@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import dispersion, quantise
 from pulsegrid.functions.dispersion import Band
 from pulsegrid.operators import bandpass, beams, cluster, search, timeaxis
+from pulsegrid.shared import shared_folder
 from pulsegrid.streaming import heaps
 
 from . import inputs
@@ -406,8 +407,7 @@ def heap_assembly(spark, d):
     schema = inputs.read(spark, d, "events").schema
     packets = spark.readStream.schema(schema).option("pathGlobFilter", "*events*").parquet(f"{d}/events*.parquet")
     packets = packets.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).cast("int").alias("beam"), F.col("value").alias("payload"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return heaps.run_to_table(heaps.heaps(packets, 3600, "1 hour"), base).withColumn("total", r("total", 4))
+    return heaps.run_to_table(heaps.heaps(packets, 3600, "1 hour"), shared_folder(spark)).withColumn("total", r("total", 4))
 
 
 @query("running_fold", [], "SELECT CAST(l_suppkey % 2 AS INT) AS beam, CAST(floor(l_orderkey / 4.0) AS BIGINT) % 64 AS bin, sum(l_quantity) AS power, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -416,8 +416,7 @@ def running_fold(spark, d):
     schema = inputs.read(spark, d, "lineitem").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/lineitem*.parquet")
     profile = rows.groupBy((F.col("l_suppkey") % 2).cast("int").alias("beam"), (F.floor(F.col("l_orderkey") / 4.0) % 64).alias("bin")).agg(F.sum("l_quantity").alias("power"), F.count("*").alias("n"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return heaps.run_to_table(profile, base)
+    return heaps.run_to_table(profile, shared_folder(spark))
 
 
 # --- the whole search ------------------------------------------------------------

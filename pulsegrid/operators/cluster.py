@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import materialize
-from ..llm.components import components
+from pulsegrid.shared import components, materialize
 
 
 def neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
