@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from pulsegrid.shared import components, discard, materialize, scratch, write_table  # noqa: F401  (the operators take them from here)
 
 HELD_OUT_FOLDS = 5
 
@@ -17,28 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for ``name`` that driver and executors share.
-
-    It lies under ``spark.checkpoint.dir``. Where that is unset (tests on one
-    machine), the warehouse folder serves, which is shared as well.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the tasks it ran, and what was
-    written is not computed again.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for rows whose labels may not be learnt: crc32 of the id's text, mod 5, is 0.
 
@@ -51,26 +33,38 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % HELD_OUT_FOLDS == 0
 
 
+#: Bytes of input that a chunk holds, unless one row alone has more.
+CHUNK_BYTES = 8 << 20
+
+
+def chunks(batch: pa.RecordBatch, rows: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and ``size`` bytes; a larger row is a slice of its own."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if any(test(c.type) for test in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for k, n in enumerate(total.tolist()):
+        if k > first and (held + n > size or k - first == rows):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    yield batch.slice(first)
+
+
 def arrow_map(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str, chunk: int = 512) -> DataFrame:
     """Apply ``rows(*columns)`` to lists of up to ``chunk`` input values; it yields output tuples.
 
-    Chunks bound what a task holds of the output, whatever the texts' lengths.
+    Chunks bound what a task holds of the output, by rows and by bytes of input.
     """
     names = df.sparkSession.createDataFrame([], schema).schema
-    types = arrow_schema(names)
+    types = to_arrow_schema(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                part = batch.slice(at, chunk)
+            for part in chunks(batch, chunk):
                 out = list(rows(*(c.to_pylist() for c in part.columns)))
                 columns = list(zip(*out)) if out else [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
 
     return df.mapInArrow(run, names)
-
-
-def arrow_schema(schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
