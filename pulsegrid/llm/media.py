@@ -1,14 +1,16 @@
 """Operator 1: ISO media containers as columns.
 
-``parse`` walks the nested boxes of a file, decodes its sample tables and
-gives codec, duration and the byte ranges of keyframes; payload bytes are
-never decoded. ``wrap`` stores bytes losslessly as 8-bit grey samples in such
+``parse`` walks the nested boxes of a file, decodes its sample tables and the
+runs of its fragments, and gives codec, duration and the byte ranges of
+keyframes; payload bytes are never decoded. ``wrap`` stores bytes losslessly as 8-bit grey samples in such
 a file, one 64-byte (8 x 8) picture a sample.
 
 Defined results: a null media value has no tracks and no error; a truncated
-or malformed file has the tracks that could be read and ``error`` set; sizes
-of 0 (box runs to the end) and 64-bit sizes are followed. Repeated rows are
-handled one by one, other columns are ignored.
+or malformed file has the tracks that could be read and ``error`` set, and
+what its counts claim is never allocated before it fits the file; sizes of 0
+(box runs to the end) and 64-bit sizes are followed, boxes are walked to any
+depth. A track's samples are those of its tables, then those of its fragments.
+Repeated rows are handled one by one, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ SAMPLE_TICKS = 40
 KEYFRAME_EVERY = 16
 SAMPLES_PER_CHUNK = 32
 #: Boxes that only hold other boxes.
-PARENTS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"})
+PARENTS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"})
+#: Largest number that a column of the result holds.
+LARGEST = 2**63 - 1
 #: Identity matrix of the format's headers, 16.16 and 2.30 fixed point.
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -91,10 +95,16 @@ def wrap(payload: bytes) -> bytes:
 # --- reading ---------------------------------------------------------------
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path of box kinds, first byte of the body, end of the body), parents before their children."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
+    """(kind, first byte of the box, first byte of its body, end), parents before their children."""
+    ends, start = [len(data)], 0
+    while ends:
+        end = ends[-1]
+        if start + 8 > end:
+            if start != end:
+                raise ValueError("bytes are left over after the last box")
+            ends.pop()
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
@@ -105,13 +115,12 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} reaches past its parent")
-        here = (*path, kind)
-        yield here, start + head, start + size
+        yield kind, start, start + head, start + size
         if kind in PARENTS:
-            yield from walk(data, start + head, start + size, here)
-        start += size
-    if start != end:
-        raise ValueError("bytes are left over after the last box")
+            ends.append(start + size)
+            start += head
+        else:
+            start += size
 
 
 def _table(data: bytes, at: int, end: int, dtype: str, columns: int = 1) -> np.ndarray:
@@ -123,11 +132,18 @@ def _table(data: bytes, at: int, end: int, dtype: str, columns: int = 1) -> np.n
     return np.frombuffer(data, dtype, n * columns, at + 8).reshape(-1, columns).astype(np.int64)
 
 
+def _repeated(value: int, n: int, room: int) -> np.ndarray:
+    """``n`` samples of ``value`` bytes, which must fit into ``room`` bytes (of empty ones, no more than ``room``)."""
+    if n * max(value, 1) > room:
+        raise ValueError("there are more samples than bytes")
+    return np.full(n, value, np.int64)
+
+
 def _sizes(data: bytes, at: int, end: int, compact: bool) -> np.ndarray:
     if not compact:
         same, n = struct.unpack_from(">II", data, at + 4)
         if same:
-            return np.full(n, same, np.int64)
+            return _repeated(same, n, len(data))
         if at + 12 + 4 * n > end:
             raise ValueError("a sample table is cut off")
         return np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
@@ -147,14 +163,81 @@ def sample_ranges(tables: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarr
         return size, size
     if not len(runs) or not len(chunk) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
         raise ValueError("the chunk runs are out of order")
-    ends = np.append(runs[1:, 0], len(chunk) + 1)
-    per_chunk = np.repeat(runs[:, 1], np.maximum(0, ends - runs[:, 0]))[: len(chunk)]
-    if per_chunk.sum() < len(size):
+    ends = np.minimum(np.append(runs[1:, 0], len(chunk) + 1), len(chunk) + 1)
+    # a chunk holds no more samples than there are, so sums stay small
+    per_chunk = np.repeat(np.minimum(runs[:, 1], len(size)), np.maximum(0, ends - runs[:, 0]))
+    held = np.cumsum(per_chunk)
+    if not len(held) or held[-1] < len(size):
         raise ValueError("there are more samples than chunks hold")
-    of = np.repeat(np.arange(len(chunk)), per_chunk)[: len(size)]
+    of = np.searchsorted(held, np.arange(len(size)), "right")
     before = np.cumsum(size) - size
-    first = np.searchsorted(of, np.arange(len(chunk)))
-    return chunk[of] + before - before[first[of]], size
+    first = np.append(0, held)[of]
+    return chunk[of] + before - before[first], size
+
+
+class Fragments:
+    """Samples of movie fragments, by track."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.defaults: dict[int, tuple[int, int, int]] = {}  # trex: duration, size, flags
+        self.samples: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]] = {}  # offset, size, sync, ticks
+        self.moof = self.next = 0
+        self.track: int | None = None
+
+    def trex(self, at: int) -> None:
+        track, _, *rest = struct.unpack_from(">5I", self.data, at + 4)
+        self.defaults[track] = tuple(rest)
+
+    def begin(self, start: int) -> None:
+        self.moof = self.next = start
+
+    def tfhd(self, at: int) -> None:
+        flags, self.track = struct.unpack_from(">II", self.data, at)
+        flags &= 0xFFFFFF
+        self.now = list(self.defaults.get(self.track, (0, 0, 0)))
+        at += 8
+        self.base = self.moof if flags & 0x20000 else self.next
+        if flags & 1:
+            self.base = struct.unpack_from(">Q", self.data, at)[0]
+            at += 8
+        at += 4 if flags & 2 else 0
+        for k in range(3):
+            if flags & 8 << k:
+                self.now[k] = struct.unpack_from(">I", self.data, at)[0]
+                at += 4
+        self.next = self.base
+
+    def trun(self, at: int, end: int) -> None:
+        if self.track is None:
+            raise ValueError("a run has no fragment header")
+        flags, n = struct.unpack_from(">II", self.data, at)
+        flags &= 0xFFFFFF
+        at += 8
+        if flags & 1:
+            self.next = self.base + struct.unpack_from(">i", self.data, at)[0]
+            at += 4
+        first = None
+        if flags & 4:
+            first = struct.unpack_from(">I", self.data, at)[0]
+            at += 4
+        fields = [k for k in range(4) if flags & 0x100 << k]
+        if at + 4 * len(fields) * n > end:
+            raise ValueError("a run of samples is cut off")
+        table = np.frombuffer(self.data, ">u4", len(fields) * n, at).reshape(n, len(fields)).astype(np.int64) if fields else None
+        duration, size, flag = (table[:, fields.index(k)] if k in fields else None for k in range(3))
+        ticks = int(duration.sum()) if duration is not None else n * self.now[0]
+        if size is None:
+            size = _repeated(self.now[1], n, len(self.data))
+        sync = (flag if flag is not None else np.full(n, self.now[2], np.int64)) & 0x10000 == 0
+        if first is not None and n:
+            sync = sync.copy()
+            sync[0] = first & 0x10000 == 0
+        offset = self.next + np.cumsum(size) - size
+        self.next += int(size.sum())
+        if n and (offset[0] < 0 or self.next > len(self.data)):
+            raise ValueError("a sample lies past the end")
+        self.samples.setdefault(self.track, []).append((offset, size, sync, ticks))
 
 
 def parse(data: bytes | None) -> tuple[list[dict], str | None]:
@@ -166,27 +249,41 @@ def parse(data: bytes | None) -> tuple[list[dict], str | None]:
     def close() -> None:
         if not now:
             return
-        t = now["tables"]
-        if b"moved" in t or not {b"size", b"stsc", b"chunk"} <= t.keys():
+        t, done = now["tables"], dict(now)
+        now.clear()
+        if not {b"size", b"stsc", b"chunk"} <= t.keys():
             raise ValueError("a track has no sample tables")
         offset, size = sample_ranges(t)
-        if len(offset) and int((offset + size).max()) > len(data):
+        if len(offset) and (int(offset.min()) < 0 or int(offset.max()) > len(data) or int((offset + size).max()) > len(data)):
             raise ValueError("a sample lies past the end")
         key = t[b"stss"][:, 0] - 1 if b"stss" in t else np.arange(len(size))
         if len(key) and not (0 <= key.min() and key.max() < len(size)):
             raise ValueError("a keyframe has no sample")
-        now["offset"], now["size"], now["key"] = offset, size, key
-        if b"stts" in t and not now.get("duration"):
-            now["duration"] = int((t[b"stts"][:, 0] * t[b"stts"][:, 1]).sum())
-        tracks.append(dict(now))
-
+        done["offset"], done["size"], done["key"] = offset, size, key
+        if b"stts" in t and not done["duration"]:
+            done["duration"] = sum(a * b for a, b in t[b"stts"].tolist())
+        if (done["duration"] or 0) > LARGEST:
+            raise ValueError("a duration is out of range")
+        tracks.append(done)
+
+    fragments, inside = Fragments(data or b""), 0
     try:
-        for path, at, end in walk(data or b""):
-            kind = path[-1]
+        for kind, start, at, end in walk(data or b""):
+            if start >= inside:
+                close()
             if kind == b"trak":
                 close()
-                now = {"track_id": None, "handler": None, "codec": None, "width": None, "height": None, "timescale": None, "duration": None, "tables": {}}
-            elif not now or b"trak" not in path:
+                inside = end
+                now.update(track_id=None, handler=None, codec=None, width=None, height=None, timescale=None, duration=None, tables={})
+            elif kind == b"trex":
+                fragments.trex(at)
+            elif kind == b"moof":
+                fragments.begin(start)
+            elif kind == b"tfhd":
+                fragments.tfhd(at)
+            elif kind == b"trun":
+                fragments.trun(at, end)
+            elif not now:
                 continue
             elif kind == b"tkhd":
                 now["track_id"] = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
@@ -207,9 +304,25 @@ def parse(data: bytes | None) -> tuple[list[dict], str | None]:
         close()
     except (ValueError, struct.error, IndexError) as e:
         error = str(e)
+    for t in tracks:
+        add_fragments(t, fragments.samples.pop(t["track_id"], []))
+    if fragments.samples and error is None:
+        error = "a fragment belongs to no track"
     return tracks, error
 
 
+def add_fragments(track: dict, runs: list) -> None:
+    """Append the samples of a track's fragments; its duration grows by theirs where its header leaves it out."""
+    if not runs:
+        return
+    offset, size, sync, ticks = zip(*runs)
+    before = len(track["size"])
+    track["key"] = np.concatenate([track["key"], before + np.flatnonzero(np.concatenate(sync))])
+    track["offset"], track["size"] = np.concatenate([track["offset"], *offset]), np.concatenate([track["size"], *size])
+    if not track["duration"]:
+        track["duration"] = min(sum(ticks), LARGEST)
+
+
 def payload(data: bytes, track: dict) -> bytes:
     """The stored bytes of a track's samples, in order; neighbouring samples are read together."""
     offset, size = track["offset"], track["size"]

@@ -48,6 +48,7 @@ CRC_TOKEN = re.compile("(?:gh[opusr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A
 WIF = re.compile(f"(?<![{BASE58}])[5KL][{BASE58}]{{50,51}}(?![{BASE58}])")
 #: A private key starts with one of these, which follow from its version byte.
 WIF_STARTS = ("5h", "5j", "5k", *(a + b for a in "kl" for b in "12345wxyz"))
+JWT_RUN = re.compile("[A-Za-z0-9_-]*")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 
@@ -86,9 +87,10 @@ def wif_holds(text: str) -> bool:
 
 
 def jwt_holds(head: str) -> bool:
+    """Whether the header decodes to an object; one nested deeper than the parser goes doesn't."""
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -119,6 +121,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             continue
         m = {"assign": ASSIGN, "access": ACCESS, "crc_token": CRC_TOKEN, "jwt": JWT, "wif": WIF}[kind].match(text, start)
         if m is None:
+            if kind == "jwt":  # no start in the same run has the dots that this one lacks
+                done[kind] = JWT_RUN.match(text, start).end()
             continue
         done[kind] = m.end()
         if kind == "assign" and len(m[2]) < 6 or kind == "access" and m.end() - start < 20 or kind == "crc_token" and not crc_holds(m[1], m[2]) or kind == "jwt" and not jwt_holds(m[1]) or kind == "wif" and not wif_holds(m[0]):

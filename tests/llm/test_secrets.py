@@ -57,3 +57,14 @@ def test_query_shape(spark):
     assert sorted((r.n_assign, r.n_access, r.n_hex) for r in got) == [(0, 0, 0), (0, 0, 0), (0, 1, 0), (1, 0, 1)]
     first = next(r for r in got if r.n_assign)
     assert first.spans == "assign:0:49,hex:9:49" and first.base_sha256 == hashlib.sha256(first.spans.encode()).hexdigest()
+
+
+def test_nested_and_very_long_texts():
+    """Headers nested deeper than a parser goes hold no object, and megabytes of one alphabet are scanned in linear time."""
+    import base64
+
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 100_000 + b"]" * 100_000 + b"}").decode().rstrip("=")
+    assert [s for s in secrets.scan(f"x {deep}.e.f y") if s[2] == "jwt"] == []
+    for unit in ("a", "0", "AKIA", "token", "token=", "eyJ", "ghp_", "K", "1", "deadbeef ", "'", "secret:'", "İ"):
+        text = unit * (1_000_000 // len(unit))
+        assert [s for s in secrets.scan(text) if s[2] in secrets.KINDS[:3]] == brute(text), unit
