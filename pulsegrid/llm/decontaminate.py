@@ -10,9 +10,13 @@ budget is ``EDIT_SHARE`` of an item's length. Items come in blocks of at most
 ``BLOCK_CHARS`` characters, and each block is broadcast with one pass over the
 documents, so the broadcast's size is bounded whatever the benchmark's.
 
-Defined results: null and empty texts and items match nothing; items shorter
-than ``LEAST_CHARS`` are too short to tell a leak from chance and are skipped;
-equal items each match; a document has at most one row for an item, its best
+Items shorter than ``LEAST_CHARS`` have no edit budget: they are found exactly,
+where no letter or digit stands directly before or after them, by an
+Aho-Corasick automaton, as they may be shorter than a q-gram. Q-grams that many
+item places share are set aside, and the count that an item needs falls by as
+many as it holds of them; items made of such q-grams keep theirs.
+
+Defined results: null and empty texts and items match nothing; equal items each match; a document has at most one row for an item, its best
 region (fewest edits, then first); a repeated document id has a row for each
 of its rows that matches; extra columns are ignored.
 """
@@ -34,6 +38,12 @@ LEAST_CHARS = 40
 BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 2_000_000
 FILTER_BITS = 22
+#: Item places of a q-gram beyond which it is set aside.
+HOT_PLACES = 64
+#: Shared q-grams that are counted at once.
+HITS = 4_000_000
+#: Diagonals of neighbouring bands that are verified together.
+MERGED = 4096
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 
 
@@ -63,6 +73,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, t) for i, t in items if len(t) >= LEAST_CHARS]
+        self.short: dict[str, list[int]] = {}
+        for i, t in items:
+            if 0 < len(t) < LEAST_CHARS:
+                self.short.setdefault(t, []).append(i)
+        self.words = None
         length = np.array([len(t) for _, t in self.items], np.int64)
         self.length = length
         self.edits = np.minimum((EDIT_SHARE * length).astype(np.int64), (length - Q) // Q)
@@ -71,6 +86,13 @@ class Index:
         hashes = np.concatenate([*found, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(found)), [len(f) for f in found])
         place = np.concatenate([*(np.arange(len(f)) for f in found), np.empty(0, np.int64)])
+        _, of, places = np.unique(hashes, return_inverse=True, return_counts=True)
+        hot = places[of] > HOT_PLACES if len(hashes) else np.zeros(0, bool)
+        lost = np.bincount(item[hot], minlength=len(found))
+        eased = self.least - lost >= (self.least + 1) // 2
+        self.least = self.least - np.where(eased, lost, 0)
+        keep = ~(hot & eased[item]) if len(item) else np.zeros(0, bool)
+        hashes, item, place = hashes[keep], item[keep], place[keep]
         order = np.argsort(hashes, kind="stable")
         self.item, self.place = item[order], place[order]
         self.hash, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
@@ -78,8 +100,8 @@ class Index:
         self.filter[(self.hash & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         self.shift = np.exp2(np.ceil(np.log2(np.maximum(2, self.edits + 1)))).astype(np.int64)  # an item's bands are twice this and overlap by half
 
-    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, item, item position) of every shared q-gram."""
+    def hits(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text position, item, item position) of every shared q-gram, some at a time."""
         h = grams(code)
         at = np.flatnonzero(self.filter[(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
         k = np.searchsorted(self.hash, h[at])
@@ -87,32 +109,67 @@ class Index:
         same = self.hash[k] == h[at] if len(self.hash) else np.zeros(len(at), bool)
         at, k = at[same], k[same]
         n = self.count[k]
-        row = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[row], self.place[row]
-
-    def regions(self, code: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, first diagonal of a band) with enough shared q-grams, in the text ``code``."""
-        at, item, place = self.hits(code)
+        turn = (np.cumsum(n) - n) // HITS
+        for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(turn)) + 1):
+            m = n[cut]
+            row = np.repeat(self.first[k[cut]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield np.repeat(at[cut], m), self.item[row], self.place[row]
+
+    def regions(self, code: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first and last diagonal) of bands with enough shared q-grams, in the text ``code``; neighbours come as one."""
         # item positions start at a text's end at the latest, so diagonals are counted from -longest
         lift = int(self.length.max(initial=0)) + 2 * int(self.shift.max(initial=0))
-        diagonal = at - place + lift
-        wide = diagonal // self.shift[item]
         span = int(len(code) + lift) // int(self.shift.min(initial=2)) + 2
-        key = np.concatenate([item * span + wide, item * span + wide - 1])
-        found, n = np.unique(key, return_counts=True)
+        found, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for at, item, place in self.hits(code):
+            wide = (at - place + lift) // self.shift[item]
+            more, m = np.unique(np.concatenate([item * span + wide, item * span + wide - 1]), return_counts=True)
+            if len(found):
+                more, of = np.unique(np.concatenate([found, more]), return_inverse=True)
+                m = np.bincount(of, np.concatenate([n, m])).astype(np.int64)
+            found, n = more, m
         which = found // span
-        for k, i in zip(found[n >= self.least[which]].tolist(), which[n >= self.least[which]].tolist()):
-            yield i, (k % span) * int(self.shift[i]) - lift
+        good = n >= self.least[which]
+        found, which = found[good], which[good]
+        if not len(found):
+            return
+        together = np.concatenate([[False], (np.diff(found) == 1) & (np.diff(which) == 0)])
+        run = np.cumsum(~together)
+        place = np.arange(len(found)) - np.flatnonzero(~together)[run - 1]
+        begins = np.flatnonzero(~together | (place % (MERGED // self.shift[which] + 1) == 0))
+        for a, b in zip(begins.tolist(), np.append(begins[1:], len(found)).tolist()):
+            i, shift = int(which[a]), int(self.shift[which[a]])
+            yield i, int(found[a] % span) * shift - lift, int(found[b - 1] % span + 2) * shift - lift
+
+    def search_short(self, text: str, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item id, start, end, 0): the first place of each short item in each document."""
+        if not self.short:
+            return []
+        if self.words is None:
+            import ahocorasick
+
+            self.words = ahocorasick.Automaton()
+            for t in self.short:
+                self.words.add_word(t, t)
+            self.words.make_automaton()
+        found: dict[tuple[int, str], int] = {}
+        for last, item in self.words.iter(text):
+            start = last + 1 - len(item)
+            # a text ends in a separator, so there is a character after the match
+            if not (start and text[start - 1].isalnum() and item[0].isalnum() or text[last + 1].isalnum() and item[-1].isalnum()):
+                d = int(np.searchsorted(bounds, start, "right")) - 1
+                found.setdefault((d, item), start - int(bounds[d]))
+        return [(d, i, s, s + len(t), 0) for (d, t), s in sorted(found.items()) for i in self.short[t]]
 
     def search(self, code: np.ndarray, text: str, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, edits): best verified region of each pair; documents lie at ``bounds`` in ``text``."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i, diagonal in self.regions(code):
+        for i, lo, last in self.regions(code):
             item, e = self.items[i][1], int(self.edits[i])
-            lo, hi = diagonal, diagonal + 2 * int(self.shift[i]) + len(item)
+            hi = last + len(item)
             # every document that the band overlaps by what the item needs
-            first, last = max(int(np.searchsorted(bounds, lo - e, "right")) - 1, 0), int(np.searchsorted(bounds[:-1], hi + e))
-            begins, ends = np.maximum(lo - e, bounds[first:last]), np.minimum(hi + e, bounds[first + 1 : last + 1] - 1)
+            first, end = max(int(np.searchsorted(bounds, lo - e, "right")) - 1, 0), int(np.searchsorted(bounds[:-1], hi + e))
+            begins, ends = np.maximum(lo - e, bounds[first:end]), np.minimum(hi + e, bounds[first + 1 : end + 1] - 1)
             for k in np.flatnonzero(ends - begins >= len(item) - e).tolist():
                 d, a, b = first + k, int(begins[k]), int(ends[k])
                 if best.get((d, i), (e + 1,))[0] == 0:
@@ -193,6 +250,7 @@ def search_batch(index: Index, ids: list, texts: list) -> list[tuple]:
         text = "\0".join(chunk) + "\0"
         bounds = np.cumsum([0, *(len(t) + 1 for t in chunk)])
         out += [(ids[first + d], index.items[i][0], s, e, n) for d, i, s, e, n in index.search(codes(text), text, bounds)]
+        out += [(ids[first + d], *rest) for d, *rest in index.search_short(text, bounds)]
     return out
 
 
