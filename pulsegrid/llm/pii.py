@@ -1,11 +1,17 @@
 """Operator 8: surrogates for personal data, in DataFrame functions only.
 
 Regular expressions detect mentions of emails, phone numbers, IPv4 addresses,
-payment cards, social security numbers, IBANs and titled names. Each distinct
-entity gets a keyed replacement of its kind: the mention's punctuation, letter
-case and length classes stay, cards keep network and Luhn residue, IBANs keep
-country and valid check digits, names keep title, gender, script and number of
+payment cards, social security numbers, IBANs and names after a title or a
+salutation. Each distinct entity gets a keyed replacement of its kind: the
+mention's punctuation, letter case and length classes stay, cards keep the
+digits that tell their network and their Luhn residue, IBANs keep country and
+valid check digits, names keep title, gender, script, hyphens and number of
 words. Mentions of one entity in any format get one surrogate (coreference).
+Names without a title or salutation are not detected.
+
+The key comes from the setting ``spark.pulsegrid.pii.key``. Where that is unset,
+a random one is drawn and kept for the session, as a key that is public would
+let anyone try entities out; surrogates then differ from session to session.
 
 Surrogates are drawn from a digest of key, kind, entity and attempt. A draw
 that equals another entity's surrogate or any entity found in the corpus is
@@ -22,30 +28,43 @@ table's own.
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-KEY = "pulsegrid"
+KEY_SETTING = "spark.pulsegrid.pii.key"
 ATTEMPTS = 64
 GROW = 4
-MALE, FEMALE = ("Mr", "Herr", "Señor", "Monsieur", "господин"), ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "госпожа")
+MALE, FEMALE = ("Mr", "Herr", "Señor", "Monsieur", "господин", "Sir"), ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "госпожа", "Lady")
+#: Titles that tell no gender.
+NEUTRAL = ("Dr", "Prof")
+#: Salutations, after which a name has two words at least.
+SALUTATIONS = ("Dear", "Hello", "Querido", "Querida", "Cher", "Chère", "Liebe", "Lieber", "Уважаемый", "Уважаемая")
+#: Labels of a domain name, which has no more by its standard.
+LABELS = 127
+#: Groups of four that are taken as one IBAN: lists of them without separators are replaced as a whole.
+IBAN_GROUPS = 60
 _UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: A capital, then letters, which an apostrophe may stand between.
+_WORD = f"[{_UP}](?:['’]?[{_UP}{_LOW}])++"
 #: In the order of their trial at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{0,{LABELS}}}\.[A-Za-z]{{2,}}+",
+    "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,{IBAN_GROUPS}}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z.])(?:[3-6][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|4[0-9]{12})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
-    "name": rf"(?<![{_UP}{_LOW}])(?:{'|'.join(MALE + FEMALE)})\.? [{_UP}][{_LOW}]+(?:[ -][{_UP}][{_LOW}]+){{0,2}}",
+    "name": rf"(?<![{_UP}{_LOW}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {_WORD}|(?:{'|'.join(SALUTATIONS)}) (?!(?:{'|'.join(MALE + FEMALE + NEUTRAL)})[. ]){_WORD}[ -]{_WORD})(?:[ -]{_WORD})*+",
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention holds.
-HINT = "[0-9@]|" + "|".join(MALE + FEMALE)
+HINT = "[0-9@]|" + "|".join(MALE + FEMALE + NEUTRAL + SALUTATIONS)
 
 #: Syllables of made-up names, and their endings by gender, by script.
 SYLLABLES = {
@@ -68,8 +87,12 @@ def kind_of(mention: Column) -> Column:
 def entity_of(kind: Column, mention: Column) -> Column:
     """What equal mentions have in common: digits without separators, a phone's last ten, lower case; names keep a gender mark."""
     phone = F.when(F.length(digits(mention)) > 10, F.right(digits(mention), F.lit(10))).otherwise(digits(mention))
-    female = mention.rlike(f"^(?:{'|'.join(FEMALE)})(?![{_LOW}])")
-    name = F.concat(F.when(female, "f:").otherwise("m:"), F.lower(F.regexp_replace(mention, r"^\S+ ", "")))
+
+    def titled(titles):
+        return mention.rlike(f"^(?:{'|'.join(titles)})(?![{_UP}{_LOW}])")
+
+    words = F.lower(F.translate(F.regexp_replace(mention, r"^\S+ ", ""), "-", " "))
+    name = F.concat(F.when(titled(FEMALE), "f:").when(titled(MALE), "m:").otherwise("n:"), words)
     return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "name", name).otherwise(F.lower(mention))
 
 
@@ -77,6 +100,11 @@ def stream(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p for p in parts)), 256)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where the value is computed once, however often and deep in lambdas it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def byte(hashed: Column, i: Column) -> Column:
     """The i-th byte (from 0) of a digest, which repeats after 32."""
     return F.conv(F.substr(hashed, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -86,12 +114,11 @@ def like(text: Column, hashed: Column) -> Column:
     """Letters for letters and digits for digits, all else as it is."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
 
-    def one(c, i):
-        b = byte(hashed, i)
+    def one(c, b):
         letter = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), b % 26 + 1, F.lit(1))
         return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
 
-    return F.array_join(F.transform(chars, one), "")
+    return let(hashed, lambda h: F.array_join(F.transform(chars, lambda c, i: let(byte(h, i), lambda b: one(c, b))), ""))
 
 
 def luhn(number: Column) -> Column:
@@ -116,7 +143,8 @@ def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Col
     email = F.concat(like(local, h), like(F.repeat(F.lit("a"), grown), more), F.lit("@"), like(host, stream(key, "host", domain)), F.lit("."), F.substring_index(domain, ".", -1))
     octets = [(byte(h, F.lit(0)) % 223 + 1), byte(h, F.lit(1)), byte(h, F.lit(2)), byte(h, F.lit(3)) % 254 + 1]
     ip = F.concat_ws(".", *(o.cast("string") for o in octets))
-    body = F.concat(F.left(entity, F.lit(1)), like(F.substr(entity, F.lit(2), F.length(entity) - 2), h), F.lit("0"))
+    network = F.when(entity.startswith("4"), 1).when(entity.startswith("6011"), 4).otherwise(2)
+    body = F.concat(F.left(entity, network), like(F.substr(entity, network + 1, F.length(entity) - network - 1), h), F.lit("0"))
     card = F.concat(F.left(body, F.length(body) - 1), F.pmod(luhn(entity) - luhn(body), F.lit(10)).cast("string"))
     inner = like(F.substr(entity, F.lit(5)), h)
     rest = F.aggregate(
@@ -134,13 +162,13 @@ def surrogate_of(kind: Column, entity: Column, attempt: Column, key: str) -> Col
         .when(kind == "iban", iban)
         .when(kind == "ssn", like(entity, h))
         .when(kind == "phone", phone)
-        .otherwise(F.concat(F.left(entity, F.lit(2)), made_up_name(entity, h, grown)))
+        .otherwise(F.concat(F.left(entity, F.lit(2)), let(h, lambda known: made_up_name(entity, known, grown))))
     )
 
 
 def made_up_name(entity: Column, h: Column, grown: Column) -> Column:
     """Lower-case words, as many as the entity has; the first has ``grown`` more syllables, and its ending follows the gender mark."""
-    words = F.split(F.substr(entity, F.lit(3)), "[ -]")
+    words = F.split(F.substr(entity, F.lit(3)), " ")
 
     def pick(choices: str, i: Column) -> Column:
         parts = choices.split(" ")
@@ -152,7 +180,7 @@ def made_up_name(entity: Column, h: Column, grown: Column) -> Column:
         def one(w, i):
             more = F.slice(F.sequence(F.lit(12), F.lit(31)), F.lit(1), F.when(i == 0, grown).otherwise(0))
             base = F.concat(pick(middle, i * 4), pick(middle, i * 4 + 1), pick(middle, i * 4 + 2), F.array_join(F.transform(more, lambda j: pick(middle, j)), ""))
-            end = F.when((i == 0) & entity.startswith("f:"), pick(female, i * 4 + 3)).otherwise(pick(male, i * 4 + 3))
+            end = F.when((i == 0) & entity.startswith("f:"), pick(female, i * 4 + 3)).when((i == 0) & entity.startswith("n:"), "e").otherwise(pick(male, i * 4 + 3))
             return F.concat(base, end)
 
         return F.array_join(F.transform(words, one), " ")
@@ -174,38 +202,70 @@ def render(kind: Column, mention: Column, surrogate: Column) -> Column:
         )
 
     numbered = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: F.concat(s["out"], F.substr(plain, s["k"])))
-    name = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.initcap(F.substr(surrogate, F.lit(3))))
-    # an email in capitals stays in capitals
-    email = F.when(F.upper(mention) == mention, F.upper(surrogate)).otherwise(surrogate)
+    called = F.regexp_replace(mention, r"^\S+ ", "")
+    cased = F.zip_with(F.split(called, "[ -]"), F.split(F.substr(surrogate, F.lit(3)), " "), lambda m, s: F.when(F.upper(m) == m, F.upper(s)).otherwise(F.initcap(s)))
+    marks = F.concat(F.regexp_extract_all(called, F.lit("[ -]"), 0), F.array(F.lit("")))
+    name = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.array_join(F.zip_with(cased, marks, lambda w, m: F.concat(w, m)), ""))
+    email = F.concat(*(x for k in (1, -1) for x in (like_case(F.substring_index(mention, "@", k), F.substring_index(surrogate, "@", k)), F.lit("@") if k == 1 else F.lit(""))))
     return F.when(kind == "name", name).when(kind == "email", email).when(kind == "ip", surrogate).otherwise(numbered)
 
 
-def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity): all surrogates of a kind differ, and none is an entity."""
+def like_case(mention: Column, surrogate: Column) -> Column:
+    """The surrogate with capitals where the mention has them; what is longer follows a mention all in capitals."""
+
+    def chars(text):
+        return F.filter(F.split(text, ""), lambda c: c != "")
+
+    shaped = F.zip_with(chars(surrogate), chars(mention), lambda c, m: F.when(F.lower(m) != m, F.upper(c)).otherwise(c))
+    return F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(surrogate)).otherwise(F.array_join(shaped, ""))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the setting, or one drawn for the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def surrogate_table(entities: DataFrame, key: str | None = None) -> DataFrame:
+    """(kind, entity, surrogate) for distinct (kind, entity): all surrogates of a kind differ, and none is an entity.
+
+    Each attempt draws for those that clashed in the one before, and writes them alone.
+    """
+    key = session_key(entities.sparkSession) if key is None else key
     entities = materialize(entities, "pii-entities")
-    known = entities.select(F.col("kind").alias("k"), F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-    drawn = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ATTEMPTS):
-        drawn = drawn.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), F.col("attempt"), key))
-        same = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity")
-        ranked = drawn.withColumn("rank", F.row_number().over(same))
-        checked = ranked.join(known.withColumnRenamed("k", "kind"), ["kind", "surrogate"], "left")
-        checked = checked.select("kind", "entity", "attempt", "surrogate", (F.col("real").isNotNull() | (F.col("rank") > 1)).alias("clash"))
-        checked = materialize(checked, "pii-surrogates")
-        if checked.filter("clash").isEmpty():
-            return checked.select("kind", "entity", "surrogate")
-        drawn = checked.select("kind", "entity", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
+    taken = entities.select("kind", F.col("entity").alias("surrogate"))
+    pending, settled = entities, None
+    for attempt in range(ATTEMPTS):
+        drawn = pending.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("entity"), F.lit(attempt), key))
+        ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("entity")))
+        checked = ranked.join(taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
+        checked = materialize(checked.select("kind", "entity", "surrogate", (F.col("taken").isNotNull() | (F.col("rank") > 1)).alias("clash")), "pii-surrogates")
+        kept = checked.filter("not clash").select("kind", "entity", "surrogate")
+        settled = kept if settled is None else settled.unionByName(kept)
+        pending = checked.filter("clash").select("kind", "entity")
+        if pending.isEmpty():
+            return settled
+        taken = taken.unionByName(kept.select("kind", "surrogate"))
     raise ValueError("a kind has too few surrogates for its entities")
 
 
-def replace_mentions(documents: DataFrame, key: str = KEY, column: str = "text", count: str | None = None) -> DataFrame:
-    """``documents`` with surrogates in ``column``; ``count`` names a column for the number of mentions."""
+def replace_mentions(documents: DataFrame, key: str | None = None, column: str = "text", count: str | None = None) -> DataFrame:
+    """``documents`` with surrogates in ``column``; ``count`` names a column for the number of mentions, whose old values go.
+
+    Mentions are found once: texts are written with theirs, and those without any are not read by an expression again.
+    """
+    documents = documents.drop(count) if count else documents
     names = documents.columns
-    mark, parts, reps = (f"_{x}_{len(''.join(names))}" for x in ("key", "parts", "reps"))
+    mark, parts, reps, list_of = (f"_{x}_{len(''.join(names))}" for x in ("key", "parts", "reps", "mentions"))
     text = F.col(column)
-    has = text.isNotNull() & text.rlike(HINT) & text.rlike(MENTION)
-    held = documents.filter(has).withColumn(mark, F.unhex(F.sha2(text, 256)))
-    found = held.select(F.col(mark).alias("key"), F.regexp_extract_all(text, F.lit(MENTION), 0).alias("mentions")).dropDuplicates(["key"])
+    seen = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(MENTION), 0))
+    marked = materialize(documents.withColumn(list_of, seen), "pii-texts")
+    has = F.coalesce(F.size(list_of) > 0, F.lit(False))
+    held = marked.filter(has).withColumn(mark, F.unhex(F.sha2(text, 256)))
+    found = held.select(F.col(mark).alias("key"), F.col(list_of).alias("mentions")).dropDuplicates(["key"])
     mentions = found.select("key", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
     mentions = materialize(mentions.withColumn("entity", entity_of(F.col("kind"), F.col("mention"))), "pii-mentions")
     table = surrogate_table(mentions.select("kind", "entity").distinct(), key)
@@ -214,7 +274,7 @@ def replace_mentions(documents: DataFrame, key: str = KEY, column: str = "text",
     pieces = F.zip_with(F.split(text, MENTION, -1), F.concat(F.transform(F.col(reps), lambda r: r["put"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     changed = held.join(lists, mark).withColumn(parts, F.size(reps)).withColumn(column, F.array_join(pieces, ""))
     extra = [F.col(parts).alias(count)] if count else []
-    clean = documents.filter(~F.coalesce(has, F.lit(False))).select(*names, *([F.lit(0).alias(count)] if count else []))
+    clean = marked.filter(~has).select(*names, *([F.lit(0).alias(count)] if count else []))
     return clean.unionByName(changed.select(*names, *extra))
 
 
