@@ -2,7 +2,9 @@
 
 Every text is normalised, and its digest with the tokenizer's version is
 joined to a cache of counts. Only distinct texts that the cache lacks are
-encoded; their counts are appended to it.
+encoded; their counts are appended to it. Which they are is decided on digests
+and ids, and only then are their texts fetched: where they are few (the cache
+is warm), by a broadcast of their ids, which moves no text.
 
 The normal form collapses runs of ASCII white space, which the tokenizer's own
 normalizer does too, so equal digests have equal counts. The version is the
@@ -23,12 +25,14 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read_table, scratch
+from .common import arrow_map, materialize, read_table, scratch
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 #: Entries that a worker keeps of pieces between white space; then it starts anew.
 PIECES_KEPT = 600_000
+#: Missing texts whose ids are broadcast, at most; beyond, texts are shuffled to them.
+FEW_MISSES = 20_000
 #: The tokenizer's split into words, for the characters of ``PLAIN`` in lower case.
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 #: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
@@ -116,24 +120,31 @@ def stored_counts(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(schema).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def append_misses(documents: DataFrame, cache: str, path: str) -> None:
-    """Encode the distinct texts whose digests the cache lacks, and append their counts."""
-    spark = documents.sparkSession
-    texts = documents.select(content_digest(F.col("text"), version(path)).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    misses = texts.join(stored_counts(spark, cache), "digest", "left_anti").dropDuplicates(["digest"])
+def append_misses(documents: DataFrame, keyed: DataFrame, cache: str, path: str, few: int = FEW_MISSES) -> None:
+    """Encode the distinct texts whose digests the cache lacks, and append their counts.
+
+    ``keyed`` has the (doc_id, digest) of ``documents``; one document of each missing digest is chosen.
+    """
+    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("id")).join(stored_counts(documents.sparkSession, cache), "digest", "left_anti")
+    missing = materialize(missing, "token-misses")
+    source = documents.select(F.col("doc_id").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
+    side = F.broadcast(missing) if missing.count() <= few else missing.hint("merge")
+    # a document may have the id of another digest's
+    fetched = source.join(side, source["of"].eqNullSafe(missing["id"])).filter(content_digest(F.col("text"), version(path)) == F.col("digest"))
 
     def rows(digests, texts):
         count = counter(path).count
         for d, text in zip(digests, texts):
             yield d, count(text)
 
-    arrow_map(misses, rows, "digest binary, n_tokens long").write.mode("append").parquet(cache)
+    arrow_map(fetched.select("digest", "text"), rows, "digest binary, n_tokens long").write.mode("append").parquet(cache)
 
 
 def token_counts(documents: DataFrame, cache: str, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text; appends to ``cache`` what it lacked."""
-    append_misses(documents, cache, path)
-    keyed = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content_digest(F.col("text"), version(path)).alias("digest"))
+    digest = content_digest(F.col("text"), version(path))
+    keyed = materialize(documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest.alias("digest")), "token-digests")
+    append_misses(documents, keyed, cache, path)
     return keyed.join(stored_counts(documents.sparkSession, cache), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
