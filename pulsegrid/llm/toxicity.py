@@ -174,21 +174,23 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return delta, 2 * (fits(toxic, both) - toxic * math.log(n_toxic / every) - clean * math.log(n_clean / every))
 
 
-def calibrate(best: np.ndarray, tokens: np.ndarray) -> tuple[float, float]:
-    """Rate and scale of P(best < s) = exp(-scale * n * exp(-rate * s)) from clean texts' best segments.
+def calibrate(best: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Rate and scale of P(best < s) = exp(-scale * length * exp(-rate * s)) from clean texts' best segments.
 
-    The rate is the tail's (texts without a segment censor the lower end), the
-    scale then matches the share of texts beyond the tail's start.
+    ``n`` texts have a value of ``best`` each, and ``tokens`` together. The rate
+    is the tail's (texts without a segment censor the lower end), the scale then
+    matches the share of texts beyond the tail's start.
     """
     if not len(best):
         return 1.0, 1.0
-    start = max(np.quantile(best, 0.9), 1e-6)
-    tail = best[best >= start] - start
-    if not len(tail):  # no clean text has a segment: as if one had
-        return 1.0, 1 / max(float(tokens.sum()), 1.0)
-    rate = 1 / max(float(tail.mean()), 0.05)
-    scale = len(tail) / max(float(tokens.sum()), 1.0) * math.exp(min(rate * start, 500))
-    return rate, scale
+    order = np.argsort(best, kind="stable")
+    best, n, every = best[order], n[order], max(float(tokens.sum()), 1.0)
+    start = max(float(best[np.searchsorted(np.cumsum(n), 0.9 * n.sum())]), 1e-6)
+    tail = best >= start
+    if not tail.any():  # no clean text has a segment: as if one had
+        return 1.0, 1 / every
+    rate = 1 / max(float(np.average(best[tail] - start, weights=n[tail])), 0.05)
+    return rate, float(n[tail].sum()) / every * math.exp(min(rate * start, 500))
 
 
 def leanings(text_rows: DataFrame) -> dict[int, float]:
@@ -263,11 +265,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
                 scores = np.where(lean > 0, lean, -cost)
                 yield k, label, round(max((s for _, _, s in segments(scores)), default=0.0), 3), len(scores)
 
-    # a histogram of at most a few thousand cells, not rows: log2 of the length in quarters, score in tenths
+    # a histogram of at most a few thousand cells, not rows: log2 of the length in quarters, score in tenths, and beyond 60 in hundredths of its logarithm
+    fine, coarse = F.round(F.col("best") * 10) / 10, F.exp(F.round(F.log(F.greatest("best", F.lit(1.0))) * 100) / 100)
     cells = (
         arrow_map(train, rows, "k int, toxic int, best double, tokens long")
         .withColumn("cell", F.floor(F.log2(F.col("tokens") + 1) * 4))
-        .withColumn("best", F.least(F.round(F.col("best") * 10) / 10, F.lit(60.0)))
+        .withColumn("best", F.when(F.col("best") < 60, fine).otherwise(coarse))
         .groupBy("k", "toxic", "best", "cell")
         .agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
         .toPandas()
@@ -276,7 +279,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     for k, cost in enumerate(COSTS):
         part = cells[cells.k == k]
         clean, toxic = part[part.toxic == 0], part[part.toxic == 1]
-        rate, scale = calibrate(np.repeat(clean.best, clean.n).to_numpy(), np.repeat(clean.tokens / clean.n, clean.n).to_numpy())
+        rate, scale = calibrate(*(clean[c].to_numpy(float) for c in ("best", "tokens", "n")))
         m = Model(weight, cost, rate, scale, 0.0)
         p, n, y = (np.array(x) for x in zip(*[(m.log_p(b, t / n) if b > 0 else 0.0, n, y) for b, t, n, y in zip(part.best, part.tokens, part.n, part.toxic)]))
         order = np.argsort(p, kind="stable")
