@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, jaccard, packing, pii, tokens, toxicity
-from pulsegrid.llm.common import materialize, read_table
+from pulsegrid.llm.common import discard, read_table, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,8 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages applied to ``documents``, each written to the shared folder and read again; what the next one has read goes."""
+    docs, old = read_table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, new = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if old:
+            discard(spark, old)
+        old = new
     return STAGES[-1][1](spark, docs, sf_dir)
