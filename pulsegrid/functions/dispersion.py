@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +32,14 @@ class Band:
     tsamp: float = 0.005
     dms: int = 32
     dm_step: float = 2.0
+    beams: int = 2
 
     def frequency(self, chan: Column) -> Column:
         return F.lit(self.top) - F.lit(self.width) * chan
+
+
+def shifts(band: Band) -> np.ndarray:
+    """(trial, channel) whole samples of delay against the first channel, as ``dm_shift`` gives them."""
+    f = band.top - band.width * np.arange(band.channels)
+    delay = DISPERSION * (1.0 / (f * f) - 1.0 / (band.top * band.top))
+    return np.trunc(delay[None, :] * (band.dm_step * np.arange(band.dms))[:, None] / band.tsamp).astype(np.int64)

@@ -18,7 +18,7 @@ _STAGE = "SELECT beam, block // 2 AS block, d * 2 + o AS d, t - CASE WHEN block
 def dedisperse_tree(spark, d):
     """Sums along 16 straight tracks by a tree of four stages."""
     fb = inputs.filterbank(spark, d)
-    return trees.tree(fb, BAND.channels, search.samples(fb))
+    return trees.tree(fb, BAND.channels, inputs.samples(spark, d))
 
 
 _PHASE = "-2.0 * pi() * {c} * ((CASE WHEN k < 16 THEN k ELSE k - 32 END) * 0.0390625) * ((CASE WHEN k < 16 THEN k ELSE k - 32 END) * 0.0390625) / (174724.0 * (418.0 + (CASE WHEN k < 16 THEN k ELSE k - 32 END) * 0.0390625)) * 1e-6".format(c=repr(20.0 / trees.CHIRP / 1e6))
@@ -55,11 +55,10 @@ def mulaw_complex(spark, d):
     return v.select("series", "chan", F.shiftleft(half("re"), 4).bitwiseOR(half("im")).alias("code"))
 
 
-@query("median5_forward", ["fb"], ", s AS (SELECT beam, sample, sum(power) AS power, row_number() OVER (PARTITION BY beam ORDER BY sample) AS k FROM fb GROUP BY 1, 2) SELECT a.beam, a.sample, list_sort(list(b.power))[3] AS smooth FROM s a JOIN s b ON a.beam = b.beam AND b.k BETWEEN a.k AND a.k + 4 GROUP BY 1, 2 HAVING count(*) = 5")
+@query("median5_forward", ["dense"], " SELECT a.beam, a.sample, list_sort(list(b.power))[3] AS smooth FROM dense a JOIN dense b ON a.beam = b.beam AND b.sample BETWEEN a.sample AND a.sample + 4 GROUP BY 1, 2 HAVING count(*) = 5")
 def median5_forward(spark, d):
     """Median of each sample and the four after it; the last four have none."""
-    series = timeaxis.time_series(inputs.filterbank(spark, d))
-    return search.median_forward(series, ["beam"], "sample", "power").select("beam", "sample", "smooth")
+    return search.median_forward(timeaxis.time_series(inputs.filterbank(spark, d)), BAND.beams, inputs.samples(spark, d))
 
 
 @query("waterfall_fold", ["fb"], "SELECT CAST(sample % 128 AS BIGINT) AS sample, chan, sum(power) AS power FROM fb GROUP BY 1, 2")
@@ -73,7 +72,7 @@ def outlier_channels(spark, d):
     """Channels half a deviation above their beam's bandpass."""
     fb = inputs.filterbank(spark, d)
     w = Window.partitionBy("beam")
-    m = bandpass.bandpass(fb, search.samples(fb)).withColumn("m", F.avg("mean").over(w)).withColumn("s", F.stddev_pop("mean").over(w))
+    m = bandpass.bandpass(fb, inputs.samples(spark, d)).withColumn("m", F.avg("mean").over(w)).withColumn("s", F.stddev_pop("mean").over(w))
     return m.filter(F.col("mean") - F.col("m") > 0.5 * F.col("s")).select("beam", "chan", r("mean").alias("mean"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import dispersion, quantise
 from pulsegrid.functions.dispersion import Band
 from pulsegrid.operators import bandpass, beams, cluster, search, timeaxis
-from pulsegrid.shared import shared_folder
+from pulsegrid.shared import materialize, shared_folder
 from pulsegrid.streaming import heaps
 
 from . import inputs
@@ -20,6 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 BAND = Band()
 EPS = (3600.0, 20.0, 30.0)
+WIDE_EPS = (3600.0, 200.0, 100.0)
+KEYS = ["beam", "buffer", "cluster"]
+#: Output samples of a buffer, over which statistics are taken.
+BUFFER = 1024
 
 
 def query(name: str, needs: list[str] | None = None, sql: str | None = None):
@@ -133,7 +137,7 @@ def bin_channel(spark, d):
 def fold(spark, d):
     """Whole periods of 64 samples, summed and averaged by phase."""
     fb = inputs.filterbank(spark, d)
-    return timeaxis.fold(fb, search.samples(fb), 64).withColumn("mean", r("mean"))
+    return timeaxis.fold(fb, inputs.samples(spark, d), 64).withColumn("mean", r("mean"))
 
 
 @query("mean_stddev", ["fb"], "SELECT beam, round(avg(power), 6) AS mean, round(stddev_pop(power), 6) AS std, max(power) AS top, min(power) AS least FROM fb GROUP BY 1")
@@ -169,21 +173,21 @@ def multipixel_image(spark, d):
 def bandpass_means(spark, d):
     """Mean power of each channel."""
     fb = inputs.filterbank(spark, d)
-    return bandpass.bandpass(fb, search.samples(fb)).withColumn("mean", r("mean"))
+    return bandpass.bandpass(fb, inputs.samples(spark, d)).withColumn("mean", r("mean"))
 
 
 @query("bandpass_fit", ["fit"], "SELECT beam, chan, round(mean, 6) AS mean, round(fitted, 6) AS fitted FROM fit")
 def bandpass_fit(spark, d):
     """Line through the bandpass."""
     fb = inputs.filterbank(spark, d)
-    return bandpass.bandpass_fit(bandpass.bandpass(fb, search.samples(fb))).select("beam", "chan", r("mean").alias("mean"), r("fitted").alias("fitted"))
+    return bandpass.bandpass_fit(bandpass.bandpass(fb, inputs.samples(spark, d))).select("beam", "chan", r("mean").alias("mean"), r("fitted").alias("fitted"))
 
 
 @query("bandpass_stats", ["fit"], "SELECT beam, round(avg(mean), 6) AS mean, round(stddev_pop(mean), 6) AS std, round(sqrt(avg((mean - fitted) * (mean - fitted))), 6) AS rmse FROM fit GROUP BY 1")
 def bandpass_stats(spark, d):
     """Spread of the bandpass and its distance from the line."""
     fb = inputs.filterbank(spark, d)
-    return bandpass.bandpass_stats(bandpass.bandpass(fb, search.samples(fb))).select("beam", *(r(c).alias(c) for c in ("mean", "std", "rmse")))
+    return bandpass.bandpass_stats(bandpass.bandpass(fb, inputs.samples(spark, d))).select("beam", *(r(c).alias(c) for c in ("mean", "std", "rmse")))
 
 
 @query(
@@ -197,7 +201,7 @@ def bandpass_stats(spark, d):
 def channel_clip(spark, d):
     """Loud blocks of a channel replaced by the fit, with their neighbours."""
     fb = inputs.filterbank(spark, d)
-    fit = bandpass.bandpass_fit(bandpass.bandpass(fb, search.samples(fb)))
+    fit = bandpass.bandpass_fit(bandpass.bandpass(fb, inputs.samples(spark, d)))
     return bandpass.channel_clip(fb, fit, 16, 30.0).withColumn("power", r("power"))
 
 
@@ -211,7 +215,7 @@ def channel_clip(spark, d):
 def spectrum_clip(spark, d):
     """Spectra outside 2.5 deviations replaced by the bandpass."""
     fb = inputs.filterbank(spark, d)
-    return bandpass.spectrum_clip(fb, bandpass.bandpass(fb, search.samples(fb)), BAND.channels, 2.5).withColumn("power", r("power"))
+    return bandpass.spectrum_clip(fb, bandpass.bandpass(fb, inputs.samples(spark, d)), BAND.channels, 2.5).withColumn("power", r("power"))
 
 
 @query(
@@ -244,67 +248,65 @@ def block_dilate(spark, d):
 @query("dedisperse_brute", ["dd"], "SELECT beam, dm_idx, t, value FROM dd")
 def dedisperse_brute(spark, d):
     """The dedispersed plane of both beams over 32 trials."""
-    return search.dedisperse(inputs.filterbank(spark, d), BAND)
+    return search.dedisperse(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d))
 
 
 @query("dedisperse_single_dm", ["dd"], "SELECT beam, dm_idx, t, value FROM dd WHERE dm_idx = 7")
 def dedisperse_single_dm(spark, d):
     """One trial."""
-    return search.dedisperse(inputs.filterbank(spark, d), BAND, keep=[7])
+    return search.dedisperse(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d), keep=[7])
 
 
 @query(
     "dedisperse_subband",
-    ["fb", "nsamp", "shifts"],
+    ["grid"],
     """, sh AS (SELECT chan, chan // 4 AS subband, dm_idx, shift FROM shifts), top AS (SELECT subband, dm_idx, shift AS whole FROM sh WHERE chan % 4 = 0),
     inn AS (SELECT chan, sh.subband, sh.dm_idx AS coarse, shift - whole AS shift FROM sh JOIN top ON top.subband = sh.subband AND top.dm_idx = sh.dm_idx WHERE sh.dm_idx % 8 = 0),
-    one AS (SELECT beam, subband, coarse, sample - shift AS t, sum(power) AS power FROM fb JOIN inn USING (chan) GROUP BY 1, 2, 3, 4)
-    SELECT beam, dm_idx, t - whole AS t, sum(power) AS value FROM one JOIN top ON top.subband = one.subband AND top.dm_idx - top.dm_idx % 8 = one.coarse WHERE t - whole >= 0 AND t - whole < (SELECT n FROM nsamp) - (SELECT max(shift) FROM shifts) GROUP BY 1, 2, 3""",
+    one AS (SELECT beam, subband, coarse, sample - shift AS t, sum(power) AS power FROM fb JOIN inn USING (chan) GROUP BY 1, 2, 3, 4),
+    two AS (SELECT beam, dm_idx, t - whole AS t, sum(power) AS value FROM one JOIN top ON top.subband = one.subband AND top.dm_idx - top.dm_idx % 8 = one.coarse GROUP BY 1, 2, 3)
+    SELECT beam, dm_idx, t, coalesce(value, 0.0) AS value FROM grid LEFT JOIN two USING (beam, dm_idx, t)""",
 )
 def dedisperse_subband(spark, d):
     """Two-stage dedispersion over four sub-bands and every eighth coarse trial."""
-    return search.dedisperse_subband(inputs.filterbank(spark, d), BAND)
+    return search.dedisperse_subband(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d))
 
 
-@query("detect_threshold", ["dd"], ", s AS (SELECT beam, avg(value) AS mean, stddev_pop(value) AS rms FROM dd GROUP BY 1) SELECT beam, dm_idx, t, value, round((value - mean) / rms, 6) AS snr FROM dd JOIN s USING (beam) WHERE value - mean >= rms * 3.0")
+@query("detect_threshold", ["dd"], ", s AS (SELECT beam, t // 1024 AS buffer, avg(value) AS mean, stddev_pop(value) AS rms FROM dd GROUP BY 1, 2) SELECT dd.beam, dm_idx, t, value, round((value - mean) / rms, 6) AS snr FROM dd JOIN s ON s.beam = dd.beam AND s.buffer = t // 1024 WHERE value - mean >= rms * 3.0")
 def detect_threshold(spark, d):
-    """Points three deviations above their beam's mean."""
-    return search.detections(search.dedisperse(inputs.filterbank(spark, d), BAND), 3.0).withColumn("snr", r("snr"))
+    """Points three deviations above the mean of their beam's buffer of 1024 samples."""
+    return search.detect(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d), 3.0, BUFFER).withColumn("snr", r("snr"))
 
 
 @query(
     "median_filter",
-    ["fb"],
-    """, s AS (SELECT beam, sample, sum(power) AS power, row_number() OVER (PARTITION BY beam ORDER BY sample) - 1 AS k FROM fb GROUP BY 1, 2)
-    SELECT a.beam, a.sample, list_sort(list_concat([f.power for i in range(greatest(0, 2 - any_value(a.k)))], list(b.power)))[1 + (greatest(0, 2 - any_value(a.k)) + count(*)) // 2] AS smooth FROM s a JOIN s b ON a.beam = b.beam AND b.k BETWEEN a.k - 2 AND a.k + 2 JOIN s f ON f.beam = a.beam AND f.k = 0 GROUP BY 1, 2, f.power""",
+    ["dense"],
+    " SELECT a.beam, a.sample, list_sort(list(b.power))[3] AS smooth FROM dense a, range(-2, 3) o(i), dense b WHERE b.beam = a.beam AND b.sample = least(greatest(a.sample + o.i, 0), (SELECT n - 1 FROM nsamp)) GROUP BY 1, 2",
 )
 def median_filter(spark, d):
     """Running median of five of each beam's time series."""
-    series = timeaxis.time_series(inputs.filterbank(spark, d))
-    return search.median_filter(series, ["beam"], "sample", "power").select("beam", "sample", "smooth")
+    return search.median_filter(timeaxis.time_series(inputs.filterbank(spark, d)), BAND.beams, inputs.samples(spark, d))
 
 
 @query("detrend_normalise", ["dd"], ", f AS (SELECT beam, dm_idx, regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM dd GROUP BY 1, 2), q AS (SELECT beam, dm_idx, t, value - a * t - b AS residual FROM dd JOIN f USING (beam, dm_idx)), m AS (SELECT beam, dm_idx, sqrt(avg(residual * residual)) AS rms FROM q GROUP BY 1, 2) SELECT beam, dm_idx, t, round(residual / rms, 5) AS normal FROM q JOIN m USING (beam, dm_idx)")
 def detrend_normalise(spark, d):
     """Each dedispersed series without its trend, over its deviation."""
-    plane = search.dedisperse(inputs.filterbank(spark, d), BAND)
+    plane = search.dedisperse(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d))
     return search.detrend(plane, ["beam", "dm_idx"], "t", "value").select("beam", "dm_idx", "t", r("normal", 5).alias("normal"))
 
 
-for _width in (2, 6, 20):
+for _width in (2, 3, 4, 6, 9, 14, 20, 30, 45, 70, 100, 150):
 
     @query(f"boxcar_{_width}", ["dd"], f"SELECT beam, dm_idx, t, round(sum(value) OVER (PARTITION BY beam, dm_idx ORDER BY t ROWS BETWEEN {_width // 2} PRECEDING AND {(_width - 1) // 2} FOLLOWING) / sqrt({_width}.0), 6) AS match FROM dd")
     def boxcar(spark, d, width=_width):
         """Boxcar filter of the dedispersed plane."""
-        plane = search.dedisperse(inputs.filterbank(spark, d), BAND)
-        return search.boxcar(plane, ["beam", "dm_idx"], "t", "value", width).select("beam", "dm_idx", "t", r("match").alias("match"))
+        return search.boxcar(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d), width).select("beam", "dm_idx", "t", r("value").alias("match"))
 
 
-@query("tbb_semi_join", ["dd"], ", s AS (SELECT beam, avg(value) AS mean, stddev_pop(value) AS rms FROM dd GROUP BY 1), h AS (SELECT DISTINCT beam, CAST(floor(t / 256.0) AS BIGINT) AS buffer FROM dd JOIN s USING (beam) WHERE value - mean >= rms * 3.5) SELECT fb.beam, fb.sample, fb.chan, fb.power FROM fb SEMI JOIN h ON h.beam = fb.beam AND h.buffer = CAST(floor(fb.sample / 256.0) AS BIGINT)")
+@query("tbb_semi_join", ["dd"], ", s AS (SELECT beam, t // 256 AS buffer, avg(value) AS mean, stddev_pop(value) AS rms FROM dd GROUP BY 1, 2), h AS (SELECT DISTINCT dd.beam, buffer FROM dd JOIN s ON s.beam = dd.beam AND s.buffer = t // 256 WHERE value - mean >= rms * 3.5) SELECT fb.beam, fb.sample, fb.chan, fb.power FROM fb SEMI JOIN h ON h.beam = fb.beam AND h.buffer = CAST(floor(fb.sample / 256.0) AS BIGINT)")
 def tbb_semi_join(spark, d):
     """Raw samples of the buffers that hold a detection."""
     fb = inputs.filterbank(spark, d)
-    hits = search.detections(search.dedisperse(fb, BAND), 3.5).select("beam", F.floor(F.col("t") / 256).alias("buffer")).distinct()
+    hits = search.detect(fb, BAND, inputs.samples(spark, d), 3.5, 256).select("beam", F.floor(F.col("t") / 256).alias("buffer")).distinct()
     return fb.withColumn("buffer", F.floor(F.col("sample") / 256)).join(hits, ["beam", "buffer"], "left_semi").select("beam", "sample", "chan", "power")
 
 
@@ -354,11 +356,59 @@ def dbscan_neighbours(spark, d):
     return cluster.neighbours(inputs.detection_points(spark, d), EPS, ["beam", "buffer"])
 
 
-@query("dbscan")
+def clusters(spark, d):
+    """Density clusters of the events, each beam and day a buffer."""
+    return cluster.core_clusters(inputs.detection_points(spark, d), WIDE_EPS, 2, KEYS[:2])
+
+
+@query("dbscan", ["labelled"], "SELECT id, beam, buffer, cluster, type FROM labelled")
 def dbscan(spark, d):
     """Density clusters of each beam and buffer."""
-    found = cluster.core_clusters(inputs.detection_points(spark, d), (3600.0, 200.0, 100.0), 2, ["beam", "buffer"])
-    return found.select("id", "beam", "buffer", "cluster", "type")
+    return clusters(spark, d).select("id", "beam", "buffer", "cluster", "type")
+
+
+@query("dbscan_scan")
+def dbscan_scan(spark, d):
+    """The order-dependent clusters of each beam and buffer."""
+    return cluster.scan_clusters(inputs.detection_points(spark, d), WIDE_EPS, 2, KEYS[:2]).select("id", "beam", "buffer", "cluster")
+
+
+@query("dbscan_fast")
+def dbscan_fast(spark, d):
+    """The clusters of each beam and buffer that six extreme neighbours lead to."""
+    return cluster.scan_clusters(inputs.detection_points(spark, d), WIDE_EPS, 2, KEYS[:2], fast=True).select("id", "beam", "buffer", "cluster")
+
+
+@query("cluster_params", ["params"], "SELECT beam, buffer, cluster, n, max_dm, round(level, 4) AS level, round(max_snr, 4) AS max_snr, round(start, 3) AS start, round(width, 1) AS width, round(position, 3) AS position FROM params")
+def cluster_params(spark, d):
+    """Measure, snr, width and place of each cluster."""
+    out = cluster.cluster_params(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0, 32)
+    return out.select(*KEYS, "n", "max_dm", *(r(c, k).alias(c) for c, k in (("level", 4), ("max_snr", 4), ("start", 3), ("width", 1), ("position", 3))))
+
+
+_FAIR = "max_dm > 2.0 AND width > 0.0"
+_Y = "abs(6.91e-3 * (b.i * 50.0 - max_dm) * (20.0 / (width * power(0.418 - 0.01, 3))))"
+_MODEL = f"CASE WHEN b.i = floor(max_dm / 50.0 + 0.5) OR {_Y} = 0 THEN 1.0 WHEN {_Y} >= 6 THEN sqrt(pi()) * 0.5 / {_Y} ELSE exp(-{_Y} * {_Y}) * (SELECT sum(exp(2 * n.i * ln({_Y}) + n.i * ln(4.0) + lgamma(n.i + 1.0) - lgamma(2.0 * n.i + 2.0))) FROM range(150) n(i)) END"
+
+
+@query("classify_cluster", ["params"], f", curve AS (SELECT p.beam, p.buffer, p.cluster, avg((smooth / level - {_MODEL}) * (smooth / level - {_MODEL})) AS mse FROM params p CROSS JOIN range(32) b(i) JOIN smoothed s ON s.beam = p.beam AND s.buffer = p.buffer AND s.cluster = p.cluster AND s.bin = b.i WHERE {_FAIR} GROUP BY 1, 2, 3) SELECT beam, buffer, cluster, round(coalesce(mse, 1.0), 5) AS mse, CASE WHEN coalesce(mse, 1.0) < 0.1 THEN cluster ELSE -2 END AS class FROM params LEFT JOIN curve USING (beam, buffer, cluster)")
+def classify_cluster(spark, d):
+    """Clusters whose snr falls off the best measure as a pulse's does keep their number, others are -2."""
+    out = cluster.classify(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0, 32, BAND.width * BAND.channels, BAND.top)
+    return out.select(*KEYS, r("mse", 5).alias("mse"), F.when(F.col("pulse"), F.col("cluster")).otherwise(-2).alias("class"))
+
+
+@query("cluster_select", ["labelled"], "SELECT beam, count(*) FILTER (cluster = -1) AS noise, count(*) FILTER (cluster >= 0) AS kept FROM labelled GROUP BY 1")
+def cluster_select(spark, d):
+    """Points in clusters and in none."""
+    c = F.col("cluster")
+    return clusters(spark, d).groupBy("beam").agg(F.count_if(c == -1).alias("noise"), F.count_if(c >= 0).alias("kept"))
+
+
+@query("unique_clusters", ["found"], "SELECT beam, buffer, count(DISTINCT cluster) AS n FROM found GROUP BY 1, 2")
+def unique_clusters(spark, d):
+    """Number of clusters in each beam and buffer."""
+    return clusters(spark, d).filter("cluster >= 0").groupBy("beam", "buffer").agg(F.countDistinct("cluster").alias("n"))
 
 
 @query("dm_histogram", ["points"], "SELECT beam, buffer, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, round(sum(snr), 4) AS weight FROM points GROUP BY 1, 2, 3")
@@ -367,17 +417,17 @@ def dm_histogram(spark, d):
     return cluster.dm_histogram(inputs.detection_points(spark, d), ["beam", "buffer"], 50.0).withColumn("weight", r("weight", 4))
 
 
-@query("moving_average3", ["points"], "SELECT beam, buffer, bin, round(CASE WHEN p IS NULL OR n IS NULL THEN weight ELSE (p + weight + n) / 3.0 END, 4) AS smooth FROM (SELECT *, lag(weight) OVER w AS p, lead(weight) OVER w AS n FROM (SELECT beam, buffer, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, sum(snr) AS weight FROM points GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY beam, buffer ORDER BY bin))")
+@query("moving_average3", ["points"], ", h AS (SELECT beam, buffer, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, sum(snr) AS weight FROM points GROUP BY 1, 2, 3) SELECT k.beam, k.buffer, CAST(b.i AS INT) AS bin, round(CASE WHEN b.i IN (0, 31) THEN max(h.weight) FILTER (h.bin = b.i) ELSE sum(h.weight) / 3.0 END, 4) AS smooth FROM (SELECT DISTINCT beam, buffer FROM h) k CROSS JOIN range(32) b(i) JOIN h ON h.beam = k.beam AND h.buffer = k.buffer AND h.bin BETWEEN b.i - 1 AND b.i + 1 WHERE NOT b.i IN (0, 31) OR h.bin = b.i GROUP BY 1, 2, b.i")
 def moving_average3(spark, d):
     """Smoothed dm histograms."""
     hist = cluster.dm_histogram(inputs.detection_points(spark, d), ["beam", "buffer"], 50.0)
-    return cluster.smooth_histogram(hist, ["beam", "buffer"]).select("beam", "buffer", "bin", r("smooth", 4).alias("smooth"))
+    return cluster.smooth_histogram(hist, ["beam", "buffer"], 32).select("beam", "buffer", "bin", r("smooth", 4).alias("smooth"))
 
 
-@query("running_cluster_offset", ["points"], "SELECT beam, buffer, n, coalesce(CAST(sum(n) OVER (PARTITION BY beam ORDER BY buffer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM (SELECT beam, buffer, count(DISTINCT dm) AS n FROM points GROUP BY 1, 2)")
+@query("running_cluster_offset", ["found"], "SELECT beam, buffer, n, coalesce(CAST(sum(n) OVER (PARTITION BY beam ORDER BY buffer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM (SELECT beam, buffer, count(DISTINCT cluster) AS n FROM found GROUP BY 1, 2)")
 def running_cluster_offset(spark, d):
-    """First free number of each buffer, when those before took one for each dm."""
-    counts = inputs.detection_points(spark, d).groupBy("beam", "buffer").agg(F.countDistinct("dm").alias("n"))
+    """Clusters of a beam before each buffer, by which its numbers go on from the last buffer's."""
+    counts = clusters(spark, d).filter("cluster >= 0").groupBy("beam", "buffer").agg(F.countDistinct("cluster").alias("n"))
     before = F.sum("n").over(Window.partitionBy("beam").orderBy("buffer").rowsBetween(Window.unboundedPreceding, -1))
     return counts.withColumn("before", F.coalesce(before, F.lit(0)))
 
@@ -422,17 +472,19 @@ def running_fold(spark, d):
 # --- the whole search ------------------------------------------------------------
 
 
-@query("search_candidates")
-def search_candidates(spark, d):
-    """From filterbank to clusters: clip spectra, dedisperse, detect, cluster in buffers, and describe each cluster."""
-    fb = inputs.filterbank(spark, d)
-    clean = bandpass.spectrum_clip(fb, bandpass.bandpass(fb, search.samples(fb)), BAND.channels, 2.5)
-    hits = search.detections(search.dedisperse(clean, BAND), 3.0)
+def candidates(fb, samples):
+    """From filterbank to classified clusters: clip spectra, dedisperse and detect in buffers, cluster, describe, and tell pulses."""
+    clean = bandpass.spectrum_clip(fb, bandpass.bandpass(fb, samples), BAND.channels, 2.5)
+    hits = search.detect(clean, BAND, samples, 3.0, BUFFER)
     points = hits.select(
-        (F.col("t") * BAND.dms + F.col("dm_idx")).alias("id"), "beam", F.floor(F.col("t") / 1024).alias("buffer"),
+        (F.col("t") * BAND.dms + F.col("dm_idx")).alias("id"), "beam", F.floor(F.col("t") / BUFFER).alias("buffer"),
         (F.col("t") * BAND.tsamp).alias("time"), (F.col("dm_idx") * BAND.dm_step).alias("dm"), "snr",
     )
-    found = cluster.core_clusters(points, (8 * BAND.tsamp, 6.0, 2.0), 2, ["beam", "buffer"]).filter("cluster >= 0")
-    keys = ["beam", "buffer", "cluster"]
-    hist = cluster.smooth_histogram(cluster.dm_histogram(found, keys, BAND.dm_step), keys)
-    return cluster.cluster_params(found, hist, keys, BAND.dm_step)
+    found = materialize(cluster.scan_clusters(points, (8 * BAND.tsamp, 6.0, 2.0), 2, KEYS[:2]).filter("cluster > 0"), "candidates")
+    return cluster.classify(found, KEYS, BAND.dm_step, BAND.dms, BAND.width * BAND.channels, BAND.top)
+
+
+@query("search_candidates")
+def search_candidates(spark, d):
+    """The whole search over the filterbank."""
+    return candidates(inputs.filterbank(spark, d), inputs.samples(spark, d))

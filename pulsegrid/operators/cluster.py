@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.shared import components, materialize
 
+from .blocks import by_group
+
 
 def neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
     """(id, n): how many other points of the same group lie strictly within eps in time, dm and snr.
@@ -81,37 +87,160 @@ def dm_histogram(points: DataFrame, keys: list[str], step: float) -> DataFrame:
     return points.groupBy(*keys, F.floor(F.col("dm") / step + 0.5).cast("int").alias("bin")).agg(F.sum("snr").alias("weight"))
 
 
-def smooth_histogram(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Three-bin mean over the bins that exist; the ends stay."""
-    w = Window.partitionBy(*keys).orderBy("bin")
-    before, after = F.lag("weight").over(w), F.lead("weight").over(w)
-    return hist.withColumn("smooth", F.when(before.isNull() | after.isNull(), F.col("weight")).otherwise((before + F.col("weight") + after) / 3.0))
+def smooth_histogram(hist: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """(keys, bin, smooth): three-bin mean over all ``bins`` bins, empty ones as zero; the end bins stay. Bins of zero are left out."""
+    at = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
+    ends = F.col("to").isin(0, bins - 1)
+    spread = hist.filter(F.col("bin").between(0, bins - 1)).withColumn("to", at).filter(F.col("to").between(0, bins - 1) & (~ends | (F.col("to") == F.col("bin"))))
+    return spread.groupBy(*keys, F.col("to").alias("bin")).agg(F.sum(F.when(ends, F.col("weight")).otherwise(F.col("weight") / 3.0)).alias("smooth"))
+
 
+def cluster_params(points: DataFrame, keys: list[str], step: float, bins: int) -> DataFrame:
+    """(keys, n, max_dm, level, max_snr, start, width, position) of each cluster.
 
-def cluster_params(points: DataFrame, hist: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """(keys, n, max_dm, max_snr, start, width, position): peak of the smoothed histogram and extent of the points near it."""
-    peak = hist.groupBy(*keys).agg(F.max_by("bin", F.struct("smooth", -F.col("bin"))).alias("peak"))
-    near = points.join(peak, keys).withColumn("bin", F.floor(F.col("dm") / step + 0.5))
-    close = F.abs(F.col("bin") - F.col("peak")) <= 1
-    return near.groupBy(*keys).agg(
+    ``max_dm`` is the median of the histogram's bins above nine tenths of its peak, and ``level`` their mean. The
+    best snr is that within half a step of it; ``width`` is 0.4 of the time, in milliseconds, that points within a
+    step of it span, and ``position`` their middle.
+    """
+    smooth = smooth_histogram(dm_histogram(points, keys, step), keys, bins)
+    top = smooth.groupBy(*keys).agg(F.max("smooth").alias("top"))
+    high = smooth.join(top, keys).filter(F.col("smooth") > 0.9 * F.col("top"))
+    peak = high.groupBy(*keys).agg((F.median("bin") * step).alias("max_dm"), F.avg("smooth").alias("level"))
+    near = points.join(peak, keys)
+    off = F.abs(F.col("dm") - F.col("max_dm"))
+    first, last = F.min(F.when(off < step, F.col("time"))), F.max(F.when(off < step, F.col("time")))
+    return near.groupBy(*keys, "max_dm", "level").agg(
         F.count("*").alias("n"),
-        (F.first("peak") * step).alias("max_dm"),
-        F.max(F.when(close, F.col("snr"))).alias("max_snr"),
+        F.coalesce(F.max(F.when(off < step * 0.5, F.col("snr"))), F.lit(0.0)).alias("max_snr"),
         F.min("time").alias("start"),
-        (F.max(F.when(close, F.col("time"))) - F.min(F.when(close, F.col("time")))).alias("width"),
-        F.min(F.when(close, F.col("time"))).alias("position"),
+        ((last - first) * 400.0).alias("width"),
+        (first + (last - first) / 2.0).alias("position"),
     )
 
 
-def single_best(points: DataFrame, keys: list[str], order: str, value: str, reach: int) -> DataFrame:
-    """Candidates that no better one of their group lies within ``reach`` of; of equals the earlier stays."""
-    w = Window.partitionBy(*keys).orderBy(order).rangeBetween(-reach, reach)
-    best = F.max(F.struct(F.col(value), -F.col(order))).over(w)
-    return points.withColumn("best", best).filter((F.col("best")[value] == F.col(value)) & (F.col("best").getField("col2") == -F.col(order))).drop("best")
+def model_curve(y: Column) -> Column:
+    """Relative snr of a pulse dedispersed off its measure: sqrt(pi) / 2 * erf(y) / y, for y of any sign.
+
+    exp(-y^2) times the sum of (2 y^2)^n / (1 * 3 * .. * (2n + 1)), whose terms are all positive; beyond y = 6 the
+    error function is 1 to fifteen digits.
+    """
+    square = y * y
 
+    def add(state, n):
+        term = state["term"] * 2.0 * square / (2.0 * n + 1.0)
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
 
-def model_curve(x: Column, half: float) -> Column:
-    """Relative snr at a dm offset, by the series of the error function over its argument."""
-    y = F.abs(x) / half
-    series = F.lit(1.0) - y * y / 3 + F.pow(y, F.lit(4.0)) / 10 - F.pow(y, F.lit(6.0)) / 42
-    return F.when(y < 1, series).otherwise(0.8862269254527579 / F.greatest(y, F.lit(1.0)))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), add, lambda s: s["total"])
+    return F.when(F.abs(y) < 6.0, F.exp(-square) * series).otherwise(F.sqrt(F.pi()) * 0.5 / F.abs(y))
+
+
+def classify(points: DataFrame, keys: list[str], step: float, bins: int, band_mhz: float, top_mhz: float, least_width: float = 0.0) -> DataFrame:
+    """``cluster_params`` with ``mse``, the mean squared distance of the snr curve from a pulse's, and ``pulse``.
+
+    Clusters at a dm of 2 or less, or without a width above ``least_width``, are interference and have mse 1; of the
+    others those below 0.1 are pulses.
+    """
+    params = cluster_params(points, keys, step, bins)
+    smooth = smooth_histogram(dm_histogram(points, keys, step), keys, bins)
+    fair = (F.col("max_dm") > 2.0) & (F.col("width") > least_width)
+    freq = (top_mhz * 1e-3 - band_mhz * 1e-3 * 0.5) ** 3
+    grid = params.filter(fair).select(*keys, "max_dm", "level", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    y = F.lit(6.91e-3) * (F.col("bin") * step - F.col("max_dm")) * (band_mhz / (F.col("width") * freq))
+    model = F.when(F.col("bin") == F.floor(F.col("max_dm") / step + 0.5), 1.0).otherwise(model_curve(y))
+    miss = F.coalesce(F.col("smooth"), F.lit(0.0)) / F.col("level") - model
+    mse = grid.join(smooth, [*keys, "bin"], "left").groupBy(*keys).agg(F.avg(miss * miss).alias("mse"))
+    out = params.join(mse, keys, "left").withColumn("mse", F.coalesce("mse", F.lit(1.0)))
+    return out.withColumn("pulse", F.col("mse") < 0.1)
+
+
+def scan_clusters(points: DataFrame, eps: tuple[float, float, float], least: int, keys: list[str], fast: bool = False) -> DataFrame:
+    """The order-dependent clustering of a buffer: columns cluster (1.. in scan order, -1 noise) and type 0.
+
+    Points are scanned by dm, time and id. A point that no cluster has yet and that has ``least`` unvisited neighbours
+    starts one, which takes all unvisited points that chains of neighbours reach, however few each has; a point that
+    was visited as noise stays noise. With ``fast``, all of a point's neighbours count and join, only six extreme ones
+    are followed, those that have ``least`` neighbours, and noise may join later.
+
+    A buffer's points lie in one task, as their order decides; that is bounded by a buffer's samples and trials.
+    ``core_clusters`` has no such group.
+    """
+    at = points.columns
+    ready = points.select(*keys, "id", "time", "dm", "snr")
+
+    def of_group(key: tuple, columns: dict) -> Iterator[dict]:
+        order = np.lexsort((columns["id"], columns["time"], columns["dm"]))
+        label = (extremes if fast else chains)(*(columns[c][order] for c in ("time", "dm", "snr")), eps, least)
+        yield {**{k: np.full(len(order), v) for k, v in zip(keys, key)}, "id": columns["id"][order], "cluster": label}
+
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in [*keys, "id"])
+    labels = by_group(ready, keys, of_group, f"{kinds}, cluster int")
+    return points.join(labels, [*keys, "id"]).select(*at, "cluster", F.lit(0).alias("type"))
+
+
+class Cells:
+    """The points of a buffer by cells of eps, for neighbour searches."""
+
+    def __init__(self, time: np.ndarray, dm: np.ndarray, snr: np.ndarray, eps: tuple[float, float, float]):
+        self.axes, self.eps = (time, dm, snr), eps
+        self.cell = list(zip(*(np.floor(a / e).astype(np.int64).tolist() for a, e in zip((time, dm), eps))))
+        self.of: dict[tuple[int, int], list[int]] = {}
+        for i, c in enumerate(self.cell):
+            self.of.setdefault(c, []).append(i)
+        self.members = {c: np.array(m) for c, m in self.of.items()}
+
+    def near(self, i: int) -> np.ndarray:
+        """Points strictly within eps of ``i``, without itself, in order."""
+        t, d = self.cell[i]
+        around = [self.members[c] for a in (-1, 0, 1) for b in (-1, 0, 1) if (c := (t + a, d + b)) in self.members]
+        j = np.concatenate(around)
+        keep = j != i
+        for axis, e in zip(self.axes, self.eps):
+            keep &= np.abs(axis[j] - axis[i]) < e
+        return np.sort(j[keep])
+
+
+def chains(time: np.ndarray, dm: np.ndarray, snr: np.ndarray, eps: tuple[float, float, float], least: int) -> np.ndarray:
+    cells, label, found = Cells(time, dm, snr, eps), np.zeros(len(time), np.int32), 0
+    for i in range(len(time)):
+        if label[i]:
+            continue
+        near = cells.near(i)
+        near = near[label[near] == 0]
+        if len(near) < least:
+            label[i] = -1
+            continue
+        found += 1
+        label[i] = label[near] = found
+        todo = near.tolist()
+        while todo:
+            near = cells.near(todo.pop())
+            near = near[label[near] == 0]
+            label[near] = found
+            todo += near.tolist()
+    return label
+
+
+def extremes(time: np.ndarray, dm: np.ndarray, snr: np.ndarray, eps: tuple[float, float, float], least: int) -> np.ndarray:
+    cells, label, found = Cells(time, dm, snr, eps), np.zeros(len(time), np.int32), 0
+
+    def ends(near: np.ndarray) -> list[int]:
+        # of equals the last one
+        last = near[::-1]
+        return [int(last[f(axis[last])]) for axis in (time, dm, snr) for f in (np.argmin, np.argmax)]
+
+    for i in range(len(time)):
+        if label[i] > 0:
+            continue
+        near = cells.near(i)
+        if len(near) < least:
+            label[i] = -1
+            continue
+        found += 1
+        label[i] = label[near] = found
+        todo = deque(ends(near))
+        while todo:
+            near = cells.near(todo.popleft())
+            if len(near) >= least:
+                todo.extend(j for j in ends(near) if label[j] == 0)
+            label[near[label[near] <= 0]] = found
+    return label

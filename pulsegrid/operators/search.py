@@ -1,112 +1,189 @@
 """Dedispersion and detection over a filterbank (beam, sample, chan, power).
 
-The table of shifts has one row for each channel and trial, whatever the data's
-size, so it is broadcast. Power meets its trials by a join on the channel and
-is summed by (beam, trial, output sample); partial sums are taken before the
-shuffle.
+All of it works on dense blocks of samples (``blocks``): the input is shuffled
+once, to its beam and block with the largest delay as an edge, and sums over the
+channels are numpy's. Samples that a filterbank lacks have no power. Output
+samples are those whose channels all exist: 0 to ``samples`` less the largest delay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.dispersion import Band, dm_shift
+from pulsegrid.functions.dispersion import Band, dm_shift, shifts
+
+from . import blocks
+from .blocks import SIZE, dedispersed
 
-from .chunks import SIZE, over_rows
+PLANE = "beam int, dm_idx int, start long, value array<double>"
+CELLS = "beam int, dm_idx int, t long, value double, snr double"
 
 
 def shift_table(spark: SparkSession, band: Band, first: int = 0) -> DataFrame:
     """(chan, dm_idx, shift) relative to channel ``first``; band.channels * band.dms rows."""
-    chan, dm = spark.range(band.channels).select(F.col("id").cast("int").alias("chan")), spark.range(band.dms).select(F.col("id").cast("int").alias("dm_idx"))
+    chan = spark.range(band.channels).select(F.col("id").cast("int").alias("chan"), F.explode(F.sequence(F.lit(0), F.lit(band.dms - 1))).alias("dm_idx"))
     shift = dm_shift(band.frequency(F.col("chan")), band.frequency(F.lit(first)), F.lit(band.dm_step) * F.col("dm_idx"), band.tsamp)
-    return chan.join(F.broadcast(dm)).select("chan", "dm_idx", shift.alias("shift"))
+    return chan.select("chan", "dm_idx", shift.alias("shift"))
 
 
 def samples(fb: DataFrame) -> int:
     """Number of samples of a filterbank."""
-    return (fb.agg(F.max("sample")).first()[0] or -1) + 1
+    last = fb.agg(F.max("sample")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def cells(plane: DataFrame) -> DataFrame:
+    """(beam, dm_idx, t, value) from rows of arrays."""
+    return plane.select("beam", "dm_idx", "start", F.posexplode("value").alias("at", "value")).select("beam", "dm_idx", (F.col("start") + F.col("at")).alias("t"), "value")
+
+
+def one_row(beam: int, trial: int, start: int, value: np.ndarray) -> dict:
+    return {"beam": [beam], "dm_idx": [trial], "start": [start], "value": [value]}
+
 
+def plane(fb: DataFrame, band: Band, samples: int, keep: list[int] | None = None, size: int = SIZE) -> DataFrame:
+    """``PLANE``: each block's channel sums at each trial, or at those of ``keep``."""
+    delay = shifts(band)
+    trials = range(band.dms) if keep is None else keep
 
-def max_shift(spark: SparkSession, band: Band) -> int:
-    return shift_table(spark, band).agg(F.max("shift")).first()[0]
+    def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        for d in trials:
+            yield one_row(beam, d, start, dedispersed(cube, delay[d], length))
 
+    return blocks.cubes(fb, band, samples, size, of_cube, PLANE)
 
-def dedisperse(fb: DataFrame, band: Band, keep: list[int] | None = None) -> DataFrame:
-    """(beam, dm_idx, t, value): channel sums at each trial, for output samples whose channels all exist."""
-    spark = fb.sparkSession
-    shifts = shift_table(spark, band)
-    if keep is not None:
-        shifts = shifts.filter(F.col("dm_idx").isin(keep))
-    end = samples(fb) - max_shift(spark, band)
-    t = F.col("sample") - F.col("shift")
-    shifted = fb.join(F.broadcast(shifts), "chan").withColumn("t", t).filter((F.col("t") >= 0) & (F.col("t") < end))
+
+def dedisperse(fb: DataFrame, band: Band, samples: int, keep: list[int] | None = None) -> DataFrame:
+    """(beam, dm_idx, t, value): channel sums at each trial."""
+    return cells(plane(fb, band, samples, keep))
+
+
+def dedisperse_join(fb: DataFrame, band: Band, samples: int) -> DataFrame:
+    """The same by a join with the table of delays, for comparison: cells that hold any power, and a shuffle of all of them."""
+    table = shift_table(fb.sparkSession, band)
+    end = samples - int(shifts(band).max())
+    shifted = fb.join(table, "chan").withColumn("t", F.col("sample") - F.col("shift")).filter((F.col("t") >= 0) & (F.col("t") < end))
     return shifted.groupBy("beam", "dm_idx", "t").agg(F.sum("power").alias("value"))
 
 
-def dedisperse_subband(fb: DataFrame, band: Band, subband: int = 4, coarse: int = 8) -> DataFrame:
+def dedisperse_subband(fb: DataFrame, band: Band, samples: int, subband: int = 4, coarse: int = 8, size: int = SIZE) -> DataFrame:
     """Two stages: channels to sub-bands at each coarse trial, then sub-bands at the fine ones.
 
     A fine trial takes its sub-band sums from the coarse trial below it.
     """
-    spark = fb.sparkSession
-    table = shift_table(spark, band)
-    top = table.withColumn("subband", F.floor(F.col("chan") / subband).cast("int")).filter(F.col("chan") % subband == 0).select("subband", "dm_idx", F.col("shift").alias("whole"))
-    inner = table.withColumn("subband", F.floor(F.col("chan") / subband).cast("int")).filter(F.col("dm_idx") % coarse == 0).join(F.broadcast(top), ["subband", "dm_idx"])
-    inner = inner.select("chan", "subband", F.col("dm_idx").alias("coarse_idx"), (F.col("shift") - F.col("whole")).alias("shift"))
-    end = samples(fb) - max_shift(spark, band)
-    first = fb.join(F.broadcast(inner), "chan").withColumn("t", F.col("sample") - F.col("shift")).groupBy("beam", "subband", "coarse_idx", "t").agg(F.sum("power").alias("power"))
-    outer = top.withColumn("coarse_idx", F.col("dm_idx") - F.col("dm_idx") % coarse)
-    second = first.join(F.broadcast(outer), ["subband", "coarse_idx"]).withColumn("t", F.col("t") - F.col("whole")).filter((F.col("t") >= 0) & (F.col("t") < end))
-    return second.groupBy("beam", "dm_idx", "t").agg(F.sum("power").alias("value"))
-
-
-def detections(dd: DataFrame, sigmas: float) -> DataFrame:
-    """Points of a dedispersed plane at least ``sigmas`` above their beam's mean, with snr.
-
-    Mean and deviation are two numbers for each beam, joined back by the beam.
+    delay = shifts(band)
+    tops = np.arange(0, band.channels, subband)
+
+    def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        for c in range(0, band.dms, coarse):
+            fine = range(c, min(c + coarse, band.dms))
+            room = length + int(delay[fine[-1], tops[-1]])
+            sums = np.zeros((len(tops), room))
+            for k, top in enumerate(tops.tolist()):
+                for chan in range(top, min(top + subband, band.channels)):
+                    part = cube[chan, delay[c, chan] - delay[c, top] :][:room]
+                    sums[k, : len(part)] += part
+            for d in fine:
+                yield one_row(beam, d, start, dedispersed(sums, delay[d, tops], length))
+
+    return cells(blocks.cubes(fb, band, samples, size, of_cube, PLANE))
+
+
+def detect(fb: DataFrame, band: Band, samples: int, sigmas: float, buffer: int) -> DataFrame:
+    """``CELLS`` at least ``sigmas`` deviations above their buffer's mean, over all its trials, with snr.
+
+    A block is a buffer of output samples, so its plane, its statistics and what passes the threshold need no other
+    task; trials are dedispersed twice, so that no more than one is held.
     """
-    stats = dd.groupBy("beam").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("rms"))
-    found = dd.join(F.broadcast(stats), "beam").filter(F.col("value") - F.col("mean") >= F.col("rms") * sigmas)
-    return found.select("beam", "dm_idx", "t", "value", ((F.col("value") - F.col("mean")) / F.col("rms")).alias("snr"))
+    delay = shifts(band)
 
+    def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        n, mean, rest = 0, 0.0, 0.0
+        for d in range(band.dms):  # means and squares are merged trial by trial
+            v = dedispersed(cube, delay[d], length)
+            m, s = v.mean(), ((v - v.mean()) ** 2).sum()
+            rest += s + (m - mean) ** 2 * n * length / (n + length)
+            mean += (m - mean) * length / (n + length)
+            n += length
+        rms = np.sqrt(rest / n)
+        for d in range(band.dms):
+            v = dedispersed(cube, delay[d], length)
+            t = np.flatnonzero(v - mean >= rms * sigmas) if rms > 0 else np.zeros(0, np.int64)
+            yield {"beam": np.full(len(t), beam), "dm_idx": np.full(len(t), d), "t": start + t, "value": v[t], "snr": (v[t] - mean) / rms if rms > 0 else v[t]}
 
-def median_filter(series: DataFrame, keys: list[str], order: str, value: str, wing: int = 2, size: int = SIZE) -> DataFrame:
-    """Centred running median; before the first sample stand copies of it, at the end the frame shrinks."""
+    return blocks.cubes(fb, band, samples, buffer, of_cube, CELLS)
 
-    def columns(w: WindowSpec) -> dict[str, Column]:
-        # only the first chunk, where a window's first row is the series' first, holds ranks below the wing
-        missing = (F.lit(wing) - F.least(F.col("rank"), F.lit(wing))).cast("int")
-        first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        middle = F.sort_array(F.concat(F.array_repeat(first, missing), F.collect_list(value).over(w.rowsBetween(-wing, wing))))
-        return {"smooth": F.get(middle, F.floor(F.size(middle) / 2).cast("int"))}
 
-    return over_rows(series, keys, order, wing, wing, columns, size).drop("rank")
+def detect_single(fb: DataFrame, band: Band, samples: int, sigmas: float, chunk: int, least_dm: float = 1.0) -> DataFrame:
+    """``CELLS`` of series smoothed by a median of five samples forward, against the noise of each trial's chunk, above ``least_dm``.
 
+    The last four samples have no median. Means and deviations are those of the chunk's unsmoothed samples.
+    """
+    delay = shifts(band)
+    end = samples - int(delay.max())
+
+    def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        own = min(chunk, end - start)
+        for d in range(band.dms):
+            if band.dm_step * d <= least_dm:
+                continue
+            v = dedispersed(cube, delay[d], length)
+            noise = v[:own]
+            mean, rms = noise.mean(), noise.std()
+            smooth = np.median(np.lib.stride_tricks.sliding_window_view(v, 5), axis=1)[:own] if length >= 5 else v[:0]
+            t = np.flatnonzero(smooth - mean >= rms * sigmas) if rms > 0 else np.zeros(0, np.int64)
+            yield {"beam": np.full(len(t), beam), "dm_idx": np.full(len(t), d), "t": start + t, "value": smooth[t], "snr": (smooth[t] - mean) / rms if rms > 0 else smooth[t]}
+
+    return blocks.cubes(fb, band, samples, chunk, of_cube, CELLS, after=4)
+
+
+def boxcar(fb: DataFrame, band: Band, samples: int, width: int, size: int = SIZE) -> DataFrame:
+    """(beam, dm_idx, t, value): matched filter of one width over each trial: running sum over the root of the width."""
+    delay = shifts(band)
+    back, ahead = width // 2, (width - 1) // 2
+    end = samples - int(delay.max())
 
-def median_forward(series: DataFrame, keys: list[str], order: str, value: str, width: int = 5, size: int = SIZE) -> DataFrame:
-    """Median of each row and those after it; rows with too few after them go."""
+    def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        own = start if start == 0 else start + back
+        stop = min(end, own - own % size + size)
+        at = np.arange(own - start, stop - start)
+        for d in range(band.dms):
+            total = np.concatenate([[0.0], np.cumsum(dedispersed(cube, delay[d], length))])
+            yield one_row(beam, d, own, (total[np.minimum(at + ahead + 1, length)] - total[np.maximum(at - back, 0)]) / np.sqrt(width))
 
-    def columns(w: WindowSpec) -> dict[str, Column]:
-        return {"frame": F.collect_list(value).over(w.rowsBetween(0, width - 1))}
+    return cells(blocks.cubes(fb, band, samples, size, of_cube, PLANE, before=back, after=ahead))
 
-    out = over_rows(series, keys, order, 0, width - 1, columns, size).filter(F.size("frame") == width)
-    return out.withColumn("smooth", F.get(F.sort_array("frame"), width // 2)).drop("frame", "rank")
 
+def median_filter(rows: DataFrame, beams: int, samples: int, wing: int = 2, size: int = SIZE) -> DataFrame:
+    """(beam, sample, smooth): centred running median of (beam, sample, power); copies of the end samples stand beyond the ends."""
 
-def detrend(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Residuals of each series' least-squares line, over their root mean square."""
-    fit = series.groupBy(*keys).agg(F.regr_slope(value, order).alias("slope"), F.regr_intercept(value, order).alias("icpt"))
-    rest = series.join(fit, keys).withColumn("residual", F.col(value) - F.col("slope") * F.col(order) - F.col("icpt")).drop("slope", "icpt")
-    rms = rest.groupBy(*keys).agg(F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rms"))
-    return rest.join(rms, keys).withColumn("normal", F.col("residual") / F.col("rms"))
+    def smooth(values: np.ndarray, left: int, right: int) -> np.ndarray:
+        padded = np.pad(values, (wing - left, wing - right), "edge")
+        return np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * wing + 1), axis=1)
 
+    return blocks.series(rows, beams, samples, size, smooth, wing, wing)
 
-def boxcar(series: DataFrame, keys: list[str], order: str, value: str, width: int, size: int = SIZE) -> DataFrame:
-    """Matched filter of one width: running sum over the root of the width."""
-    back, ahead = width // 2, (width - 1) // 2
 
-    def columns(w: WindowSpec) -> dict[str, Column]:
-        return {"match": F.sum(value).over(w.rowsBetween(-back, ahead)) / F.sqrt(F.lit(float(width)))}
+def median_forward(rows: DataFrame, beams: int, samples: int, width: int = 5, size: int = SIZE) -> DataFrame:
+    """(beam, sample, smooth): median of each sample and those after it; samples with too few after them go."""
 
-    return over_rows(series, keys, order, back, ahead, columns, size).drop("rank")
+    def smooth(values: np.ndarray, left: int, right: int) -> np.ndarray:
+        return np.median(np.lib.stride_tricks.sliding_window_view(values, width), axis=1) if len(values) >= width else values[:0]
+
+    return blocks.series(rows, beams, samples, size, smooth, 0, width - 1)
+
+
+def detrend(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Residuals of each series' least-squares line, over their root mean square.
+
+    One aggregation gives the line and, as the sum of squares that it leaves, the root mean square; it has a row for
+    each series, which is one of the instrument's beams and trials.
+    """
+    y, x = F.col(value), F.col(order)
+    fit = series.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icpt"), F.sqrt((F.regr_syy(y, x) - F.regr_slope(y, x) * F.regr_sxy(y, x)) / F.count("*")).alias("rms"))
+    rest = series.join(fit, keys).withColumn("residual", y - F.col("slope") * x - F.col("icpt"))
+    return rest.withColumn("normal", F.col("residual") / F.col("rms")).drop("slope", "icpt")
