@@ -52,6 +52,8 @@ PERCENT = 85
 BLOCK_SHINGLES = 400_000
 #: Sets of a block that all its chunks are searched for.
 PIVOTS = 8
+#: Chunks that lie together when what pivots didn't reach is searched for.
+JOINED_CHUNKS = 4
 WORDS_KEPT = 500_000
 #: DivideSkip's weight of a list's length in the number of lists it probes.
 PROBE_WEIGHT = 0.0085
@@ -350,13 +352,13 @@ def chunked(blocks: DataFrame, limit: int) -> DataFrame:
 
 def links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
     """(a, b): edges that join each component, from (set_key, n, block, ..); ``texts`` adds ``text`` to rows of sets."""
-    members = materialize(chunked(members, limit), "block-members")
-    first = materialize(grouped_links(texts(members).select("block", "own", "chunks", "set_key", "text"), ["block", "own"], within_chunks), "chunk-links")
+    held = materialize(texts(chunked(members, limit)).select("block", "own", "chunks", "set_key", "n", "text"), "block-texts")
+    first = materialize(grouped_links(held.drop("n"), ["block", "own"], within_chunks), "chunk-links")
     edges = first.filter("a <> b").select("a", "b")
-    wide = members.filter("chunks > 1")
+    whole = held.filter("chunks > 1")
+    wide = whole.select("block", "own", "chunks", "set_key", "n")
     if wide.isEmpty():
         return edges
-    whole = materialize(texts(wide).select("block", "own", "chunks", "set_key", "n", "text"), "wide-blocks")
 
     best = Window.partitionBy("block").orderBy(F.desc("degree"), "b")
     pivots = first.filter("degree is not null").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PIVOTS).select("block", F.col("b").alias("set_key"))
@@ -370,13 +372,15 @@ def links(members: DataFrame, texts: Callable[[DataFrame], DataFrame], limit: in
     of = wide.select("block", "set_key", "n", "chunks").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     largest = materialize(of.groupBy("block", "root").agg(F.count("*").alias("size")).groupBy("block").agg(F.max_by("root", F.struct("size", "root")).alias("main")), "wide-largest")
     of = materialize(of.join(largest, "block").select("block", "set_key", "n", "chunks", (F.col("root") == F.col("main")).alias("inside")), "wide-sets")
-    left = materialize(chunked(of.filter("not inside").select("block", "set_key", "n", F.col("chunks").alias("of_chunks")), limit), "left-sets")
+    # the search for what is left has room for several chunks, so that fewer copies are made
+    joined = F.floor(F.col("own") / JOINED_CHUNKS).cast("int")
+    left = materialize(chunked(of.filter("not inside").select("block", "set_key", "n", F.ceil(F.col("chunks") / JOINED_CHUNKS).cast("int").alias("of_chunks")), limit * JOINED_CHUNKS), "left-sets")
     if left.isEmpty():
         return edges.unionByName(second)
     queries = whole.select("set_key", "text").join(left, "set_key").withColumn("turn", F.col("own")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("of_chunks") - 1)))
     turns = materialize(left.groupBy("block").agg(F.max("chunks").alias("turns")), "left-turns")
     met = of.join(turns, "block").select("set_key", "inside", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-    searched = whole.join(met, "set_key")
+    searched = whole.join(met, "set_key").withColumn("own", joined)
     columns = [*columns, "turn"]
     both = queries.select(*columns, F.lit(True).alias("asks"), F.lit(False).alias("inside")).unionByName(searched.select(*columns, F.lit(False).alias("asks"), "inside"))
     third = materialize(grouped_links(both, ["block", "own", "turn"], to_queries), "left-links").select("a", "b")
@@ -394,7 +398,7 @@ def grouped(documents: DataFrame, limit: int = BLOCK_SHINGLES) -> DataFrame:
 
     def texts(rows: DataFrame) -> DataFrame:
         # one row of each class is named, so copies are not fetched; rows with one id and equal texts are one set again
-        return rows.join(source, (rows["of_text"] == source["key"]) & rows["of_id"].eqNullSafe(source["id"]))
+        return rows.hint("merge").join(source, (rows["of_text"] == source["key"]) & rows["of_id"].eqNullSafe(source["id"]))
 
     roots = components(links(members, texts, limit))
     named = materialize(classes.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select("set_key", "n_class", "doc_id", F.coalesce("root", "set_key").alias("root")), "set-roots")
