@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
@@ -40,6 +41,18 @@ APART = ("<|", "  ", " \n", "\n ", "\t", "\v", "\f", "\r")
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+| ?[^\\sA-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|\\s+(?!\\S)|\\s+")
 
 
+class Pieces(dict):
+    """Pieces' ids; one that is not there is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
@@ -53,32 +66,33 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.piece)
         self.words: dict[str, bytes] = {}
+        self.ids = [packed([i]) for i in range(self.tokenizer.get_vocab_size())]
 
     def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = packed([t.id for t in self.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, word.encode())))])
-        return ids
+        """Ids of one word of the split; of printable ASCII only the space has another letter."""
+        letters = word.replace(" ", BYTE_LETTERS[32]) if word.isascii() and word.isprintable() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(letters)])
+
+    def piece(self, piece: str) -> bytes:
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isascii() and body.isalpha():  # one word, seldom seen again but as this piece
+            return self.word(piece)
+        words = self.words
+        for w in (found := WORD.findall(piece)):
+            if w not in words:
+                words[w] = self.word(w)
+        return b"".join([words[w] for w in found])
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in APART) or text[:1].isspace() or text[-1:].isspace() or not PLAIN.fullmatch(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        known = self.known
-        pieces = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(known) > PIECES_KEPT:
-            known.clear()
+        if len(self.known) > PIECES_KEPT:
+            self.known.clear()
         if len(self.words) > PIECES_KEPT:
             self.words.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = b"".join(map(self.word, WORD.findall(p)))
-        return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 def packed(ids: list[int]) -> bytes:
