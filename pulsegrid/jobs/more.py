@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import quantise
@@ -44,17 +43,6 @@ def delay_and_sum(spark, d):
     return trees.delay_and_sum(a, {k: k // 2 for k in range(8) if k != 3})
 
 
-@query("mulaw_complex", ["volts"], "SELECT series, chan, ((CASE WHEN re < 0 THEN 8 ELSE 0 END + a) << 4) | (CASE WHEN im < 0 THEN 8 ELSE 0 END + b) AS code FROM (SELECT series, chan, re, im, CAST(least(floor(log10(1.0 + 255.0 * least(abs(re) / 4.0, 1.0)) / log10(256.0) * 8), 7) AS INT) AS a, CAST(least(floor(log10(1.0 + 255.0 * least(abs(im) / 4.0, 1.0)) / log10(256.0) * 8), 7) AS INT) AS b FROM volts)")
-def mulaw_complex(spark, d):
-    """A byte for each voltage: sign and three bits of either part."""
-    v = inputs.voltages(spark, d)
-
-    def half(c):
-        return F.when(F.col(c) < 0, 8).otherwise(0) + quantise.mulaw_encode(F.abs(c), 4.0, bits=3)
-
-    return v.select("series", "chan", F.shiftleft(half("re"), 4).bitwiseOR(half("im")).alias("code"))
-
-
 @query("median5_forward", ["dense"], " SELECT a.beam, a.sample, list_sort(list(b.power))[3] AS smooth FROM dense a JOIN dense b ON a.beam = b.beam AND b.sample BETWEEN a.sample AND a.sample + 4 GROUP BY 1, 2 HAVING count(*) = 5")
 def median5_forward(spark, d):
     """Median of each sample and the four after it; the last four have none."""
@@ -67,13 +55,11 @@ def waterfall_fold(spark, d):
     return inputs.filterbank(spark, d).groupBy((F.col("sample") % 128).alias("sample"), "chan").agg(F.sum("power").alias("power"))
 
 
-@query("outlier_channels", ["means"], "SELECT beam, chan, round(mean, 6) AS mean FROM (SELECT *, avg(mean) OVER w AS m, stddev_pop(mean) OVER w AS s FROM means WINDOW w AS (PARTITION BY beam)) WHERE mean - m > 0.5 * s")
+@query("outlier_channels", ["means"], ", f AS (SELECT *, list(mean) OVER (PARTITION BY beam ORDER BY chan ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS l FROM means), q AS (SELECT beam, chan, mean, mean - list_sort(list_concat(l, [0.0 for x in range(5 - len(l))]))[3] AS rest FROM f), w AS (SELECT *, avg(rest) OVER (PARTITION BY beam) AS m, stddev_pop(rest) OVER (PARTITION BY beam) AS s FROM q) SELECT beam, chan, round(mean, 6) AS mean FROM w WHERE rest - m > 1.0 * s")
 def outlier_channels(spark, d):
-    """Channels half a deviation above their beam's bandpass."""
-    fb = inputs.filterbank(spark, d)
-    w = Window.partitionBy("beam")
-    m = bandpass.bandpass(fb, inputs.samples(spark, d)).withColumn("m", F.avg("mean").over(w)).withColumn("s", F.stddev_pop("mean").over(w))
-    return m.filter(F.col("mean") - F.col("m") > 0.5 * F.col("s")).select("beam", "chan", r("mean").alias("mean"))
+    """Channels whose distance from a median of five is a deviation above the mean."""
+    means = bandpass.bandpass(inputs.filterbank(spark, d), inputs.samples(spark, d))
+    return bandpass.outlier_channels(means, 1.0).withColumn("mean", r("mean"))
 
 
 @query("output_histogram", ["points"], ", e AS (SELECT min(dm) AS lo, max(dm) AS hi FROM points) SELECT CAST(least(floor((dm - lo) / (hi - lo) * 100), 99) AS INT) AS bin, count(*) AS n, round(count(*) * sum(snr), 3) AS weight FROM points, e GROUP BY 1")

@@ -84,13 +84,6 @@ def stokes_i(spark, d):
     return beams.stokes_i(inputs.voltages(spark, d), ["series"]).select("series", r("power").alias("power"))
 
 
-@query("mulaw_power", ["fb"], "SELECT beam, sample, chan, code, round((power(256.0, (code + 0.5) / 256.0) - 1) / 255.0 * 500.0, 6) AS decoded FROM (SELECT beam, sample, chan, CAST(least(floor(log10(1.0 + 255.0 * least(power / 500.0, 1.0)) / log10(256.0) * 256), 255) AS INT) AS code FROM fb)")
-def mulaw_power(spark, d):
-    """Mu-law codes of powers, and what they decode to."""
-    fb = inputs.filterbank(spark, d).select("beam", "sample", "chan", quantise.mulaw_encode(F.col("power"), 500.0).alias("code"))
-    return fb.withColumn("decoded", r(quantise.mulaw_decode(F.col("code"), 500.0)))
-
-
 @query("dm_shift", ["fb", "shifts"], "SELECT chan, dm_idx, shift, cells FROM shifts JOIN (SELECT chan, count(*) AS cells FROM fb GROUP BY 1) USING (chan)")
 def dm_shift(spark, d):
     """Shifts of the channels that hold data, with their cells."""
@@ -146,17 +139,24 @@ def mean_stddev(spark, d):
     return inputs.filterbank(spark, d).groupBy("beam").agg(r(F.avg("power")).alias("mean"), r(F.stddev_pop("power")).alias("std"), F.max("power").alias("top"), F.min("power").alias("least"))
 
 
-@query("kurtosis", ["fb"], "SELECT beam, chan, round(avg(power * power * power * power) - 0.0, 3) AS m4, round(avg(power), 6) AS m1 FROM fb GROUP BY 1, 2")
+_CENTRED = ", m AS (SELECT beam, chan, avg(power) AS m FROM fb GROUP BY 1, 2), c AS (SELECT beam, chan, avg((power - m) * (power - m)) AS m2, avg((power - m) * (power - m) * (power - m)) AS m3, avg((power - m) * (power - m) * (power - m) * (power - m)) AS m4 FROM fb JOIN m USING (beam, chan) GROUP BY 1, 2)"
+
+
+@query("kurtosis", ["fb"], _CENTRED + " SELECT beam, chan, round(m4 / (m2 * m2) - 3, 6) AS kurtosis, round(m3 / (m2 * sqrt(m2)), 6) AS skewness FROM c")
 def kurtosis(spark, d):
-    """Raw fourth and first moments of each channel, of which kurtosis is made."""
-    p = F.col("power")
-    return inputs.filterbank(spark, d).groupBy("beam", "chan").agg(r(F.avg(p * p * p * p), 3).alias("m4"), r(F.avg(p)).alias("m1"))
+    """Excess kurtosis and skewness of each channel's population."""
+    return inputs.filterbank(spark, d).groupBy("beam", "chan").agg(r(F.kurtosis("power")).alias("kurtosis"), r(F.skewness("power")).alias("skewness"))
 
 
-@query("snr_histogram", ["points"], "SELECT beam, CAST(floor(snr / 10.0) AS BIGINT) AS bin, count(*) AS n, round(sum(snr), 4) AS weight FROM points GROUP BY 1, 2")
+@query("snr_histogram", ["points"], ", e AS (SELECT min(snr) AS lo, max(snr) AS hi FROM points) SELECT CAST(least(floor((snr - lo) / (hi - lo) * floor((hi - lo) * 10)), floor((hi - lo) * 10) - 1) AS BIGINT) AS bin, count(*) AS n, round(log10(count(*)), 6) AS log_n FROM points, e GROUP BY 1")
 def snr_histogram(spark, d):
-    """Detections by snr in tens."""
-    return inputs.detection_points(spark, d).groupBy("beam", F.floor(F.col("snr") / 10.0).alias("bin")).agg(F.count("*").alias("n"), r(F.sum("snr"), 4).alias("weight"))
+    """Detections by snr, ten bins a unit between the extremes."""
+    p = inputs.detection_points(spark, d)
+    # one row
+    ends = p.agg(F.min("snr").alias("lo"), F.max("snr").alias("hi"))
+    bins = F.floor((F.col("hi") - F.col("lo")) * 10)
+    where = F.least(F.floor((F.col("snr") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), bins - 1).cast("long")
+    return p.join(F.broadcast(ends)).groupBy(where.alias("bin")).agg(F.count("*").alias("n"), r(F.log10(F.count("*"))).alias("log_n"))
 
 
 @query("multipixel_image", ["fb"], "SELECT sample, round(log10(sum(power) FILTER (beam = 0)), 6) AS beam_0, round(log10(sum(power) FILTER (beam = 1)), 6) AS beam_1 FROM fb GROUP BY 1")
@@ -222,10 +222,10 @@ def spectrum_clip(spark, d):
     "sigma_clip",
     ["fb"],
     """, l AS (SELECT beam, CAST(floor(chan / 4.0) AS INT) AS subband, sample, sum(power) AS level FROM fb GROUP BY 1, 2, 3), s AS (SELECT beam, subband, avg(level) AS m, stddev_pop(level) AS s FROM l GROUP BY 1, 2), a AS (SELECT beam, avg(m) AS al FROM s GROUP BY 1)
-    SELECT l.beam, l.subband, l.sample, round(CASE WHEN m > 2 * al THEN 0.0 WHEN abs(level - m) >= 4 * s.s THEN m ELSE level END, 6) AS level FROM l JOIN s ON s.beam = l.beam AND s.subband = l.subband JOIN a ON a.beam = l.beam""",
+    SELECT l.beam, l.subband, l.sample, round(CASE WHEN m > 2 * al THEN 0.0 WHEN abs(level - m) >= 4 * s.s OR abs(level - m) <= s.s / 4 THEN m ELSE level END, 6) AS level FROM l JOIN s ON s.beam = l.beam AND s.subband = l.subband JOIN a ON a.beam = l.beam""",
 )
 def sigma_clip(spark, d):
-    """Sub-band levels clipped at four deviations."""
+    """Sub-band levels far from or close to their mean set to it."""
     return bandpass.sigma_clip(inputs.filterbank(spark, d), 4).withColumn("level", r("level"))
 
 

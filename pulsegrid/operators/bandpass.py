@@ -6,9 +6,14 @@ samples, which is one number for the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import by_group
 from .chunks import SIZE, over_rows
 
 
@@ -30,6 +35,64 @@ def bandpass_fit(means: DataFrame) -> DataFrame:
     return means.join(F.broadcast(line), "beam").select("beam", "chan", "mean", (F.col("a") * F.col("chan") + F.col("b")).alias("fitted"))
 
 
+def polynomial_fit(means: DataFrame, terms: int, channels: int) -> DataFrame:
+    """(beam, chan, mean, fitted): least-squares polynomial of ``terms`` terms in chan / channels.
+
+    A beam's bandpass, one number a channel, lies in one task; the normal equations are solved there.
+    """
+
+    def of_beam(key: tuple, columns: dict) -> Iterator[dict]:
+        order = np.argsort(columns["chan"])
+        chan, mean = columns["chan"][order], columns["mean"][order]
+        powers = np.vander(chan / channels, terms, increasing=True)
+        fitted = powers @ np.linalg.lstsq(powers, mean, rcond=None)[0]
+        yield {"beam": np.full(len(chan), key[0]), "chan": chan, "mean": mean, "fitted": fitted}
+
+    return by_group(means.select("beam", "chan", "mean"), ["beam"], of_beam, "beam int, chan int, mean double, fitted double")
+
+
+def median_residual(means: DataFrame) -> DataFrame:
+    """(beam, chan, mean, residual): what a median of five channels leaves; beyond the band's ends stand zeros."""
+    w = Window.partitionBy("beam").orderBy("chan").rowsBetween(-2, 2)
+    frame = F.collect_list("mean").over(w)
+    middle = F.get(F.sort_array(F.concat(frame, F.array_repeat(F.lit(0.0), 5 - F.size(frame)))), F.lit(2))
+    return means.select("beam", "chan", "mean", (F.col("mean") - middle).alias("residual"))
+
+
+def outlier_channels(means: DataFrame, sigmas: float) -> DataFrame:
+    """(beam, chan, mean) of channels whose residual lies ``sigmas`` deviations above its beam's mean."""
+    rest = median_residual(means)
+    stats = rest.groupBy("beam").agg(F.avg("residual").alias("m"), F.stddev_pop("residual").alias("s"))
+    return rest.join(stats, "beam").filter(F.col("residual") - F.col("m") > sigmas * F.col("s")).select("beam", "chan", "mean")
+
+
+def clutter(levels: DataFrame, sigmas: float) -> DataFrame:
+    """(beam, sample, power): levels less their sample's mean over the beams, zero within ``sigmas`` of its deviation."""
+    stats = levels.groupBy("sample").agg(F.avg("power").alias("m"), F.stddev_pop("power").alias("s"))
+    off = F.col("power") - F.col("m")
+    return levels.join(stats, "sample").select("beam", "sample", F.when(F.abs(off) < sigmas * F.col("s"), 0.0).otherwise(off).alias("power"))
+
+
+def huber(values: Column, n: int, limit: float) -> Column:
+    """(m, s2, out) after an array: running mean and variance that learn from values clipped at ``limit`` deviations, and those values.
+
+    Both begin with the first ``n`` values; weights are those of a mean over ``n``.
+    """
+    first = F.slice(values, 1, n)
+    mean = F.aggregate(first, F.lit(0.0), lambda a, x: a + x) / F.size(first)
+    square = F.aggregate(first, F.lit(0.0), lambda a, x: a + x * x) / F.size(first)
+    density, tail = math.exp(-limit * limit / 2) / math.sqrt(2 * math.pi), math.erfc(limit / math.sqrt(2)) / 2
+    c, p = 1 - 2 * (limit * density - (limit * limit - 1) * tail), 2.0 / (n + 1.0)
+
+    def step(state, x):
+        s = F.sqrt(state["s2"])
+        v = F.greatest(F.lit(-limit), F.least(F.lit(limit), (x - state["m"]) / s))
+        return F.struct((state["m"] + p * s * v).alias("m"), ((1 - p) * state["s2"] + p / c * state["s2"] * v * v).alias("s2"), F.concat(state["out"], F.array(v)).alias("out"))
+
+    start = F.struct(mean.alias("m"), (square - mean * mean).alias("s2"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(values, start, step)
+
+
 def channel_clip(fb: DataFrame, fit: DataFrame, block: int, sigmas: float) -> DataFrame:
     """Replaces (channel, block) cells whose mean is far above the fit, and their neighbours in time, by the fit.
 
@@ -55,12 +118,13 @@ def spectrum_clip(fb: DataFrame, means: DataFrame, channels: int, sigmas: float)
 
 
 def sigma_clip(fb: DataFrame, subband: int) -> DataFrame:
-    """(beam, subband, sample, level): sub-band levels; those beyond four deviations become the mean, loud sub-bands zero."""
+    """(beam, subband, sample, level): sub-band levels; those four deviations or more from the mean, or within a quarter of one, become the mean; loud sub-bands zero."""
     levels = fb.groupBy("beam", F.floor(F.col("chan") / subband).cast("int").alias("subband"), "sample").agg(F.sum("power").alias("level"))
     stats = levels.groupBy("beam", "subband").agg(F.avg("level").alias("m"), F.stddev_pop("level").alias("s"))
     ref = stats.groupBy("beam").agg(F.avg("m").alias("all"))
     known = levels.join(F.broadcast(stats), ["beam", "subband"]).join(F.broadcast(ref), "beam")
-    clipped = F.when(F.abs(F.col("level") - F.col("m")) >= 4 * F.col("s"), F.col("m")).otherwise(F.col("level"))
+    off = F.abs(F.col("level") - F.col("m"))
+    clipped = F.when((off >= 4 * F.col("s")) | (off <= F.col("s") / 4), F.col("m")).otherwise(F.col("level"))
     return known.select("beam", "subband", "sample", F.when(F.col("m") > 2 * F.col("all"), 0.0).otherwise(clipped).alias("level"))
 
 

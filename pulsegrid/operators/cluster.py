@@ -14,12 +14,12 @@ from pulsegrid.shared import components, materialize
 from .blocks import by_group
 
 
-def neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
-    """(id, n): how many other points of the same group lie strictly within eps in time, dm and snr.
+def near_pairs(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
+    """Pairs of points of one group strictly within eps in time, dm and snr, each from either side.
 
     A band join: points go to cells of eps in time and dm, one side also to the
-    eight cells around, and pairs that meet in a cell are tested. Counts are
-    kept, not pairs.
+    eight cells around, and pairs that meet in a cell are tested. Callers keep
+    sums over them, not pairs.
     """
     et, ed, es = eps
     cell = points.withColumn("ct", F.floor(F.col("time") / et)).withColumn("cd", F.floor(F.col("dm") / ed))
@@ -27,11 +27,22 @@ def neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[st
     wide = cell.withColumn("o", around).select(*keys, (F.col("ct") + F.col("o.a")).alias("ct"), (F.col("cd") + F.col("o.b")).alias("cd"), "id", "time", "dm", "snr")
     x, y = wide.alias("x"), cell.select(*keys, "ct", "cd", F.col("id").alias("id2"), F.col("time").alias("time2"), F.col("dm").alias("dm2"), F.col("snr").alias("snr2")).alias("y")
     near = (F.abs(F.col("time") - F.col("time2")) < et) & (F.abs(F.col("dm") - F.col("dm2")) < ed) & (F.abs(F.col("snr") - F.col("snr2")) < es)
-    pairs = x.join(y, [*keys, "ct", "cd"]).filter(near & (F.col("id") != F.col("id2")))
-    found = pairs.groupBy("id").agg(F.count("*").alias("n"))
+    return x.join(y, [*keys, "ct", "cd"]).filter(near & (F.col("id") != F.col("id2")))
+
+
+def neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
+    """(id, n): how many other points of the same group lie strictly within eps in time, dm and snr."""
+    found = near_pairs(points, eps, keys).groupBy("id").agg(F.count("*").alias("n"))
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def fuzzy_neighbours(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
+    """(id, weight): sum of the memberships of a point's neighbours, which fall from 1 at the point to 0 at eps."""
+    far = F.greatest(*(F.abs(F.col(c) - F.col(f"{c}2")) / e for c, e in zip(("time", "dm", "snr"), eps)))
+    found = near_pairs(points, eps, keys).groupBy("id").agg(F.sum(F.lit(1.0) - far).alias("weight"))
+    return points.select("id").join(found, "id", "left").select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
 def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int, keys: list[str]) -> DataFrame:
     """Density clusters of each (beam, buffer): columns cluster (0.. by first point, -1 noise) and type (1 core, 0 border, -1 noise).
 

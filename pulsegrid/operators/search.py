@@ -141,6 +141,41 @@ def detect_single(fb: DataFrame, band: Band, samples: int, sigmas: float, chunk:
     return blocks.cubes(fb, band, samples, chunk, of_cube, CELLS, after=4)
 
 
+#: Widths of the boxcars of a single-pulse search.
+WIDTHS = (1, 2, 3, 4, 6, 9, 14, 20, 30)
+
+
+def single_pulse(fb: DataFrame, band: Band, samples: int, sigmas: float, buffer: int) -> DataFrame:
+    """(beam, dm_idx, t, width, snr): matches of ``WIDTHS`` in a buffer's normalised trials that no related one is better than.
+
+    Matches of one trial and buffer are related where they lie within half the wider one's width, or a sample. Of
+    equals (to nine digits) the narrower, then the earlier, is better.
+    """
+    delay = shifts(band)
+    schema = "beam int, dm_idx int, t long, width int, snr double"
+
+    def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        for d in range(band.dms):
+            v = dedispersed(cube, delay[d], length)
+            if v.std() == 0:
+                continue
+            total = np.concatenate([[0.0], np.cumsum((v - v.mean()) / v.std())])
+            at, found = np.arange(length), []
+            for w in WIDTHS:
+                snr = (total[np.minimum(at + (w - 1) // 2 + 1, length)] - total[np.maximum(at - w // 2, 0)]) / np.sqrt(w)
+                found += [(round(float(snr[t]), 9), w, t, float(snr[t])) for t in np.flatnonzero(snr >= sigmas).tolist()]
+            found.sort(key=lambda m: m[2])
+            places = np.array([m[2] for m in found])
+            rows = []
+            for m in found:
+                near = range(int(np.searchsorted(places, m[2] - max(WIDTHS) / 2)), int(np.searchsorted(places, m[2] + max(WIDTHS) / 2, "right")))
+                if not any(abs(m[2] - found[j][2]) <= max(m[1] / 2, found[j][1] / 2, 1) and (found[j][0], -found[j][1], -found[j][2]) > (m[0], -m[1], -m[2]) for j in near):
+                    rows.append(m)
+            yield {"beam": np.full(len(rows), beam), "dm_idx": np.full(len(rows), d), "t": [start + m[2] for m in rows], "width": [m[1] for m in rows], "snr": [m[3] for m in rows]}
+
+    return blocks.cubes(fb, band, samples, buffer, of_cube, schema)
+
+
 def boxcar(fb: DataFrame, band: Band, samples: int, width: int, size: int = SIZE) -> DataFrame:
     """(beam, dm_idx, t, value): matched filter of one width over each trial: running sum over the root of the width."""
     delay = shifts(band)
