@@ -32,6 +32,11 @@ def voltages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("series", F.floor(F.col("pos") / 2).cast("int").alias("chan")).agg(F.max(F.when(part == 0, F.col("e"))).alias("re"), F.max(F.when(part == 1, F.col("e"))).alias("im"))
 
 
+def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, e array<double>): vectors of 64 real values, or of 32 pairs re, im."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("series"), F.col("embedding").cast("array<double>").alias("e"))
+
+
 def detection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, beam, buffer, time, dm, snr): events as detections, buffers of a day."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)

@@ -20,22 +20,6 @@ def dedisperse_tree(spark, d):
     return trees.tree(fb, BAND.channels, inputs.samples(spark, d))
 
 
-_PHASE = "-2.0 * pi() * {c} * ((CASE WHEN k < 16 THEN k ELSE k - 32 END) * 0.0390625) * ((CASE WHEN k < 16 THEN k ELSE k - 32 END) * 0.0390625) / (174724.0 * (418.0 + (CASE WHEN k < 16 THEN k ELSE k - 32 END) * 0.0390625)) * 1e-6".format(c=repr(20.0 / trees.CHIRP / 1e6))
-
-
-@query(
-    "coherent_dedisp",
-    ["volts"],
-    f""", s AS (SELECT series, k.i AS k, sum(re * cos(2 * pi() * k.i * chan / 32.0) + im * sin(2 * pi() * k.i * chan / 32.0)) AS re, sum(im * cos(2 * pi() * k.i * chan / 32.0) - re * sin(2 * pi() * k.i * chan / 32.0)) AS im FROM volts, range(32) k(i) GROUP BY 1, 2),
-    u AS (SELECT series, k, re, im, {_PHASE} AS p FROM s), w AS (SELECT series, k, re * cos(p) - im * sin(p) AS re, re * sin(p) + im * cos(p) AS im FROM u)
-    SELECT series, CAST(j.i AS INT) AS chan, round(sum(re * cos(2 * pi() * k * j.i / 32.0) - im * sin(2 * pi() * k * j.i / 32.0)) / 32, 5) + 0.0 AS re, round(sum(im * cos(2 * pi() * k * j.i / 32.0) + re * sin(2 * pi() * k * j.i / 32.0)) / 32, 5) + 0.0 AS im FROM w, range(32) j(i) GROUP BY 1, 2""",
-)
-def coherent_dedisp(spark, d):
-    """Coherent dedispersion of each series of 32 voltages at a dispersion measure of 20."""
-    out = trees.coherent(inputs.voltages(spark, d), ["series"], "chan", 32, 418.0, 1.25, 20.0)
-    return out.select("series", "chan", (r("re", 5) + 0.0).alias("re"), (r("im", 5) + 0.0).alias("im"))
-
-
 @query("delay_and_sum", ["ant"], "SELECT sample - antenna // 2 AS sample, chan, CAST(sum(hi - 16 * CAST(hi > 7 AS INT)) AS DOUBLE) AS re, CAST(sum(lo - 16 * CAST(lo > 7 AS INT)) AS DOUBLE) AS im FROM ant WHERE antenna <> 3 GROUP BY 1, 2")
 def delay_and_sum(spark, d):
     """Antennas summed after delays; antenna 3 is out of order."""

@@ -329,16 +329,6 @@ def interbinning(spark, d):
     return timeaxis.interbin(inputs.voltages(spark, d), ["series"], "chan").select("series", "chan", r("best").alias("best"))
 
 
-@query("fft_channelise", ["volts"], "SELECT series, CAST(k.i AS INT) AS bin, round(sum(re * cos(2 * pi() * k.i * chan / 32.0) + im * sin(2 * pi() * k.i * chan / 32.0)), 5) + 0.0 AS re, round(sum(im * cos(2 * pi() * k.i * chan / 32.0) - re * sin(2 * pi() * k.i * chan / 32.0)), 5) + 0.0 AS im FROM volts, range(32) k(i) GROUP BY 1, 2")
-def fft_channelise(spark, d):
-    """Discrete Fourier transform of each series of 32 complex samples: a join with the table of phases, then a sum."""
-    k = F.broadcast(spark.range(32).select(F.col("id").cast("int").alias("bin")))
-    x = inputs.voltages(spark, d).join(k)
-    a = F.lit(2.0) * F.pi() * F.col("bin") * F.col("chan") / F.lit(32.0)
-    re, im = F.sum(F.col("re") * F.cos(a) + F.col("im") * F.sin(a)), F.sum(F.col("im") * F.cos(a) - F.col("re") * F.sin(a))
-    return x.groupBy("series", "bin").agg((r(re, 5) + 0.0).alias("re"), (r(im, 5) + 0.0).alias("im"))
-
-
 @query("pfb_fir", ["volts"], "SELECT series, chan, round(((lag(re, 2) OVER w) * 0.25 * (chan + 1) + (lag(re, 1) OVER w) * 0.5 * (chan + 1)) + re * 1.0 * (chan + 1), 6) AS filtered FROM volts WINDOW w AS (PARTITION BY chan ORDER BY series) QUALIFY lag(re, 2) OVER w IS NOT NULL")
 def pfb_fir(spark, d):
     """Three-tap polyphase sums over successive series."""

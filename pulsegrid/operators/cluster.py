@@ -43,6 +43,17 @@ def fuzzy_neighbours(points: DataFrame, eps: tuple[float, float, float], keys: l
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
+def highest_potential(points: DataFrame, eps: tuple[float, float, float], keys: list[str]) -> DataFrame:
+    """(keys, id, potential): the first centre of subtractive clustering in each group; of equals the least id.
+
+    A point has potential 1, and exp(-4 d^2) from each neighbour within eps, d being their distance in eps.
+    """
+    square = sum(((F.col(c) - F.col(f"{c}2")) / e) * ((F.col(c) - F.col(f"{c}2")) / e) for c, e in zip(("time", "dm", "snr"), eps))
+    near = near_pairs(points, eps, keys).groupBy("id").agg(F.sum(F.exp(-4.0 * square)).alias("near"))
+    all_points = points.select(*keys, "id").join(near, "id", "left").withColumn("potential", F.round(1.0 + F.coalesce("near", F.lit(0.0)), 6))
+    return all_points.groupBy(*keys).agg(F.max_by("id", F.struct("potential", -F.col("id"))).alias("id"), F.max("potential").alias("potential"))
+
+
 def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int, keys: list[str]) -> DataFrame:
     """Density clusters of each (beam, buffer): columns cluster (0.. by first point, -1 noise) and type (1 core, 0 border, -1 noise).
 

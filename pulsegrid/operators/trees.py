@@ -1,13 +1,10 @@
-"""Further ways to dedisperse: pairwise tree, coherent chirp, and delays of antennas."""
+"""Further ways to dedisperse: a pairwise tree, and delays of antennas."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the constant of the coherent phase.
-CHIRP = 2.41033087e-10
-
 
 def tree(fb: DataFrame, channels: int, samples: int) -> DataFrame:
     """(beam, d, t, value): sums along all straight tracks that cross the band in d samples, 0 <= d < channels.
@@ -27,30 +24,6 @@ def tree(fb: DataFrame, channels: int, samples: int) -> DataFrame:
     return now.filter((F.col("t") >= 0) & (F.col("t") < samples - channels)).select("beam", "d", "t", "value")
 
 
-def chirp(bin: Column, bins: int, centre: float, width: float, dm: float) -> Column:
-    """Phase that undoes a dispersion measure within a channel of ``width`` MHz at ``centre`` MHz, for a Fourier bin."""
-    f = (F.when(bin < bins // 2, bin).otherwise(bin - bins)) * F.lit(width / bins)
-    return F.lit(-2.0) * F.pi() * F.lit(dm / CHIRP / 1e6) * f * f / (F.lit(centre * centre) * (F.lit(centre) + f)) * 1e-6
-
-
-def fourier(x: DataFrame, keys: list[str], position: str, size: int, sign: int) -> DataFrame:
-    """(keys, bin, re, im): discrete transform by a join with the table of bins, which has ``size`` rows."""
-    k = F.broadcast(x.sparkSession.range(size).select(F.col("id").cast("int").alias("bin")))
-    a = F.lit(2.0) * F.pi() * F.col("bin") * F.col(position) / F.lit(float(size))
-    c, s = F.cos(a), F.sin(a) * sign
-    both = x.join(k)
-    return both.groupBy(*keys, "bin").agg(F.sum(F.col("re") * c - F.col("im") * s).alias("re"), F.sum(F.col("im") * c + F.col("re") * s).alias("im"))
-
-
-def coherent(volts: DataFrame, keys: list[str], position: str, size: int, centre: float, width: float, dm: float) -> DataFrame:
-    """Voltages without the dispersion within their channel: transform, turn each bin's phase, transform back."""
-    spectrum = fourier(volts, keys, position, size, -1)
-    p = chirp(F.col("bin"), size, centre, width, dm)
-    turned = spectrum.select(*keys, "bin", (F.col("re") * F.cos(p) - F.col("im") * F.sin(p)).alias("re"), (F.col("re") * F.sin(p) + F.col("im") * F.cos(p)).alias("im"))
-    back = fourier(turned.withColumnRenamed("bin", "k"), keys, "k", size, 1)
-    return back.select(*keys, F.col("bin").alias(position), (F.col("re") / size).alias("re"), (F.col("im") / size).alias("im"))
-
-
 def delay_and_sum(volts: DataFrame, delays: dict[int, int]) -> DataFrame:
     """(sample, chan, re, im): antennas summed after whole-sample delays; the table has a row for each antenna."""
     table = F.broadcast(volts.sparkSession.createDataFrame(sorted(delays.items()), "antenna int, delay int"))

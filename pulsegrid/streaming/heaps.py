@@ -14,6 +14,13 @@ def heaps(packets: DataFrame, seconds: int, lateness: str) -> DataFrame:
     return packets.withWatermark("ts", lateness).groupBy(window, "beam").agg(F.count("*").alias("n"), F.sum("payload").alias("total")).select(F.floor(F.unix_seconds(F.col("window.start")) / seconds).alias("heap"), "beam", "n", "total")
 
 
+def complete(packets: DataFrame, seconds: int, lateness: str, size: int) -> DataFrame:
+    """(heap, beam, packets, lost, mean) of packets (ts, beam, place, payload): a heap has ``size`` places, and lost ones count as zero."""
+    places = F.size(F.collect_set("place"))
+    out = packets.withWatermark("ts", lateness).groupBy(F.window("ts", f"{seconds} seconds"), "beam").agg(places.cast("long").alias("packets"), (F.sum("payload") / size).alias("mean"))
+    return out.select(F.floor(F.unix_seconds(F.col("window.start")) / seconds).alias("heap"), "beam", "packets", (size - F.col("packets")).alias("lost"), "mean")
+
+
 def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there and returns its last result, written to the shared folder."""
     spark: SparkSession = stream.sparkSession
