@@ -15,7 +15,16 @@ def write_detections(points: DataFrame, path: str, seconds: int | None = None) -
     if seconds:
         points, keys = points.withColumn("period", F.floor(F.col("time") / seconds) * seconds), ["beam", "period"]
     rest = [c for c in ("time", "dm", "snr", "cluster", "type") if c in points.columns]
-    points.select(*rest, *keys).write.partitionBy(*keys).csv(path)
+    points = points.select(*rest, *keys)
+    if "cluster" in rest:  # clusters first, then noise, within each file
+        points = points.repartition(*keys).sortWithinPartitions(*keys, F.col("cluster") < 0, "cluster", "time")
+    points.write.partitionBy(*keys).csv(path)
+
+
+def watch_detections(spark: SparkSession, path: str, clustered: bool = False) -> DataFrame:
+    """A stream of the detections of files as they come into a folder."""
+    schema = CLUSTERED if clustered else SCHEMA
+    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("ignoreLeadingWhiteSpace", True).option("recursiveFileLookup", True).csv(path)
 
 
 def read_detections(spark: SparkSession, path: str, clustered: bool = False, pattern: str = "*.csv") -> DataFrame:

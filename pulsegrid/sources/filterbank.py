@@ -1,9 +1,7 @@
-"""Reader of binary filterbank files: keyword header, then samples with the channel fastest.
+"""Filterbank files: keyword header, then samples with the channel fastest.
 
 The header is a series of length-prefixed keywords with typed values between
-``HEADER_START`` and ``HEADER_END``. Files are read by Spark's binary reader,
-one row for a file, so any store that Spark reaches will do; each file's
-samples leave as one row for a channel and block, not for a sample.
+``HEADER_START`` and ``HEADER_END``. ``cubes`` reads such files by ranges.
 """
 
 from __future__ import annotations
@@ -11,9 +9,6 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 #: The format's keywords and the types of their values.
 KEYWORDS = {
     "source_name": "s", "rawdatafile": "s",
@@ -69,32 +64,3 @@ def unpack(data: bytes, bits: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     fields = (raw[:, None] >> np.arange(0, 8, bits)) & ((1 << bits) - 1)
     return fields.ravel().astype("<f4")
-
-
-def read_filterbank(spark: SparkSession, path: str, block: int = 4096) -> DataFrame:
-    """(path, beam, chan, block, power array<float>) of all files under ``path``; an incomplete last sample is dropped."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches):
-        import pyarrow as pa
-
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                head, at = read_header(data)
-                channels = head.get("nchans", 1) * max(1, head.get("nbeams", 1))
-                values = unpack(data[at:], head.get("nbits", 8))
-                cube = values[: len(values) // channels * channels].reshape(-1, channels)
-                for b in range(0, len(cube), block):
-                    part = np.ascontiguousarray(cube[b : b + block].T)
-                    n = len(part)
-                    per = head.get("nchans", 1)
-                    columns = [[name] * n, [c // per for c in range(n)], [c % per for c in range(n)], [b // block] * n, list(part)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "beam", "chan", "block", "power"])
-
-    return files.mapInArrow(run, "path string, beam int, chan int, block long, power array<float>")
-
-
-def explode_blocks(blocks: DataFrame, block: int = 4096) -> DataFrame:
-    """(beam, sample, chan, power) from blocks."""
-    return blocks.select("beam", "chan", "block", F.posexplode("power").alias("at", "power")).select("beam", (F.col("block") * block + F.col("at")).alias("sample"), "chan", F.col("power").cast("double").alias("power"))

@@ -1,7 +1,9 @@
 """Readers of voltage files: packed two-bit, signed byte pairs, and float pairs.
 
-Files are read by Spark's binary reader; each leaves as one row for a channel
-and block of samples with arrays ``re`` and ``im``.
+Files with headers among their blocks are read by Spark's binary reader, one
+row of it a file (2 GB at most); each leaves as one row for a channel and block of
+samples with arrays ``re`` and ``im``. Float pairs without headers can be read by
+ranges with ``cubes.read_raw`` as twice the channels of 32 bits.
 """
 
 from __future__ import annotations
