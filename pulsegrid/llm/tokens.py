@@ -127,10 +127,14 @@ def append_misses(documents: DataFrame, keyed: DataFrame, cache: str, path: str,
     """
     missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("id")).join(stored_counts(documents.sparkSession, cache), "digest", "left_anti")
     missing = materialize(missing, "token-misses")
+    own = content_digest(F.col("text"), version(path))
     source = documents.select(F.col("doc_id").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
-    side = F.broadcast(missing) if missing.count() <= few else missing.hint("merge")
     # a document may have the id of another digest's
-    fetched = source.join(side, source["of"].eqNullSafe(missing["id"])).filter(content_digest(F.col("text"), version(path)) == F.col("digest"))
+    if missing.count() <= few:
+        fetched = source.join(F.broadcast(missing), source["of"].eqNullSafe(missing["id"])).filter(own == F.col("digest"))
+    else:  # digests are made where texts are read, not beside the encoder
+        source = source.withColumn("own", own)
+        fetched = source.join(missing.hint("merge"), (source["own"] == missing["digest"]) & source["of"].eqNullSafe(missing["id"]))
 
     def rows(digests, texts):
         count = counter(path).count

@@ -46,6 +46,17 @@ def test_cache_fills_once_and_is_used(spark, texts):
     assert tokens.token_counts(docs.limit(0), cache, path).count() == 0
 
 
+def test_many_misses_are_shuffled_and_ids_may_repeat(spark, texts):
+    cache, path = scratch(spark, "cache"), tokens.tokenizer_path(tokens.TOKENIZER)
+    rows = [(1, "a b c"), (1, "d e"), (1, "d e"), (None, "d e"), (None, "f"), (2, None), (2, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = tokens.content_digest(docs["text"], tokens.version(path))
+    tokens.append_misses(docs, docs.select("doc_id", digest.alias("digest")), cache, path, few=0)
+    count = tokens.PieceCounter(path)
+    assert sorted(r.n_tokens for r in tokens.stored_counts(spark, cache).collect()) == sorted(count.whole(t) for t in ("a b c", "d e", "f", ""))
+    assert sorted((r.n_bytes, r.n_tokens) for r in tokens.token_counts(docs, cache, path).collect()) == sorted((len(t or ""), count.whole(t or "")) for _, t in rows)
+
+
 def test_packing_is_whole_and_gapless(spark, texts):
     path = tokens.tokenizer_path(packing.TOKENIZER)
     rows = [(i, t, 1) for i, t in enumerate([*texts[:60], None, "", "word " * 5000, *(["word " * k for k in range(400, 700, 3)])])] + [(None, "x", 1)]
