@@ -54,7 +54,7 @@ BLOCK_SHINGLES = 400_000
 PIVOTS = 8
 #: Chunks that lie together when what pivots didn't reach is searched for.
 JOINED_CHUNKS = 4
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 #: DivideSkip's weight of a list's length in the number of lists it probes.
 PROBE_WEIGHT = 0.0085
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))

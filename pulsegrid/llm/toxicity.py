@@ -35,7 +35,7 @@ from .common import arrow_map, held_out, is_held_out, materialize, read_table
 BUCKETS = 1 << 20
 PREFIXES = (4, 5)
 EDGES = " .,;:!?\"'()[]{}|*$%&#-_<>=/\\"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 #: Documents' worth of prior for each feature's share.
 PRIOR_DOCS = 20.0
 #: Twice the log-likelihood ratio by which a feature must lean towards toxic texts (4.5 standard errors).
