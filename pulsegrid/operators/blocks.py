@@ -59,9 +59,12 @@ def by_group(rows: DataFrame, keys: list[str], of_group: Callable[[tuple, Column
 
 
 def spread(rows: DataFrame, order: str, size: int, before: int, after: int) -> DataFrame:
-    """``rows`` with ``block``, once for each block that needs them: ``before`` and ``after`` are the edges' widths."""
+    """``rows`` with ``block``, once for each block that needs them: ``before`` and ``after`` are the edges' widths.
+
+    Rows without a place, or before the first one, go.
+    """
     first = F.greatest(F.lit(0), F.floor((F.col(order) - after) / size))
-    return rows.withColumn("block", F.explode(F.sequence(first, F.floor((F.col(order) + before) / size))))
+    return rows.filter(F.col(order) >= 0).withColumn("block", F.explode(F.sequence(first, F.floor((F.col(order) + before) / size))))
 
 
 def whole(rows: DataFrame, groups: int, blocks: int, key: str) -> DataFrame:

@@ -35,6 +35,8 @@ def test_blocks_equal_the_join(spark):
     got = {(r.beam, r.dm_idx, r.t): r.value for r in search.cells(search.plane(fb, BAND, 600, size=100)).collect() if r.value}
     assert got == want
     assert search.dedisperse(fb.limit(0), BAND, 0).count() == 0
+    odd = filterbank(spark, [(0, -5, 1, 9.0), (0, None, 1, 9.0), (0, 3, None, 9.0), (0, 3, 99, 9.0), (7, 3, 1, 9.0), (1, 3, 0, 2.0), (1, 3, 0, 3.0)])
+    assert {(r.beam, r.t, r.value) for r in search.dedisperse(odd, BAND, 100).collect() if r.value and r.beam < 2} == {(1, 3, 5.0)}
 
 
 def test_windows_do_not_depend_on_blocks(spark):
