@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, media, packing, pii, quality, secrets, tokens, toxicity
+from . import bestfit, codes, decontaminate, html, jaccard, media, packing, pii, quality, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pii_surrogates": pii.query,
     "op9_jaccard_join": jaccard.query,
     "op10_toxicity": toxicity.query,
+    "op11_best_fit": bestfit.query,
+    "op12_vector_codes": codes.query,
 }
 #: None of these can be said in SQL; their tests compare them with brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
