@@ -394,3 +394,25 @@ def query(spark, sf_dir: str) -> DataFrame:
     totals = codes.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of")
     joined = codes.join(totals, codes["label"].eqNullSafe(totals["of"]))
     return joined.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def _sql() -> str:
+    """The query's SQL: every part with every entry, round by round; floats are exact for whole numbers of the given tables' size."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"parts AS MATERIALIZED (SELECT id, vec_id, p.i AS part, v[p.i * len(v) // {PARTS} + 1 : (p.i + 1) * len(v) // {PARTS}] AS x FROM kept, range({PARTS}) p(i))",
+        f"book0 AS MATERIALIZED (SELECT part, rank - 1 AS entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id, x) AS rank FROM parts) WHERE rank <= {ENTRIES})",
+    ]
+    for k in range(ROUNDS + 1):
+        away = "list_inner_product(b.x, b.x) - 2 * list_inner_product(p.x, b.x)"
+        steps.append(f"near{k} AS MATERIALIZED (SELECT p.id, p.part, any_value(p.x) AS x, min(struct_pack(d := {away}, e := b.entry)) AS best FROM parts p JOIN book{k} b USING (part) GROUP BY 1, 2)")
+        if k < ROUNDS:
+            steps.append(f"sums{k} AS (SELECT part, best.e AS entry, pos, floor(sum(x[pos]) / count(*)) AS mean FROM near{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS pos) GROUP BY 1, 2, 3)")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (SELECT part, entry, list(mean ORDER BY pos) AS x FROM sums{k} GROUP BY 1, 2) m ON m.part = b.part AND m.entry = b.entry)")
+    last = f"near{ROUNDS}"
+    steps.append(f"coded AS (SELECT id, string_agg(format('{{:02x}}', best.e), '' ORDER BY part) AS code, CAST(sum(list_inner_product(x, x) + best.d) AS BIGINT) AS error FROM {last} GROUP BY 1)")
+    steps.append(f"whole AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: CAST(CAST(c AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS digest FROM book{ROUNDS})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM coded JOIN kept USING (id), whole"
+
+
+ORACLE_SQL = _sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit, codes, decontaminate, html, jaccard, media, packing, pii, quality, secrets, tokens, toxicity
+from . import bestfit, codes, decontaminate, divergence, html, jaccard, media, packing, pii, quality, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
     "op11_best_fit": bestfit.query,
     "op12_vector_codes": codes.query,
+    "op13_divergence_audit": divergence.query,
 }
-#: None of these can be said in SQL; their tests compare them with brute force, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be said in SQL; their tests compare them with brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op12_vector_codes": codes.ORACLE_SQL, "op13_divergence_audit": divergence.ORACLE_SQL}
