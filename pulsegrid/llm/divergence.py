@@ -132,7 +132,8 @@ def compared(tree: Quadtree, cells: np.ndarray, empty: np.ndarray, width: int, f
     ``cells`` are the shares of the tree's cells and ``empty`` each row's share of no count.
     """
     value = np.zeros((len(empty), len(empty)), np.int64)
-    zeros = [np.zeros((2**k,) * 2, np.int64) for k in range(tree.depth + 1)]  # columns that are zero in both, by pair of row blocks
+    blocks = [-(-len(empty) >> tree.depth - k) for k in range(tree.depth + 1)]
+    zeros = [np.zeros((n, n), np.int64) for n in blocks]  # columns that are zero in both, by pair of row blocks
     same = first == second
     # node or -1 of either row block, the row blocks, the column block
     todo = [(0, np.zeros((5, 1), np.int64))]
@@ -148,7 +149,8 @@ def compared(tree: Quadtree, cells: np.ndarray, empty: np.ndarray, width: int, f
             continue
         links = np.concatenate([tree.child[level], np.full((1, 4), -1)])  # of a zero quadrant all are zero
         size = 1 << tree.depth - level - 1
-        for i, j, k in np.ndindex(2, 2, 2):
+        below = []
+        for i, j, k in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)):
             a, b = links[front[0], 2 * i + k], links[front[1], 2 * j + k]
             r, s, c = 2 * front[2] + i, 2 * front[3] + j, 2 * front[4] + k
             inside = (r * size < first[1]) & ((r + 1) * size > first[0]) & (s * size < second[1]) & ((s + 1) * size > second[0]) & (c * size < width)
@@ -158,13 +160,12 @@ def compared(tree: Quadtree, cells: np.ndarray, empty: np.ndarray, width: int, f
             priced = inside & none
             np.add.at(zeros[level + 1], (r[priced], s[priced]), np.minimum(size, width - c[priced] * size))
             go = inside & ~none
-            if go.any():
-                todo.append((level + 1, np.stack([a[go], b[go], r[go], s[go], c[go]])))
+            below.append(np.stack([a[go], b[go], r[go], s[go], c[go]]))
+        todo.append((level + 1, np.concatenate(below, axis=1)))
     total = zeros[0]
-    for k in range(1, tree.depth + 1):
-        total = np.repeat(np.repeat(total, 2, 0), 2, 1) + zeros[k]
-    n = len(empty)
-    return (value + total[:n, :n] * costs(empty[:, None], empty[None, :]))[first[0] : first[1], second[0] : second[1]]
+    for n, more in zip(blocks[1:], zeros[1:]):
+        total = np.repeat(np.repeat(total, 2, 0), 2, 1)[:n, :n] + more
+    return (value + total * costs(empty[:, None], empty[None, :]))[first[0] : first[1], second[0] : second[1]]
 
 
 def tile(table: pa.Table) -> pa.Table:
