@@ -40,14 +40,14 @@ def dm_select(spark, d):
 @query("min_dm", ["params"], "SELECT beam, buffer, cluster, max_dm FROM params WHERE max_dm > 2.0")
 def min_dm(spark, d):
     """Clusters that are not at the measure of interference."""
-    found = cluster.cluster_params(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0, 32)
+    found = cluster.cluster_params(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0)
     return found.filter("max_dm > 2.0").select(*KEYS, "max_dm")
 
 
 @query("min_width", ["params"], "SELECT beam, buffer, cluster, round(width, 1) AS width FROM params WHERE isfinite(width) AND width > 1000.0")
 def min_width(spark, d):
     """Clusters with a width above a second."""
-    found = cluster.cluster_params(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0, 32)
+    found = cluster.cluster_params(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0)
     return found.filter(~F.isnan("width") & (F.col("width") > 1000.0)).select(*KEYS, r("width", 1).alias("width"))
 
 
@@ -165,10 +165,9 @@ def fold_fractional(spark, d):
 
 @query("sum_profiles", ["fb"], "SELECT chan, CAST(sample % 64 AS INT) AS bin, sum(power) AS power FROM fb GROUP BY 1, 2")
 def sum_profiles(spark, d):
-    """Profiles of both beams, folded apart, added up."""
-    fb = inputs.filterbank(spark, d)
-    parts = [fb.filter(F.col("beam") == b).groupBy("chan", (F.col("sample") % 64).cast("int").alias("bin")).agg(F.sum("power").alias("power")) for b in range(BAND.beams)]
-    return parts[0].unionByName(parts[1]).groupBy("chan", "bin").agg(F.sum("power").alias("power"))
+    """Profiles of the beams, folded apart, added up."""
+    profiles = inputs.filterbank(spark, d).groupBy("beam", "chan", (F.col("sample") % 64).cast("int").alias("bin")).agg(F.sum("power").alias("power"))
+    return profiles.groupBy("chan", "bin").agg(F.sum("power").alias("power"))
 
 
 @query("buffer_halo", ["fb", "shifts"], ", b AS (SELECT fb.*, unnest(range(CAST(greatest(0, floor((sample - (SELECT max(shift) FROM shifts)) / 1024.0)) AS BIGINT), CAST(floor(sample / 1024.0) AS BIGINT) + 1)) AS block FROM fb) SELECT beam, block, count(*) AS n, min(sample) AS first, max(sample) AS last, sum(power) AS power FROM b GROUP BY 1, 2")

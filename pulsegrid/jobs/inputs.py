@@ -79,7 +79,7 @@ CTES = {
     "labelled": "SELECT p.id, p.beam, p.buffer, p.time, p.dm, p.snr, CAST(coalesce(n.cluster, b.cluster, -1) AS INT) AS cluster, CAST(CASE WHEN n.id IS NOT NULL THEN 1 WHEN b.id IS NOT NULL THEN 0 ELSE -1 END AS INT) AS type FROM points p LEFT JOIN numbered n USING (id) LEFT JOIN (SELECT near.id, arg_min(n2.cluster, struct_pack(a := near.time2, b := near.dm2, c := near.id2)) AS cluster FROM near JOIN numbered n2 ON n2.id = near.id2 GROUP BY 1) b USING (id)",
     "found": "SELECT * FROM labelled WHERE cluster >= 0",
     "hist": "SELECT beam, buffer, cluster, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, sum(snr) AS weight FROM found GROUP BY 1, 2, 3, 4",
-    "smoothed": "SELECT k.beam, k.buffer, k.cluster, CAST(b.i AS INT) AS bin, CASE WHEN b.i IN (0, 31) THEN coalesce(max(h.weight) FILTER (h.bin = b.i), 0.0) ELSE coalesce(sum(h.weight), 0.0) / 3.0 END AS smooth FROM (SELECT DISTINCT beam, buffer, cluster FROM found) k CROSS JOIN range(32) b(i) LEFT JOIN hist h ON h.beam = k.beam AND h.buffer = k.buffer AND h.cluster = k.cluster AND h.bin BETWEEN b.i - 1 AND b.i + 1 GROUP BY 1, 2, 3, b.i",
+    "smoothed": "SELECT k.beam, k.buffer, k.cluster, CAST(k.i AS INT) AS bin, CASE WHEN k.i = 0 THEN coalesce(max(h.weight) FILTER (h.bin = 0), 0.0) ELSE coalesce(sum(h.weight), 0.0) / 3.0 END AS smooth FROM (SELECT beam, buffer, cluster, unnest(range(greatest(0, min(bin) - 1), max(bin) + 2)) AS i FROM hist GROUP BY 1, 2, 3) k LEFT JOIN hist h ON h.beam = k.beam AND h.buffer = k.buffer AND h.cluster = k.cluster AND h.bin BETWEEN k.i - 1 AND k.i + 1 GROUP BY 1, 2, 3, k.i",
     "peaks": "SELECT s.beam, s.buffer, s.cluster, median(bin) * 50.0 AS max_dm, avg(smooth) AS level FROM smoothed s JOIN (SELECT beam, buffer, cluster, max(smooth) AS top FROM smoothed GROUP BY 1, 2, 3) t USING (beam, buffer, cluster) WHERE smooth > 0.9 * top GROUP BY 1, 2, 3",
     "params": "SELECT f.beam, f.buffer, f.cluster, max_dm, level, count(*) AS n, coalesce(max(snr) FILTER (abs(dm - max_dm) < 25.0), 0.0) AS max_snr, min(time) AS start, (max(time) FILTER (abs(dm - max_dm) < 50.0) - min(time) FILTER (abs(dm - max_dm) < 50.0)) * 400.0 AS width, min(time) FILTER (abs(dm - max_dm) < 50.0) + (max(time) FILTER (abs(dm - max_dm) < 50.0) - min(time) FILTER (abs(dm - max_dm) < 50.0)) / 2.0 AS position FROM found f JOIN peaks USING (beam, buffer, cluster) GROUP BY 1, 2, 3, 4, 5",
     "ant": "SELECT CAST(floor(l_orderkey / 4.0) AS BIGINT) AS sample, CAST(l_linenumber % 4 AS INT) AS chan, CAST(l_suppkey % 8 AS INT) AS antenna, CAST(l_quantity AS INT) % 16 AS hi, CAST(l_partkey % 16 AS INT) AS lo FROM lineitem",

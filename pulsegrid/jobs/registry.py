@@ -372,7 +372,7 @@ def dbscan_fast(spark, d):
 @query("cluster_params", ["params"], "SELECT beam, buffer, cluster, n, max_dm, round(level, 4) AS level, round(max_snr, 4) AS max_snr, round(start, 3) AS start, round(width, 1) AS width, round(position, 3) AS position FROM params")
 def cluster_params(spark, d):
     """Measure, snr, width and place of each cluster."""
-    out = cluster.cluster_params(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0, 32)
+    out = cluster.cluster_params(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0)
     return out.select(*KEYS, "n", "max_dm", *(r(c, k).alias(c) for c, k in (("level", 4), ("max_snr", 4), ("start", 3), ("width", 1), ("position", 3))))
 
 
@@ -381,10 +381,10 @@ _Y = "abs(6.91e-3 * (b.i * 50.0 - max_dm) * (20.0 / (width * power(0.418 - 0.01,
 _MODEL = f"CASE WHEN b.i = floor(max_dm / 50.0 + 0.5) OR {_Y} = 0 THEN 1.0 WHEN {_Y} >= 6 THEN sqrt(pi()) * 0.5 / {_Y} ELSE exp(-{_Y} * {_Y}) * (SELECT sum(exp(2 * n.i * ln({_Y}) + n.i * ln(4.0) + lgamma(n.i + 1.0) - lgamma(2.0 * n.i + 2.0))) FROM range(150) n(i)) END"
 
 
-@query("classify_cluster", ["params"], f", curve AS (SELECT p.beam, p.buffer, p.cluster, avg((smooth / level - {_MODEL}) * (smooth / level - {_MODEL})) AS mse FROM params p CROSS JOIN range(32) b(i) JOIN smoothed s ON s.beam = p.beam AND s.buffer = p.buffer AND s.cluster = p.cluster AND s.bin = b.i WHERE {_FAIR} GROUP BY 1, 2, 3) SELECT beam, buffer, cluster, round(coalesce(mse, 1.0), 5) AS mse, CASE WHEN coalesce(mse, 1.0) < 0.1 THEN cluster ELSE -2 END AS class FROM params LEFT JOIN curve USING (beam, buffer, cluster)")
+@query("classify_cluster", ["params"], f", curve AS (SELECT p.beam, p.buffer, p.cluster, avg((smooth / level - {_MODEL}) * (smooth / level - {_MODEL})) AS mse FROM params p JOIN (SELECT *, bin AS i FROM smoothed) b ON b.beam = p.beam AND b.buffer = p.buffer AND b.cluster = p.cluster WHERE {_FAIR} GROUP BY 1, 2, 3) SELECT beam, buffer, cluster, round(coalesce(mse, 1.0), 5) AS mse, CASE WHEN coalesce(mse, 1.0) < 0.1 THEN cluster ELSE -2 END AS class FROM params LEFT JOIN curve USING (beam, buffer, cluster)")
 def classify_cluster(spark, d):
     """Clusters whose snr falls off the best measure as a pulse's does keep their number, others are -2."""
-    out = cluster.classify(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0, 32, BAND.width * BAND.channels, BAND.top)
+    out = cluster.classify(clusters(spark, d).filter("cluster >= 0"), KEYS, 50.0, BAND.width * BAND.channels, BAND.top)
     return out.select(*KEYS, r("mse", 5).alias("mse"), F.when(F.col("pulse"), F.col("cluster")).otherwise(-2).alias("class"))
 
 
@@ -407,11 +407,11 @@ def dm_histogram(spark, d):
     return cluster.dm_histogram(inputs.detection_points(spark, d), ["beam", "buffer"], 50.0).withColumn("weight", r("weight", 4))
 
 
-@query("moving_average3", ["points"], ", h AS (SELECT beam, buffer, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, sum(snr) AS weight FROM points GROUP BY 1, 2, 3) SELECT k.beam, k.buffer, CAST(b.i AS INT) AS bin, round(CASE WHEN b.i IN (0, 31) THEN max(h.weight) FILTER (h.bin = b.i) ELSE sum(h.weight) / 3.0 END, 4) AS smooth FROM (SELECT DISTINCT beam, buffer FROM h) k CROSS JOIN range(32) b(i) JOIN h ON h.beam = k.beam AND h.buffer = k.buffer AND h.bin BETWEEN b.i - 1 AND b.i + 1 WHERE NOT b.i IN (0, 31) OR h.bin = b.i GROUP BY 1, 2, b.i")
+@query("moving_average3", ["points"], ", h AS (SELECT beam, buffer, CAST(floor(dm / 50.0 + 0.5) AS INT) AS bin, sum(snr) AS weight FROM points GROUP BY 1, 2, 3), k AS (SELECT beam, buffer, unnest(range(greatest(0, min(bin) - 1), max(bin) + 2)) AS i FROM h GROUP BY 1, 2) SELECT k.beam, k.buffer, CAST(k.i AS INT) AS bin, round(CASE WHEN k.i = 0 THEN max(h.weight) FILTER (h.bin = 0) ELSE sum(h.weight) / 3.0 END, 4) AS smooth FROM k JOIN h ON h.beam = k.beam AND h.buffer = k.buffer AND h.bin BETWEEN k.i - 1 AND k.i + 1 GROUP BY 1, 2, k.i HAVING k.i > 0 OR max(h.weight) FILTER (h.bin = 0) IS NOT NULL")
 def moving_average3(spark, d):
     """Smoothed dm histograms."""
     hist = cluster.dm_histogram(inputs.detection_points(spark, d), ["beam", "buffer"], 50.0)
-    return cluster.smooth_histogram(hist, ["beam", "buffer"], 32).select("beam", "buffer", "bin", r("smooth", 4).alias("smooth"))
+    return cluster.smooth_histogram(hist, ["beam", "buffer"]).select("beam", "buffer", "bin", r("smooth", 4).alias("smooth"))
 
 
 @query("running_cluster_offset", ["found"], "SELECT beam, buffer, n, coalesce(CAST(sum(n) OVER (PARTITION BY beam ORDER BY buffer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM (SELECT beam, buffer, count(DISTINCT cluster) AS n FROM found GROUP BY 1, 2)")
@@ -471,7 +471,7 @@ def candidates(fb, samples):
         (F.col("t") * BAND.tsamp).alias("time"), (F.col("dm_idx") * BAND.dm_step).alias("dm"), "snr",
     )
     found = materialize(cluster.scan_clusters(points, (8 * BAND.tsamp, 6.0, 2.0), 2, KEYS[:2]).filter("cluster > 0"), "candidates")
-    return cluster.classify(found, KEYS, BAND.dm_step, BAND.dms, BAND.width * BAND.channels, BAND.top)
+    return cluster.classify(found, KEYS, BAND.dm_step, BAND.width * BAND.channels, BAND.top, last=BAND.dms - 1)
 
 
 @query("search_candidates")

@@ -156,11 +156,11 @@ def beam_weight(spark, d):
     return a.select("antenna", "beam", "chan", (r(F.cos(p), 5) + 0.0).alias("wr"), (r(F.sin(p), 5) + 0.0).alias("wi"))
 
 
-@query("geometric_delay", [], f", p AS ({_PATH}), m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM (SELECT DISTINCT antenna, x, y, z FROM p) WHERE antenna <= 256) SELECT antenna, beam, round((5e-9 * (antenna % 10) - ((x - mx) * cos(el) * sin(az) + (y - my) * cos(el) * cos(az) + (z - mz) * sin(el)) / {geometry.LIGHT}) * 1e9, 5) AS ns FROM p, m".replace(", p AS", "WITH p AS", 1))
+@query("geometric_delay", [], f", p AS ({_PATH}), m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM (SELECT DISTINCT antenna, x, y, z FROM p)) SELECT antenna, beam, round((5e-9 * (antenna % 10) - ((x - mx) * cos(el) * sin(az) + (y - my) * cos(el) * cos(az) + (z - mz) * sin(el)) / {geometry.LIGHT}) * 1e9, 5) AS ns FROM p, m".replace(", p AS", "WITH p AS", 1))
 def geometric_delay(spark, d):
-    """Nanoseconds of cable less those of the way from the array's middle, which the first 256 antennas tell."""
+    """Nanoseconds of cable less those of the way from the array's middle, which is that of all antennas."""
     a = pointed(spark, d)
-    middle = a.filter("beam = 0 and antenna <= 256").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    middle = a.filter("beam = 0").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     away = geometry.along(*(F.col(c) - F.col(f"m{c}") for c in "xyz"), F.col("az"), F.col("el")) / F.lit(geometry.LIGHT)
     # the middle is one row
     return a.join(F.broadcast(middle)).select("antenna", "beam", r((F.lit(5e-9) * (F.col("antenna") % 10) - away) * 1e9, 5).alias("ns"))

@@ -109,22 +109,30 @@ def dm_histogram(points: DataFrame, keys: list[str], step: float) -> DataFrame:
     return points.groupBy(*keys, F.floor(F.col("dm") / step + 0.5).cast("int").alias("bin")).agg(F.sum("snr").alias("weight"))
 
 
-def smooth_histogram(hist: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """(keys, bin, smooth): three-bin mean over all ``bins`` bins, empty ones as zero; the end bins stay. Bins of zero are left out."""
-    at = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
-    ends = F.col("to").isin(0, bins - 1)
-    spread = hist.filter(F.col("bin").between(0, bins - 1)).withColumn("to", at).filter(F.col("to").between(0, bins - 1) & (~ends | (F.col("to") == F.col("bin"))))
-    return spread.groupBy(*keys, F.col("to").alias("bin")).agg(F.sum(F.when(ends, F.col("weight")).otherwise(F.col("weight") / 3.0)).alias("smooth"))
+def smooth_histogram(hist: DataFrame, keys: list[str], last: int | None = None) -> DataFrame:
+    """(keys, bin, smooth): three-bin means, empty bins as zero, of every bin that a weight reaches; nothing is left out.
 
-
-def cluster_params(points: DataFrame, keys: list[str], step: float, bins: int) -> DataFrame:
+    The first bin, 0, stays as it is, and so does ``last``, where trials end there. Without it bins have no end.
+    """
+    ends = F.col("bin").isin([0] if last is None else [0, last])
+    raw = F.col("to").isin([0] if last is None else [0, last])
+    outside = (F.col("bin") == 0) & (F.col("to") < 0)
+    if last is not None:
+        outside |= (F.col("bin") == last) & (F.col("to") > last)
+    spread = hist.withColumn("to", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    spread = spread.filter(~(ends & outside) & (~raw | (F.col("to") == F.col("bin"))))
+    # an end bin without weight of its own is not there
+    return spread.groupBy(*keys, F.col("to").alias("bin")).agg(F.sum(F.when(raw, F.col("weight")).otherwise(F.col("weight") / 3.0)).alias("smooth"))
+
+
+def cluster_params(points: DataFrame, keys: list[str], step: float, last: int | None = None) -> DataFrame:
     """(keys, n, max_dm, level, max_snr, start, width, position) of each cluster.
 
     ``max_dm`` is the median of the histogram's bins above nine tenths of its peak, and ``level`` their mean. The
     best snr is that within half a step of it; ``width`` is 0.4 of the time, in milliseconds, that points within a
     step of it span, and ``position`` their middle.
     """
-    smooth = smooth_histogram(dm_histogram(points, keys, step), keys, bins)
+    smooth = smooth_histogram(dm_histogram(points, keys, step), keys, last)
     top = smooth.groupBy(*keys).agg(F.max("smooth").alias("top"))
     high = smooth.join(top, keys).filter(F.col("smooth") > 0.9 * F.col("top"))
     peak = high.groupBy(*keys).agg((F.median("bin") * step).alias("max_dm"), F.avg("smooth").alias("level"))
@@ -156,17 +164,23 @@ def model_curve(y: Column) -> Column:
     return F.when(F.abs(y) < 6.0, F.exp(-square) * series).otherwise(F.sqrt(F.pi()) * 0.5 / F.abs(y))
 
 
-def classify(points: DataFrame, keys: list[str], step: float, bins: int, band_mhz: float, top_mhz: float, least_width: float = 0.0) -> DataFrame:
+def classify(points: DataFrame, keys: list[str], step: float, band_mhz: float, top_mhz: float, least_width: float = 0.0, last: int | None = None) -> DataFrame:
     """``cluster_params`` with ``mse``, the mean squared distance of the snr curve from a pulse's, and ``pulse``.
 
     Clusters at a dm of 2 or less, or without a width above ``least_width``, are interference and have mse 1; of the
-    others those below 0.1 are pulses.
+    others those below 0.1 are pulses. The curve is compared over the trials 0 to ``last``, or, without it, over the
+    bins that the cluster reaches.
     """
-    params = cluster_params(points, keys, step, bins)
-    smooth = smooth_histogram(dm_histogram(points, keys, step), keys, bins)
+    params = cluster_params(points, keys, step, last)
+    hist = dm_histogram(points, keys, step)
+    smooth = smooth_histogram(hist, keys, last)
+    low, high = F.min("bin"), F.max("bin")
+    reach = hist.groupBy(*keys).agg(F.when(low == 0, 0).otherwise(low - 1).alias("from_bin"), F.when(high == F.lit(last), high).otherwise(high + 1).alias("to_bin"))
+    if last is not None:
+        reach = reach.withColumns({"from_bin": F.least(F.lit(0), "from_bin"), "to_bin": F.greatest(F.lit(last), "to_bin")})
     fair = (F.col("max_dm") > 2.0) & (F.col("width") > least_width)
     freq = (top_mhz * 1e-3 - band_mhz * 1e-3 * 0.5) ** 3
-    grid = params.filter(fair).select(*keys, "max_dm", "level", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = params.filter(fair).join(reach, keys).select(*keys, "max_dm", "level", "width", F.explode(F.sequence("from_bin", "to_bin")).alias("bin"))
     y = F.lit(6.91e-3) * (F.col("bin") * step - F.col("max_dm")) * (band_mhz / (F.col("width") * freq))
     model = F.when(F.col("bin") == F.floor(F.col("max_dm") / step + 0.5), 1.0).otherwise(model_curve(y))
     miss = F.coalesce(F.col("smooth"), F.lit(0.0)) / F.col("level") - model

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,33 +51,44 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); nodes of a component have one root.
-
-    Each round gives a node its least neighbour's name and contracts the graph
-    to those names, until no edge is left. Rounds grow with the logarithm of
-    the longest path; hubs are aggregated before they are shuffled. Nodes may
-    be of any type that has an order. A round's tables go when the next one's
-    are written; the last table of roots stays, for the result.
+    """(node, root) for every node of ``edges`` (a, b); the nodes of a component share a root, which is one of them.
+
+    In each round every node takes the name of the one among itself and its
+    neighbours that comes first in an order by hash, and the graph is contracted
+    to those names, until no edge is left. The order is another one in each
+    round, so a round leaves a fixed share of the nodes at most, on average,
+    whatever their own order is: rounds grow with the logarithm of the number
+    of nodes, for chains too, and later ones are small. Hubs are aggregated
+    before they are shuffled. Nodes may be of any type that has an order and a
+    hash; of equal hashes the lesser node comes first. Names are put together
+    at the end, last round first. A round's edges go when the next one's are
+    written; the table of roots stays, for the result.
     """
     spark = edges.sparkSession
     edges, old = write_table(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    assigned, stale = None, ""
+    rounds: list[tuple[DataFrame, str]] = []
     while not edges.isEmpty():
+
+        def place(node: str) -> Column:
+            return F.struct(F.xxhash64(F.col(node), F.lit(len(rounds))).alias("hash"), F.col(node).alias("node"))
+
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        named, names = write_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("name")), "names")
-        if assigned is None:
-            assigned, stale = write_table(named.select(F.col("a").alias("node"), F.col("name").alias("root")), "roots")
-        else:
-            moved = named.select(F.col("a").alias("root"), "name")
-            before = stale
-            assigned, stale = write_table(assigned.join(moved, "root", "left").select("node", F.coalesce("name", "root").alias("root")), "roots")
-            discard(spark, before)
+        first = both.groupBy("a").agg(F.min(place("b")).alias("first"))
+        named, names = write_table(first.select("a", F.least("first", place("a"))["node"].alias("name")), "names")
+        rounds.append((named, names))
         left = named.select("a", F.col("name").alias("x"))
         right = named.select(F.col("a").alias("b"), F.col("name").alias("y"))
-        edges, new = write_table(edges.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        discard(spark, old, names)
+        met = edges.join(left, "a").join(right, "b").filter("x <> y")
+        edges, new = write_table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(spark, old)
         old = new
     discard(spark, old)
+    assigned = rounds[-1][0]
+    for named, _ in reversed(rounds[:-1]):
+        later = assigned.select(F.col("a").alias("name"), F.col("name").alias("last"))
+        assigned = named.join(later, "name", "left").select("a", F.coalesce("last", "name").alias("name"))
+    assigned = materialize(assigned.select(F.col("a").alias("node"), F.col("name").alias("root")), "roots")
+    discard(spark, *(path for _, path in rounds))
     return assigned
