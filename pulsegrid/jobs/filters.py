@@ -230,11 +230,22 @@ def fuzzy_neighbours(spark, d):
     return cluster.fuzzy_neighbours(inputs.detection_points(spark, d), EPS, ["beam", "buffer"]).withColumn("weight", r("weight", 5))
 
 
-@query("single_pulse", ["dd"], """, s AS (SELECT beam, dm_idx, t // 1024 AS block, avg(value) AS m, stddev_pop(value) AS s FROM dd GROUP BY 1, 2, 3),
-    n AS (SELECT dd.beam, dd.dm_idx, t, (value - m) / s.s AS v FROM dd JOIN s ON s.beam = dd.beam AND s.dm_idx = dd.dm_idx AND s.block = t // 1024),
-    c AS (""" + " UNION ALL ".join(f"SELECT beam, dm_idx, t, {w} AS width, sum(v) OVER (PARTITION BY beam, dm_idx, t // 1024 ORDER BY t ROWS BETWEEN {w // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING) / sqrt({w}.0) AS snr FROM n" for w in (1, 2, 3, 4, 6, 9, 14, 20, 30)) + """),
-    k AS (SELECT *, t // 1024 AS block FROM c WHERE snr >= 4.0)
-    SELECT a.beam, a.dm_idx, a.t, a.width, round(a.snr, 5) AS snr FROM k a ANTI JOIN k b ON a.beam = b.beam AND a.dm_idx = b.dm_idx AND a.block = b.block AND abs(a.t - b.t) <= greatest(a.width / 2.0, b.width / 2.0, 1.0) AND (round(b.snr, 9) > round(a.snr, 9) OR round(b.snr, 9) = round(a.snr, 9) AND (b.width < a.width OR b.width = a.width AND b.t < a.t))""")
+def _greedy(source: str, by: str, near: str) -> str:
+    """SQL of greedy pruning in each group of ``by``: the best match leaves the list with its relations, over and over."""
+    pick = "list_sort(list_transform(held, lambda c: struct_pack(s := -round(c.snr, 9), w := c.width, t := c.t, snr := c.snr)))[1]"
+    return f"""(WITH RECURSIVE g AS (SELECT {by}, list(struct_pack(t := t, width := width, snr := snr)) AS held FROM {source} GROUP BY ALL),
+        p AS (SELECT *, {pick} AS best, 1 AS turn FROM g UNION ALL
+              SELECT {by}, rest AS held, {pick.replace('held', 'rest')} AS best, turn + 1 FROM (SELECT *, list_filter(held, lambda c: NOT ({near})) AS rest FROM p) WHERE len(rest) > 0)
+        SELECT {by}, best.t AS t, best.w AS width, best.snr AS snr FROM p)"""
+
+
+@query("single_pulse", ["dd"], """, s AS (SELECT beam, dm_idx, t // 1024 AS chunk, avg(value) AS m, stddev_pop(value) AS s FROM dd GROUP BY 1, 2, 3),
+    n AS (SELECT dd.beam, dd.dm_idx, t, CASE WHEN s.s > 0 THEN (value - m) / s.s ELSE 0.0 END AS v FROM dd JOIN s ON s.beam = dd.beam AND s.dm_idx = dd.dm_idx AND s.chunk = t // 1024),
+    c AS (""" + " UNION ALL ".join(f"SELECT beam, dm_idx, t, {w} AS width, sum(v) OVER (PARTITION BY beam, dm_idx ORDER BY t ROWS BETWEEN {w // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING) / sqrt({w}.0) AS snr FROM n" for w in search.WIDTHS) + f"""),
+    k AS MATERIALIZED (SELECT * FROM c WHERE round(snr, 9) >= 4.0),
+    runs AS MATERIALIZED (SELECT * EXCLUDE (fresh), sum(fresh) OVER (PARTITION BY beam, dm_idx ORDER BY t, width ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CAST(coalesce(t - lag(t) OVER (PARTITION BY beam, dm_idx ORDER BY t, width) > 15, TRUE) AS INT) AS fresh FROM k)),
+    narrow AS MATERIALIZED (SELECT * FROM {_greedy("runs", "beam, dm_idx, run, width AS own", "abs(c.t - best.t) <= best.w // 2").replace("SELECT beam, dm_idx, run, width AS own, rest", "SELECT beam, dm_idx, run, own, rest").replace("SELECT beam, dm_idx, run, width AS own, best", "SELECT beam, dm_idx, run, own, best")})
+    SELECT beam, dm_idx, t, width, round(snr, 5) AS snr FROM {_greedy("narrow", "beam, dm_idx, run", "abs(c.t - best.t) <= greatest(1, best.w // 2, c.width // 2)")}""")
 def single_pulse(spark, d):
-    """Boxcars of nine widths over normalised series; of matches that belong together the best stays."""
+    """Boxcars of nine widths over normalised series; the best match takes what belongs to it, over and over."""
     return search.single_pulse(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d), 4.0, BUFFER).withColumn("snr", r("snr", 5))

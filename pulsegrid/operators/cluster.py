@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.shared import components, materialize
+from pulsegrid.shared import components, discard, materialize, write_table
 
 from .blocks import by_group
 
@@ -54,6 +55,59 @@ def highest_potential(points: DataFrame, eps: tuple[float, float, float], keys:
     return all_points.groupBy(*keys).agg(F.max_by("id", F.struct("potential", -F.col("id"))).alias("id"), F.max("potential").alias("potential"))
 
 
+def subtractive_centres(points: DataFrame, eps: tuple[float, float, float], keys: list[str], squash: float = 1.25, accept: float = 0.5, reject: float = 0.15) -> DataFrame:
+    """(keys, id, potential, ratio): all centres of subtractive clustering of each group, with the potential each was chosen at.
+
+    A point has potential 1, and exp(-4 d^2) from each neighbour within eps, d being their distance in eps. The point
+    with the highest potential (of equals the least id) is looked at next: above ``accept`` of the group's first
+    potential it is a centre; down to ``reject`` it is one if its share and its distance from the nearest centre, in
+    eps, come to 1; else it goes. A centre of potential p takes p exp(-4 d^2 / squash^2) from the points within
+    ``squash`` eps of it on each axis; below ``reject`` of the first potential the group is done.
+
+    What happens to a point depends on points within ``squash`` eps only, and potentials never rise. So each round
+    looks at all points, of all groups, that none within that range outranks: these are looked at in the order of
+    potentials too, only together. Rounds grow with the longest chain of ever lower neighbours, not with the number
+    of centres. Points below ``reject`` can't become centres, and are dropped as soon as they are. A round's tables go
+    when the next one's are written.
+    """
+    spark = points.sparkSession
+    wide = tuple(e * squash for e in eps)
+    square = sum(((F.col(c) - F.col(f"{c}2")) / e) * ((F.col(c) - F.col(f"{c}2")) / e) for c, e in zip(("time", "dm", "snr"), eps))
+    near = near_pairs(points, eps, keys).groupBy(*keys, "id").agg(F.sum(F.exp(-4.0 * square)).alias("near"))
+    start = points.select(*keys, "id").join(near, [*keys, "id"], "left").select(*keys, "id", (1.0 + F.coalesce("near", F.lit(0.0))).alias("potential"))
+    start = materialize(start, "potentials")
+    first = start.groupBy(*keys).agg(F.max("potential").alias("first"))
+    state = start.join(first, keys).withColumn("ratio", F.col("potential") / F.col("first")).filter(F.col("ratio") > reject)
+    state, old = write_table(state.select(*keys, "id", "potential", "first", "ratio", F.lit(float("inf")).alias("away")), "centre-state")
+    # pairs of points that may still become centres
+    able = points.join(state.select(*keys, "id"), [*keys, "id"], "left_semi")
+    pairs = materialize(near_pairs(able, wide, keys).select(*keys, "id", "id2", square.alias("d2")), "centre-pairs")
+    found = []
+    while not state.isEmpty():
+        rank = F.struct("potential", (-F.col("id")).alias("i"))
+        others = state.select(*keys, F.col("id").alias("id2"), rank.alias("other"))
+        outranked = pairs.join(others, [*keys, "id2"]).groupBy(*keys, "id").agg(F.max("other").alias("best"))
+        looked = state.join(outranked, [*keys, "id"], "left").withColumn("now", F.col("best").isNull() | (rank > F.col("best")))
+        centre = F.col("now") & ((F.col("ratio") > accept) | (F.col("ratio") + F.col("away") >= 1.0))
+        looked, path = write_table(looked.withColumn("centre", centre).drop("best"), "centre-looked")
+        chosen = looked.filter("centre")
+        found.append(write_table(chosen.select(*keys, "id", "potential", "ratio"), "centres"))
+        taken = pairs.join(chosen.select(*keys, F.col("id").alias("id2"), F.col("potential").alias("p")), [*keys, "id2"])
+        taken = taken.groupBy(*keys, "id").agg(F.sum(F.col("p") * F.exp(-4.0 * F.col("d2") / F.lit(squash * squash))).alias("less"), F.min(F.sqrt("d2")).alias("d"))
+        left = looked.filter("not now").join(taken, [*keys, "id"], "left")
+        left = left.withColumn("potential", F.col("potential") - F.coalesce("less", F.lit(0.0))).withColumn("ratio", F.col("potential") / F.col("first")).withColumn("away", F.least("away", F.coalesce("d", F.lit(float("inf")))))
+        before = old
+        state, old = write_table(left.filter(F.col("ratio") > reject).select(*state.columns), "centre-state")
+        discard(spark, before, path)
+    discard(spark, old)
+    if not found:
+        return start.select(*keys, "id", "potential", F.lit(1.0).alias("ratio")).limit(0)
+    # a small table for each round
+    out = materialize(reduce(DataFrame.unionByName, (f for f, _ in found)), "all-centres")
+    discard(spark, *(p for _, p in found))
+    return out
+
+
 def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int, keys: list[str]) -> DataFrame:
     """Density clusters of each (beam, buffer): columns cluster (0.. by first point, -1 noise) and type (1 core, 0 border, -1 noise).
 

@@ -9,12 +9,14 @@ samples are those whose channels all exist: 0 to ``samples`` less the largest de
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.dispersion import Band, dm_shift, shifts
+from pulsegrid.functions.dispersion import DISPERSION, Band, dm_shift, shifts
 
 from . import blocks
 from .blocks import SIZE, dedispersed
@@ -93,6 +95,65 @@ def dedisperse_subband(fb: DataFrame, band: Band, samples: int, subband: int = 4
     return cells(blocks.cubes(fb, band, samples, size, of_cube, PLANE))
 
 
+@dataclass(frozen=True)
+class Pass:
+    """A range of trial measures that is searched at a time resolution of its own.
+
+    Trial k has the measure ``low + step * k``; ``coarse`` trials share sub-band sums; ``bin`` samples are added up first.
+    """
+
+    low: float
+    step: float
+    trials: int
+    bin: int
+    coarse: int
+
+    def shifts(self, band: Band) -> np.ndarray:
+        """(trial, channel) whole binned samples of delay."""
+        f = band.top - band.width * np.arange(band.channels)
+        delay = DISPERSION * (1.0 / (f * f) - 1.0 / (band.top * band.top))
+        return np.trunc(delay[None, :] * (self.low + self.step * np.arange(self.trials))[:, None] / (band.tsamp * self.bin)).astype(np.int64)
+
+
+PASSES = "beam int, pass int, dm_idx int, start long, value array<double>"
+
+
+def dedisperse_passes(fb: DataFrame, band: Band, samples: int, passes: list[Pass], subband: int = 4, size: int = SIZE) -> DataFrame:
+    """(beam, pass, dm_idx, t, value): sub-band dedispersion at several time resolutions, over one shuffle.
+
+    High measures smear pulses within a channel, so they need no fine samples: each pass bins a block's samples by its
+    own number and dedisperses those, channels to sub-bands at every coarse trial, then sub-bands at the others, which
+    have the coarse trial's delays within a sub-band. ``t`` counts the pass's binned samples. A block of ``size``
+    samples, a multiple of all bins, has the edge that the pass with the longest delay needs.
+    """
+    if any(size % p.bin for p in passes):
+        raise ValueError("blocks must hold whole bins of every pass")
+    delays = [p.shifts(band) for p in passes]
+    tops = np.arange(0, band.channels, subband)
+    # an edge is as long as delays within and between sub-bands can add up to, and a bin more
+    most = [int(d.max()) for d in delays]
+    after = max((m + 1) * p.bin for m, p in zip(most, passes))
+
+    def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        for number, (p, delay, far) in enumerate(zip(passes, delays, most)):
+            whole = cube.shape[1] // p.bin
+            binned = cube[:, : whole * p.bin].reshape(band.channels, whole, p.bin).sum(2)
+            own = min(size // p.bin, samples // p.bin - far - start // p.bin)
+            for c in range(0, p.trials, p.coarse) if own > 0 else ():
+                fine = range(c, min(c + p.coarse, p.trials))
+                sums = np.zeros((len(tops), own + int(delay[fine[-1], tops[-1]])))
+                for k, top in enumerate(tops.tolist()):
+                    for chan in range(top, min(top + subband, band.channels)):
+                        part = binned[chan, delay[c, chan] - delay[c, top] :][: sums.shape[1]]
+                        sums[k, : len(part)] += part
+                for d in fine:
+                    yield {"beam": [beam], "pass": [number], "dm_idx": [d], "start": [start // p.bin], "value": [dedispersed(sums, delay[d, tops], own)]}
+
+    made = blocks.cubes(fb, replace(band, dms=1), samples, size, of_cube, PASSES, after=after)
+    cells = made.select("beam", "pass", "dm_idx", "start", F.posexplode("value").alias("at", "value"))
+    return cells.select("beam", "pass", "dm_idx", (F.col("start") + F.col("at")).alias("t"), "value")
+
+
 def detect(fb: DataFrame, band: Band, samples: int, sigmas: float, buffer: int) -> DataFrame:
     """``CELLS`` at least ``sigmas`` deviations above their buffer's mean, over all its trials, with snr.
 
@@ -145,35 +206,78 @@ def detect_single(fb: DataFrame, band: Band, samples: int, sigmas: float, chunk:
 WIDTHS = (1, 2, 3, 4, 6, 9, 14, 20, 30)
 
 
-def single_pulse(fb: DataFrame, band: Band, samples: int, sigmas: float, buffer: int) -> DataFrame:
-    """(beam, dm_idx, t, width, snr): matches of ``WIDTHS`` in a buffer's normalised trials that no related one is better than.
+def matches(v: np.ndarray, widths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, match at each place) of boxcars over the roots of their widths, as products of spectra; beyond the ends is nothing."""
+    n = 1 << int(len(v) + max(widths)).bit_length()
+    spectrum = np.fft.rfft(v, n)
+    for w in widths:
+        kernel = np.zeros(n)
+        kernel[np.arange(-((w - 1) // 2), w // 2 + 1)] = 1 / np.sqrt(w)
+        yield w, np.fft.irfft(spectrum * np.fft.rfft(kernel), n)[: len(v)]
+
+
+def kept(t: np.ndarray, width: np.ndarray, snr: np.ndarray, related) -> np.ndarray:
+    """Which matches stay when the best one left removes those related to it, over and over.
 
-    Matches of one trial and buffer are related where they lie within half the wider one's width, or a sample. Of
-    equals (to nine digits) the narrower, then the earlier, is better.
+    Of equals (to nine digits) the narrower, then the earlier, is better.
+    """
+    order = np.lexsort((t, width, -np.round(snr, 9)))
+    gone, stays = np.zeros(len(t), bool), np.zeros(len(t), bool)
+    for k in order.tolist():
+        if not gone[k]:
+            stays[k] = True
+            gone |= related(k)
+    return stays
+
+
+def single_pulse(fb: DataFrame, band: Band, samples: int, sigmas: float, chunk: int, widths: tuple[int, ...] = WIDTHS, size: int = SIZE) -> DataFrame:
+    """(beam, dm_idx, t, width, snr): matches of boxcars with normalised trials, without those that a better one is related to.
+
+    A trial is normalised by the mean and deviation of each ``chunk`` of its samples; boxcars run on over chunks and
+    blocks. Of matches that reach ``sigmas``, those of one width are pruned first, among which matches within half the
+    width are related; then those of all widths, within half the wider one's. Either is greedy: the best match removes
+    its relations, then the best one left does. Matches further apart than half the widest boxcar don't touch each
+    other, so runs of matches without such a gap are pruned as groups, wherever blocks end. ``size`` is a
+    multiple of ``chunk``, longer than the edge, and doesn't change the result.
     """
     delay = shifts(band)
-    schema = "beam int, dm_idx int, t long, width int, snr double"
+    reach = max(1, max(widths) // 2)
+    edge = -(-max(widths) // chunk) * chunk
+    if size % chunk or size <= edge:
+        raise ValueError("blocks must hold whole chunks, and more than the widest boxcar reaches")
 
     def of_cube(beam: int, start: int, cube: np.ndarray, length: int) -> Iterator[dict]:
+        first = start if start == 0 else start + edge  # the block's own outputs
         for d in range(band.dms):
             v = dedispersed(cube, delay[d], length)
-            if v.std() == 0:
-                continue
-            total = np.concatenate([[0.0], np.cumsum((v - v.mean()) / v.std())])
-            at, found = np.arange(length), []
-            for w in WIDTHS:
-                snr = (total[np.minimum(at + (w - 1) // 2 + 1, length)] - total[np.maximum(at - w // 2, 0)]) / np.sqrt(w)
-                found += [(round(float(snr[t]), 9), w, t, float(snr[t])) for t in np.flatnonzero(snr >= sigmas).tolist()]
-            found.sort(key=lambda m: m[2])
-            places = np.array([m[2] for m in found])
-            rows = []
-            for m in found:
-                near = range(int(np.searchsorted(places, m[2] - max(WIDTHS) / 2)), int(np.searchsorted(places, m[2] + max(WIDTHS) / 2, "right")))
-                if not any(abs(m[2] - found[j][2]) <= max(m[1] / 2, found[j][1] / 2, 1) and (found[j][0], -found[j][1], -found[j][2]) > (m[0], -m[1], -m[2]) for j in near):
-                    rows.append(m)
-            yield {"beam": np.full(len(rows), beam), "dm_idx": np.full(len(rows), d), "t": [start + m[2] for m in rows], "width": [m[1] for m in rows], "snr": [m[3] for m in rows]}
-
-    return blocks.cubes(fb, band, samples, buffer, of_cube, schema)
+            for a in range(0, length, chunk):
+                part = v[a : a + chunk]
+                rms = part.std()
+                v[a : a + chunk] = (part - part.mean()) / rms if rms > 0 else 0.0
+            for w, snr in matches(v, widths):
+                t = np.flatnonzero(np.round(snr, 9) >= sigmas)
+                t = t[(t + start >= first) & (t + start < first - first % size + size)]
+                if len(t):
+                    yield {"beam": np.full(len(t), beam), "dm_idx": np.full(len(t), d), "t": start + t, "width": np.full(len(t), w), "snr": snr[t]}
+
+    schema = "beam int, dm_idx int, t long, width int, snr double"
+    found = blocks.cubes(fb, band, samples, size, of_cube, schema, before=edge, after=edge)
+    series = Window.partitionBy("beam", "dm_idx").orderBy("t")
+    gap = F.col("t") - F.lag("t").over(series) > reach
+    runs = found.withColumn("new", F.coalesce(gap, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(series.rangeBetween(Window.unboundedPreceding, 0)))
+
+    def prune(rows: pd.DataFrame) -> pd.DataFrame:
+        t, width, snr = (rows[c].to_numpy() for c in ("t", "width", "snr"))
+        stays = np.zeros(len(t), bool)
+        for w in np.unique(width).tolist():
+            one = np.flatnonzero(width == w)
+            stays[one] = kept(t[one], width[one], snr[one], lambda k, one=one, w=w: np.abs(t[one] - t[one][k]) <= w // 2)
+        left = np.flatnonzero(stays)
+        t, width = t[left], width[left]
+        final = kept(t, width, snr[left], lambda k: np.abs(t - t[k]) <= np.maximum(1, np.maximum(width, width[k]) // 2))
+        return rows.iloc[left[final]][["beam", "dm_idx", "t", "width", "snr"]]
+
+    return runs.groupBy("beam", "dm_idx", "run").applyInPandas(prune, schema)
 
 
 def boxcar(fb: DataFrame, band: Band, samples: int, width: int, size: int = SIZE) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.dispersion import DISPERSION
+
 from .blocks import by_group, spread
 
 #: Fixed value: the constant of the coherent phase.
@@ -102,3 +104,56 @@ def polyphase(rows: DataFrame, order: str, column: str, weights: np.ndarray, siz
     kind = rows.schema[order].dataType.simpleString()
     spread_rows = spread(rows.filter(F.col(column).isNotNull()).select(order, column), order, size, taps - 1, 0)
     return by_group(spread_rows, ["block"], of_group, f"{order} {kind}, re array<double>, im array<double>")
+
+
+def chirp_kernel(taps: int, centre: float, width: float, dm: float) -> np.ndarray:
+    """Impulse response of coherent dedispersion over ``taps`` samples, the one without delay in its middle: sample k is at k + taps // 2."""
+    f = np.fft.fftfreq(taps) * width
+    phase = -2.0 * np.pi * (dm / CHIRP / 1e6) * f * f / (centre * centre * (centre + f)) * 1e-6
+    return np.fft.fftshift(np.fft.ifft(np.exp(1j * phase)))
+
+
+def chirp_taps(centre: float, width: float, dm: float) -> int:
+    """The next power of two above the samples by which a channel of ``width`` MHz, sampled at that rate, is smeared."""
+    low, high = centre - width / 2, centre + width / 2
+    smear = DISPERSION * dm * (1 / (low * low) - 1 / (high * high)) * width * 1e6
+    return 1 << max(1, int(np.ceil(smear)) - 1).bit_length()
+
+
+def overlap_save(x: np.ndarray, kernel: np.ndarray, length: int) -> np.ndarray:
+    """Convolution of a series with a kernel around its middle, in transforms of ``length`` samples; the ends' missing samples are zero."""
+    taps = len(kernel)
+    length = max(length, 1 << taps.bit_length())
+    ahead = taps // 2
+    own = length - taps + 1
+    spectrum = np.fft.fft(kernel, length)
+    padded = np.concatenate([np.zeros(taps - 1 - ahead), x, np.zeros(ahead + own)])
+    parts = [np.fft.ifft(np.fft.fft(padded[k : k + length], length) * spectrum)[taps - 1 : taps - 1 + own] for k in range(0, len(x), own)]
+    return np.concatenate(parts)[: len(x)] if parts else x[:0]
+
+
+def coherent_series(rows: DataFrame, lane: str, order: str, column: str, chunk: int, kernel: np.ndarray, size: int = 256, length: int = 1 << 12) -> DataFrame:
+    """(lane, order, re, im): coherent dedispersion of series that are longer than a row.
+
+    Row ``order`` of a lane holds the samples from ``order * chunk`` on, as pairs re, im. Rows lie in blocks of
+    ``size`` with as many beside them as the kernel reaches, and a block is convolved by overlap-save: transforms of
+    ``length`` samples, of whose results the edges that the kernel's ends spoil are discarded. Missing rows, and what
+    lies beyond a series' ends, are zero; results don't depend on ``size`` or ``length``.
+    """
+    edge = -(-len(kernel) // chunk)
+
+    def of_group(key: tuple, columns: dict) -> Iterator[dict]:
+        _, block = key
+        place = columns[order]
+        first, last = int(place.min()), int(place.max()) + 1
+        z = np.zeros((last - first, chunk), complex)
+        z[place - first] = complex_rows(np.stack(columns[column]).astype(float))
+        out = overlap_save(z.ravel(), kernel, length).reshape(-1, chunk)
+        mine = np.sort(place[place // size == block])
+        if len(mine):
+            own = out[mine - first]
+            yield {lane: np.full(len(mine), key[0]), order: mine, "re": list(own.real), "im": list(own.imag)}
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (lane, order))
+    ready = spread(rows.filter(F.col(column).isNotNull() & (F.size(column) == 2 * chunk)).select(lane, order, column), order, size, edge, edge)
+    return by_group(ready, [lane, "block"], of_group, f"{kinds}, re array<double>, im array<double>")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from pulsegrid.jobs import filters, more, scalars, spectra, streams  # noqa: F401
+from pulsegrid.jobs import filters, more, passes, scalars, spectra, streams  # noqa: F401
 from pulsegrid.jobs.registry import ORACLE_SQL, QUERIES
 
 from .conftest import SF
