@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -111,11 +112,11 @@ def subtractive_centres(points: DataFrame, eps: tuple[float, float, float], keys
 def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int, keys: list[str]) -> DataFrame:
     """Density clusters of each (beam, buffer): columns cluster (0.. by first point, -1 noise) and type (1 core, 0 border, -1 noise).
 
-    Core points with a chain of core neighbours form a cluster; a border point
-    joins its first core neighbour's. Points meet in cells of eps as in
-    ``neighbours``, so no task holds a group. Core points of one half cell are
-    all neighbours: each half cell is one node of the graph, whose edges are
-    at most those to the half cells around it, however many pairs there are.
+    Core points with a chain of core neighbours form a cluster; a border point joins its first core neighbour's. No
+    task holds a group, and dense places need no pairs of points: points whose half cells of eps (in time, dm and snr)
+    are the same or touch are neighbours for certain. So a point is core where its half cell and the 26 around it hold
+    enough points, and touching half cells with core points are joined as wholes. Only points that this leaves open are
+    counted by pairs, and pairs two half cells apart are tested only between clusters that are still apart.
     """
     columns = points.columns
     place = ("time", "dm", "id")
@@ -123,30 +124,64 @@ def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int
     cell = points.withColumn("_p", ident)
     for c, e in zip(("time", "dm"), eps):
         cell = cell.withColumn(f"_{c}", F.floor(F.col(c) / e))
-    half = [F.floor(F.col(c) * 2 / e).alias(f"_h{c}") for c, e in zip(("time", "dm", "snr"), eps)]
-    cell = materialize(cell.select("*", *half), "points")
-    cells = ["_g", "_time", "_dm"]
+    cell = cell.select("*", *(F.floor(F.col(c) * 2 / e).alias(f"_h{c}") for c, e in zip(("time", "dm", "snr"), eps)))
+    cells = [*keys, "_time", "_dm"]
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
 
     def meeting(left: DataFrame, right: DataFrame, carried: list[str]) -> DataFrame:
         """Pairs of neighbours; the right one's columns end in 2."""
-        wide = left.select(F.struct(*keys).alias("_g"), *carried, "_p", "time", "dm", "snr", "_time", "_dm", around.alias("_o"))
+        wide = left.select(*keys, *carried, "_p", "time", "dm", "snr", "_time", "_dm", around.alias("_o"))
         wide = wide.withColumn("_time", F.col("_time") + F.col("_o.a")).withColumn("_dm", F.col("_dm") + F.col("_o.b")).drop("_o")
-        others = right.select(F.struct(*keys).alias("_g"), "_time", "_dm", *(F.col(c).alias(f"{c}2") for c in [*carried, "_p", "id", "time", "dm", "snr"]))
+        others = right.select(*keys, "_time", "_dm", *(F.col(c).alias(f"{c}2") for c in [*carried, "_p", "id", "time", "dm", "snr"]))
         near = F.lit(True)
         for c, e in zip(("time", "dm", "snr"), eps):
             near &= F.abs(F.col(c) - F.col(f"{c}2")) < e
         return wide.join(others, cells).filter(near & (F.col("_p") != F.col("_p2")))
 
-    crowd = meeting(cell, cell, []).groupBy("_p").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    halves = ["_htime", "_hdm", "_hsnr"]
+    nodes = [*keys, *halves]
+
+    def offsets(far: int, least_far: int = 0):
+        """Steps of up to ``far`` half cells each way, of which the longest is ``least_far`` at least."""
+        steps = [o for o in product(range(-far, far + 1), repeat=3) if max(map(abs, o)) >= least_far]
+        return steps, F.explode(F.array(*(F.struct(*(F.lit(v).alias(h) for h, v in zip(halves, o))) for o in steps)))
+
+    def moved(rows: DataFrame, steps) -> DataFrame:
+        return rows.withColumn("_o", steps).withColumns({h: F.col(h) + F.col(f"_o.{h}") for h in halves}).drop("_o")
+
+    per_half = cell.groupBy(*nodes).agg(F.count("*").alias("_n"))
+    around_half = moved(per_half, offsets(1)[1]).groupBy(*nodes).agg(F.sum("_n").alias("_near"))
+    cell = materialize(cell.join(around_half, nodes).withColumn("_sure", F.col("_near") > least).drop("_near"), "points")
     # a point needs itself only where no neighbour is asked for
-    core = cell.join(crowd.select("_p"), "_p", "left_semi") if least > 0 else cell
-    nodes = [*keys, "_htime", "_hdm", "_hsnr"]
-    node = F.min("_p").alias("_node")
-    core = materialize(core.join(core.groupBy(*nodes).agg(node), nodes), "core-points")
-    edges = meeting(core, core, ["_node"]).filter("_node < _node2").select(F.col("_node").alias("a"), F.col("_node2").alias("b"))
-    joined = components(edges).select(F.col("node").alias("_node"), "root")
-    core = core.join(joined, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    open_points = cell.filter("not _sure").drop("_sure")
+    crowd = meeting(open_points, cell, []).groupBy("_p").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    core = cell.filter("_sure").drop("_sure").unionByName(open_points.join(crowd.select("_p"), "_p", "left_semi"))
+    cell = cell.drop("_sure")
+    core = materialize(core.join(core.groupBy(*nodes).agg(F.min("_p").alias("_node")), nodes), "core-points")
+    half = materialize(core.groupBy(*nodes).agg(F.first("_node").alias("_node")), "core-cells")
+
+    def side(steps: list) -> list:
+        return [o for o in steps if o > (0, 0, 0)]
+
+    def cell_pairs(far: int, least_far: int, of: DataFrame, carried: list[str]) -> DataFrame:
+        """Pairs of half cells so far apart, each once; the second one's columns end in 2."""
+        steps = side(offsets(far, least_far)[0])
+        away = F.explode(F.array(*(F.struct(*(F.lit(v).alias(h) for h, v in zip(halves, o))) for o in steps)))
+        return moved(of, away).join(of.select(*nodes, *(F.col(c).alias(f"{c}2") for c in carried)), nodes).select(*carried, *(f"{c}2" for c in carried))
+
+    touching = cell_pairs(1, 1, half, ["_node"]).select(F.col("_node").alias("a"), F.col("_node2").alias("b"))
+    joined = components(touching).select(F.col("node").alias("_node"), F.col("root").alias("_part"))
+    half = materialize(half.join(joined, "_node", "left").withColumn("_part", F.coalesce("_part", "_node")), "core-cells")
+    apart = cell_pairs(2, 2, half, ["_node", "_part"]).filter("_part <> _part2")
+    one = core.select("_node", "time", "dm", "snr")
+    two = core.select(F.col("_node").alias("_node2"), F.col("time").alias("time2"), F.col("dm").alias("dm2"), F.col("snr").alias("snr2"))
+    near = F.lit(True)
+    for c, e in zip(("time", "dm", "snr"), eps):
+        near &= F.abs(F.col(c) - F.col(f"{c}2")) < e
+    edges = apart.join(one, "_node").join(two, "_node2").filter(near).select(F.col("_part").alias("a"), F.col("_part2").alias("b"))
+    joined = components(edges).select(F.col("node").alias("_part"), "root")
+    root = half.join(joined, "_part", "left").select("_node", F.coalesce("root", "_part").alias("root"))
+    core = core.join(root, "_node")
     # clusters by their first point; a row for each cluster, not for each point
     first = core.groupBy(*keys, "root").agg(F.min(F.struct(*place)).alias("first"))
     numbers = first.select("root", (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).alias("cluster"))

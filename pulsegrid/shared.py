@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+#: Edges that one task names at once, at most.
+FEW_EDGES = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,7 +56,30 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def named_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, name) of the nodes of a graph that one task holds: each component's first node names it."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes = pa.concat_arrays([b.column(k) for k in (0, 1) for b in held])
+    number: dict = {}
+    # structs come as dicts
+    at = [number.setdefault(str(v) if isinstance(v, dict) else v, k) for k, v in enumerate(nodes.to_pylist())]
+    name = list(range(len(at)))
+
+    def top(k: int) -> int:
+        while name[k] != k:
+            name[k] = k = name[name[k]]
+        return k
+
+    half = len(at) // 2
+    for a, b in zip(at[:half], at[half:]):
+        name[max(top(a), top(b))] = min(top(a), top(b))
+    own = sorted(set(at))
+    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(own)), nodes.take(pa.array([top(k) for k in own]))], names=["a", "name"])
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the nodes of a component share a root, which is one of them.
 
     In each round every node takes the name of the one among itself and its
@@ -62,14 +91,16 @@ def components(edges: DataFrame) -> DataFrame:
     before they are shuffled. Nodes may be of any type that has an order and a
     hash; of equal hashes the lesser node comes first. Names are put together
     at the end, last round first. A round's edges go when the next one's are
-    written; the table of roots stays, for the result.
+    written; the table of roots stays, for the result. What is left of the graph when no more than ``few`` edges are
+    is named by one task.
     """
     spark = edges.sparkSession
     edges, old = write_table(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    if edges.isEmpty():
+    left = edges.count()
+    if not left:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     rounds: list[tuple[DataFrame, str]] = []
-    while not edges.isEmpty():
+    while left > few:
 
         def place(node: str) -> Column:
             return F.struct(F.xxhash64(F.col(node), F.lit(len(rounds))).alias("hash"), F.col(node).alias("node"))
@@ -78,12 +109,14 @@ def components(edges: DataFrame) -> DataFrame:
         first = both.groupBy("a").agg(F.min(place("b")).alias("first"))
         named, names = write_table(first.select("a", F.least("first", place("a"))["node"].alias("name")), "names")
         rounds.append((named, names))
-        left = named.select("a", F.col("name").alias("x"))
-        right = named.select(F.col("a").alias("b"), F.col("name").alias("y"))
-        met = edges.join(left, "a").join(right, "b").filter("x <> y")
+        one = named.select("a", F.col("name").alias("x"))
+        two = named.select(F.col("a").alias("b"), F.col("name").alias("y"))
+        met = edges.join(one, "a").join(two, "b").filter("x <> y")
         edges, new = write_table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         discard(spark, old)
-        old = new
+        old, left = new, edges.count()
+    if left:
+        rounds.append(write_table(edges.coalesce(1).mapInArrow(named_at_once, StructType([edges.schema["a"], StructField("name", edges.schema["a"].dataType)])), "names"))
     discard(spark, old)
     assigned = rounds[-1][0]
     for named, _ in reversed(rounds[:-1]):

@@ -23,16 +23,17 @@ def test_chain_takes_logarithmic_rounds(spark, monkeypatch, order):
     i = F.col("id")
     name = {"sorted": lambda c: c, "reversed": lambda c: n - c, "random": lambda c: (c * 7919) % 100_003, "pairs": lambda c: c.bitwiseXOR(F.lit(1))}[order]
     edges = spark.range(n - 1).select(name(i).alias("a"), name(i + 1).alias("b"))
-    found = shared.components(edges)
+    found = shared.components(edges, few=0)
     row = found.agg(F.count("*").alias("n"), F.countDistinct("node").alias("nodes"), F.countDistinct("root").alias("roots")).first()
     assert (row.n, row.nodes, row.roots) == (n, n, 1)
     assert seen.count("names") <= 20
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 30, 4096])
+def test_components_equal_brute_force(spark, few):
     rng = random.Random(8)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(7, 7), (1000, 1001), (1001, 1000)]
-    found = {r.node: r.root for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.node: r.root for r in shared.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     root = list(range(1002))
     for _ in root:
         for a, b in edges:
@@ -45,6 +46,15 @@ def test_components_equal_brute_force(spark):
     assert all(len(g) == 1 and g <= nodes for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_nodes_of_other_types(spark, few):
+    """Structs and bytes are nodes too."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "x long, y long")
+    for node in (lambda c: F.struct(F.lit(0).alias("k"), F.col(c).alias("id")), lambda c: F.col(c).cast("string").cast("binary")):
+        found = shared.components(edges.select(node("x").alias("a"), node("y").alias("b")), few)
+        assert found.count() == 5 and found.groupBy("root").count().count() == 2
+
+
 def test_no_edges(spark):
     assert shared.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
@@ -68,3 +78,10 @@ def test_histogram_keeps_every_weight(spark):
     assert smooth == {0: 3.0, 1: 3.0, 2: 2.0, 39: 3.0, 40: 3.0, 41: 3.0, 89999: 4.0, 90000: 4.0, 90001: 4.0}
     ended = {r.bin: r.smooth for r in cluster.smooth_histogram(hist, ["g"], 90000).collect()}
     assert {b: s for b, s in ended.items() if b > 50} == {89999: 4.0, 90000: 12.0}
+
+
+def test_dense_places_make_no_pairs(spark):
+    """5,000 points in one place are one cluster, and no join makes a row for each pair of them."""
+    points = spark.range(5000).select("id", F.lit(0).alias("beam"), F.lit(0).cast("long").alias("buffer"), (F.rand(1) * 0.9).alias("time"), (F.rand(2) * 0.9).alias("dm"), (F.rand(3) * 0.9).alias("snr"))
+    found = cluster.core_clusters(points, (1.0, 1.0, 1.0), 3, ["beam", "buffer"])
+    assert [(r.cluster, r.type, r["count"]) for r in found.groupBy("cluster", "type").count().collect()] == [(0, 1, 5000)]
