@@ -130,7 +130,7 @@ def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int
 
     def meeting(left: DataFrame, right: DataFrame, carried: list[str]) -> DataFrame:
         """Pairs of neighbours; the right one's columns end in 2."""
-        wide = left.select(*keys, *carried, "_p", "time", "dm", "snr", "_time", "_dm", around.alias("_o"))
+        wide = left.select(*keys, "_p", "time", "dm", "snr", "_time", "_dm", around.alias("_o"))
         wide = wide.withColumn("_time", F.col("_time") + F.col("_o.a")).withColumn("_dm", F.col("_dm") + F.col("_o.b")).drop("_o")
         others = right.select(*keys, "_time", "_dm", *(F.col(c).alias(f"{c}2") for c in [*carried, "_p", "id", "time", "dm", "snr"]))
         near = F.lit(True)
@@ -155,8 +155,9 @@ def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int
     # a point needs itself only where no neighbour is asked for
     open_points = cell.filter("not _sure").drop("_sure")
     crowd = meeting(open_points, cell, []).groupBy("_p").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    core = cell.filter("_sure").drop("_sure").unionByName(open_points.join(crowd.select("_p"), "_p", "left_semi"))
-    cell = cell.drop("_sure")
+    crowd = materialize(crowd.select("_p"), "crowded")
+    core = cell.filter("_sure").drop("_sure").unionByName(open_points.join(crowd, "_p", "left_semi"))
+    rest = open_points.join(crowd, "_p", "left_anti")
     core = materialize(core.join(core.groupBy(*nodes).agg(F.min("_p").alias("_node")), nodes), "core-points")
     half = materialize(core.groupBy(*nodes).agg(F.first("_node").alias("_node")), "core-cells")
 
@@ -185,12 +186,11 @@ def core_clusters(points: DataFrame, eps: tuple[float, float, float], least: int
     # clusters by their first point; a row for each cluster, not for each point
     first = core.groupBy(*keys, "root").agg(F.min(F.struct(*place)).alias("first"))
     numbers = first.select("root", (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).alias("cluster"))
-    core = materialize(core.join(numbers, "root").select("_p", *keys, "id", "time", "dm", "snr", "_time", "_dm", "cluster"), "clustered")
-    rest = cell.join(core.select("_p"), "_p", "left_anti").withColumn("cluster", F.lit(-1))
+    needed = [c for c in ("_p", *keys, "id", "time", "dm", "snr", "_time", "_dm") if c not in columns]
+    core = materialize(core.join(numbers, "root").select(*columns, *needed, "cluster"), "clustered")
     reached = meeting(rest, core, ["cluster"]).groupBy("_p").agg(F.min_by("cluster2", F.struct("time2", "dm2", "id2")).alias("_border"))
-    kinds = core.select("_p", "cluster", F.lit(1).alias("type")).unionByName(reached.select("_p", F.col("_border").alias("cluster"), F.lit(0).alias("type")))
-    out = cell.join(kinds, "_p", "left")
-    return out.select(*columns, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"), F.coalesce("type", F.lit(-1)).cast("int").alias("type"))
+    border = rest.join(reached, "_p", "left").select(*columns, F.coalesce("_border", F.lit(-1)).cast("int").alias("cluster"), F.when(F.col("_border").isNull(), -1).otherwise(0).alias("type"))
+    return core.select(*columns, F.col("cluster").cast("int").alias("cluster"), F.lit(1).alias("type")).unionByName(border)
 
 
 def dm_histogram(points: DataFrame, keys: list[str], step: float) -> DataFrame:
