@@ -6,8 +6,12 @@ salutation. Each distinct entity gets a keyed replacement of its kind: the
 mention's punctuation, letter case and length classes stay, cards keep the
 digits that tell their network and their Luhn residue, IBANs keep country and
 valid check digits, names keep title, gender, script, hyphens and number of
-words. Mentions of one entity in any format get one surrogate (coreference).
-Names without a title or salutation are not detected.
+words. Mentions of one entity in any format get one surrogate (coreference); a
+name whose title tells no gender is the person of the same words whose gender
+another title tells, unless there are two. Possessive endings and particles
+("van", "de la") stay. An account number is as long as its country's are,
+whatever follows; its check digits need not be right, as a slip of the pen is
+no less personal. Names without a title or salutation are not detected.
 
 The key comes from the setting ``spark.pulsegrid.pii.key``. Where that is unset,
 a random one is drawn and kept for the session, as a key that is public would
@@ -46,21 +50,42 @@ NEUTRAL = ("Dr", "Prof")
 SALUTATIONS = ("Dear", "Hello", "Querido", "Querida", "Cher", "Chère", "Liebe", "Lieber", "Уважаемый", "Уважаемая")
 #: Labels of a domain name, which has no more by its standard.
 LABELS = 127
-#: Groups of four that are taken as one IBAN: lists of them without separators are replaced as a whole.
-IBAN_GROUPS = 60
-_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+#: The length of a bank account number (IBAN) by its country, as the public registry has them.
+IBAN_LENGTHS = """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27
+    GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
+    MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28
+    TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30
+"""
+#: Small words that a name's words may have before them; they stay.
+PARTICLES = ("van", "von", "vom", "zu", "zum", "zur", "der", "den", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "la", "le", "los", "las", "ten", "ter", "bin", "ibn", "al", "el")
+_UP, _LOW = r"\p{Lu}\p{Lt}", r"\p{L}\p{M}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: A capital, then letters, which an apostrophe may stand between.
-_WORD = f"[{_UP}](?:['’]?[{_UP}{_LOW}])++"
+#: A capital, then letters, which an apostrophe may stand between; a possessive ending is no part of it.
+_WORD = f"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}+[{_UP}](?:(?!['’][sS](?![{_LOW}]))['’]?[{_LOW}])++"
+
+
+def _ibans() -> str:
+    """Account numbers of each length, in groups of four or in one piece."""
+    by_length: dict[int, list[str]] = {}
+    for entry in IBAN_LENGTHS.split():
+        by_length.setdefault(int(entry[2:]) - 4, []).append(entry[:2])
+
+    def body(n: int) -> str:
+        return f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    return "|".join(f"(?:{'|'.join(countries)})[0-9]{{2}}{body(n)}" for n, countries in sorted(by_length.items()))
+
+
 #: In the order of their trial at a place.
 PATTERNS = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{0,{LABELS}}}\.[A-Za-z]{{2,}}+",
-    "iban": rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,{IBAN_GROUPS}}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_ibans()})(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z.])(?:[3-6][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|4[0-9]{12})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
-    "name": rf"(?<![{_UP}{_LOW}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {_WORD}|(?:{'|'.join(SALUTATIONS)}) (?!(?:{'|'.join(MALE + FEMALE + NEUTRAL)})[. ]){_WORD}[ -]{_WORD})(?:[ -]{_WORD})*+",
+    "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])\(0[0-9]{1,4}\) ?[0-9]{3,8}(?:[ -][0-9]{2,4}){0,2}(?![0-9A-Za-z])",
+    "name": rf"(?<![{_LOW}])(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {_WORD}|(?:{'|'.join(SALUTATIONS)}) (?!(?:{'|'.join(MALE + FEMALE + NEUTRAL)})[. ]){_WORD}[ -]{_WORD})(?:[ -]{_WORD})*+",
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention holds.
@@ -89,7 +114,7 @@ def entity_of(kind: Column, mention: Column) -> Column:
     phone = F.when(F.length(digits(mention)) > 10, F.right(digits(mention), F.lit(10))).otherwise(digits(mention))
 
     def titled(titles):
-        return mention.rlike(f"^(?:{'|'.join(titles)})(?![{_UP}{_LOW}])")
+        return mention.rlike(f"^(?:{'|'.join(titles)})(?![{_LOW}])")
 
     words = F.lower(F.translate(F.regexp_replace(mention, r"^\S+ ", ""), "-", " "))
     name = F.concat(F.when(titled(FEMALE), "f:").when(titled(MALE), "m:").otherwise("n:"), words)
@@ -174,18 +199,20 @@ def made_up_name(entity: Column, h: Column, grown: Column) -> Column:
         parts = choices.split(" ")
         return F.element_at(F.array(*map(F.lit, parts)), byte(h, i) % len(parts) + 1)
 
-    def word(script: str):
+    def word(script: str, first: Column):
         middle, male, female = SYLLABLES[script]
 
         def one(w, i):
-            more = F.slice(F.sequence(F.lit(12), F.lit(31)), F.lit(1), F.when(i == 0, grown).otherwise(0))
+            more = F.slice(F.sequence(F.lit(12), F.lit(31)), F.lit(1), F.when(i == first, grown).otherwise(0))
             base = F.concat(pick(middle, i * 4), pick(middle, i * 4 + 1), pick(middle, i * 4 + 2), F.array_join(F.transform(more, lambda j: pick(middle, j)), ""))
-            end = F.when((i == 0) & entity.startswith("f:"), pick(female, i * 4 + 3)).when((i == 0) & entity.startswith("n:"), "e").otherwise(pick(male, i * 4 + 3))
-            return F.concat(base, end)
+            end = F.when((i == first) & entity.startswith("f:"), pick(female, i * 4 + 3)).when((i == first) & entity.startswith("n:"), "e").otherwise(pick(male, i * 4 + 3))
+            return F.when(w.isin(*PARTICLES), w).otherwise(F.concat(base, end))
 
         return F.array_join(F.transform(words, one), " ")
 
-    return F.when(entity.rlike("[а-яё]"), word("cyrillic")).otherwise(word("latin"))
+    # the first word that isn't a particle
+    leading = F.size(F.split(F.regexp_extract(F.substr(entity, F.lit(3)), f"^(?:(?:{'|'.join(PARTICLES)}) )*", 0), " ")) - 1
+    return let(leading, lambda first: F.when(entity.rlike("[а-яё]"), word("cyrillic", first)).otherwise(word("latin", first)))
 
 
 def render(kind: Column, mention: Column, surrogate: Column) -> Column:
@@ -203,7 +230,7 @@ def render(kind: Column, mention: Column, surrogate: Column) -> Column:
 
     numbered = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: F.concat(s["out"], F.substr(plain, s["k"])))
     called = F.regexp_replace(mention, r"^\S+ ", "")
-    cased = F.zip_with(F.split(called, "[ -]"), F.split(F.substr(surrogate, F.lit(3)), " "), lambda m, s: F.when(F.upper(m) == m, F.upper(s)).otherwise(F.initcap(s)))
+    cased = F.zip_with(F.split(called, "[ -]"), F.split(F.substr(surrogate, F.lit(3)), " "), lambda m, s: F.when(F.upper(m) == m, F.upper(s)).when(F.lower(m) == m, s).otherwise(F.initcap(s)))
     marks = F.concat(F.regexp_extract_all(called, F.lit("[ -]"), 0), F.array(F.lit("")))
     name = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.array_join(F.zip_with(cased, marks, lambda w, m: F.concat(w, m)), ""))
     email = F.concat(*(x for k in (1, -1) for x in (like_case(F.substring_index(mention, "@", k), F.substring_index(surrogate, "@", k)), F.lit("@") if k == 1 else F.lit(""))))
@@ -252,6 +279,14 @@ def surrogate_table(entities: DataFrame, key: str | None = None) -> DataFrame:
     raise ValueError("a kind has too few surrogates for its entities")
 
 
+def coreferent(entities: DataFrame) -> DataFrame:
+    """(kind, entity, of): a name without a known gender is ``of`` the one with the same words whose gender is known, if that is one only."""
+    mark, words = F.left("entity", F.lit(2)), F.substr("entity", F.lit(3))
+    titled = entities.filter((F.col("kind") == "name") & (mark != "n:")).groupBy(words.alias("words")).agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
+    known = titled.filter(F.col("first") == F.col("last")).select(F.concat(F.lit("n:"), "words").alias("entity"), F.lit("name").alias("kind"), F.concat("first", "words").alias("named"))
+    return entities.join(known, ["kind", "entity"], "left").select("kind", "entity", F.coalesce("named", "entity").alias("of"))
+
+
 def replace_mentions(documents: DataFrame, key: str | None = None, column: str = "text", count: str | None = None) -> DataFrame:
     """``documents`` with surrogates in ``column``; ``count`` names a column for the number of mentions, whose old values go.
 
@@ -268,7 +303,9 @@ def replace_mentions(documents: DataFrame, key: str | None = None, column: str =
     found = held.select(F.col(mark).alias("key"), F.col(list_of).alias("mentions")).dropDuplicates(["key"])
     mentions = found.select("key", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
     mentions = materialize(mentions.withColumn("entity", entity_of(F.col("kind"), F.col("mention"))), "pii-mentions")
-    table = surrogate_table(mentions.select("kind", "entity").distinct(), key)
+    people = materialize(coreferent(mentions.select("kind", "entity").distinct()), "pii-people")
+    table = surrogate_table(people.select("kind", F.col("of").alias("entity")).distinct(), key)
+    table = people.join(table.withColumnRenamed("entity", "of"), ["kind", "of"]).select("kind", "entity", "surrogate")
     ready = mentions.join(table, ["kind", "entity"]).select("key", "at", render(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("put"))
     lists = ready.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "put"))).alias(reps)).withColumnRenamed("key", mark)
     pieces = F.zip_with(F.split(text, MENTION, -1), F.concat(F.transform(F.col(reps), lambda r: r["put"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b))

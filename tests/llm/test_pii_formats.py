@@ -2,6 +2,8 @@
 
 import re
 
+import regex
+
 from pulsegrid.llm import pii
 
 from .test_pairs import luhn
@@ -55,13 +57,13 @@ def test_whole_table_by_brute_force(spark):
     """All text outside mentions stays, mentions map one to one, and each is of its kind again."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     after = {r.doc_id: r for r in pii.replace_mentions(docs, count="n").collect()}
-    pattern = re.compile(pii.MENTION)
+    pattern = regex.compile(pii.MENTION)  # it names classes of letters
     seen: dict = {}
     for r in docs.collect():
         got, parts = after[r.doc_id], pattern.split(r.text or "")
         mentions = [m[0] for m in pattern.finditer(r.text or "")]
         assert got.n == len(mentions)
-        plain = re.sub(pattern, "\0", r.text or "").split("\0")
+        plain = pattern.sub("\0", r.text or "").split("\0")
         rest = got.text or ""
         for k, m in enumerate(mentions):
             assert rest.startswith(plain[k])
@@ -71,3 +73,39 @@ def test_whole_table_by_brute_force(spark):
             assert put != m and seen.setdefault(m, put) == put, (m, put)
         assert rest == plain[-1] and parts
     assert len(set(seen.values())) == len(seen)
+
+
+def test_an_account_ends_where_its_country_says(spark):
+    out = replaced(spark, "ES91 2100 0418 4502 0005 1332 CALL NOW", "ES9121000418450200051332 and ES91 2100 0418 4502 0005 1332.", "NO93 8601 1117 947 OK, MT84 MALT 0110 0001 2345 MTLC AST0 01S", " ".join(["DE89 3704 0044 0532 0130 00"] * 100))
+    assert re.fullmatch(r"ES\d\d( \d{4}){5} CALL NOW", out[0]) and "0418" not in out[0]
+    number = out[0][:29].replace(" ", "")
+    assert out[1] == f"{number} and {out[0][:29]}."
+    assert re.fullmatch(r"NO\d\d \d{4} \d{4} \d{3} OK, MT\d\d [A-Z]{4} \d{4} \d{4} \d{4} [A-Z]{4} [A-Z]{3}\d \d\d[A-Z]", out[2]) and "MALT" not in out[2]
+    assert len(set(re.findall("DE[0-9 ]{25}", out[3] + " "))) == 1 and "3704" not in out[3]
+
+
+#: The test's own idea of a person: title, then words with their particles.
+PERSON = r"(?:Mr|Mrs|Dr|Prof|Herr|Frau|Señora) ((?:[^\W\d_]+[ -]?)+)"
+
+
+def test_one_person_has_one_name(spark):
+    """Possessives, titles that tell no gender, other alphabets and particles."""
+    out = replaced(spark, "Mr Smith met Mr Smith's sister; Dr Smith’s car.", "Mr John Smith, Dr John Smith, Prof. John Smith", "Dr Jane Roe; Mrs Jane Roe, Frau Jane Roe", "Dr Kim Lee, Mr Kim Lee, Mrs Kim Lee", "Mr Łukasz Nowak; Herr Łukasz Nowak. Mr Žižek", "Mr van Dyke, Mr Vincent van der Berg", "Mr O'Brien's and Mr James' and Mr O'Brien")
+    first = re.fullmatch(r"Mr (\w+) met Mr (\w+)'s sister; Dr (\w+)’s car\.", out[0])
+    assert first and len(set(first.groups())) == 1 and "Smith" not in out[0]
+    for k in (1, 2):
+        names = {n.strip(" ") for n in re.findall(PERSON, out[k].replace(". ", " "))}
+        assert len(names) == 1 and not names & {"John Smith", "Jane Roe"}, out[k]
+    doctor, mister, missis = (x.split(" ", 1)[1] for x in out[3].split(", "))
+    assert len({doctor, mister, missis}) == 3
+    a, b = re.findall(r"(?:Mr|Herr) (\w+ \w+)[;.]", out[4])
+    assert a == b and not re.search("Łukasz|Nowak|Žižek", out[4])
+    assert re.fullmatch(r"Mr van [A-Z][a-z]+, Mr [A-Z][a-z]+ van der [A-Z][a-z]+", out[5]) and not re.search("Dyke|Vincent|Berg", out[5])
+    brien, james, again = re.fullmatch(r"Mr (\w+)'s and Mr (\w+)' and Mr (\w+)", out[6]).groups()
+    assert brien == again != james
+
+
+def test_numbers_with_area_codes(spark):
+    out = replaced(spark, "call (030) 1234567 or (0711) 123 45 67; not (2020) 1234567 or (030)")
+    assert re.fullmatch(r"call \(\d{3}\) \d{7} or \(\d{4}\) \d{3} \d\d \d\d; not \(2020\) 1234567 or \(030\)", out[0])
+    assert "1234567" not in out[0][:20]
