@@ -8,10 +8,10 @@ document's score follows.
 
 Learning: all labelled rows outside the held-out fold are used, in one pass;
 texts that are equal but for case and white space count once for each label,
-and no other row is left out. Counts are
-kept for 2^20 values of each of two hashes of a feature (a word, or its first
-four or five letters), so the model has a fixed size however large the corpus
-is; a feature leans only if both its hashes do.
+and no other row is left out. Each feature (a
+word, or its first four or five letters) is counted under 64 bits of hash,
+however many there are; counts stay on the executors, and the model holds the
+features that lean.
 
 Defined results: a null or empty text has no segment and p-value 1, hence the
 lowest score; without any toxic or any clean training row every score is 0;
@@ -30,9 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, is_held_out, materialize, read_table
+from .common import arrow_map, chunks, held_out, is_held_out, materialize, read_table
 
-BUCKETS = 1 << 20
 PREFIXES = (4, 5)
 EDGES = " .,;:!?\"'()[]{}|*$%&#-_<>=/\\"
 WORDS_KEPT = 250_000
@@ -45,9 +44,10 @@ LEAST_LOG_ODDS = 1.0
 COSTS = (0.02, 0.05, 0.1, 0.2)
 
 
-def buckets(name: bytes) -> tuple[int, int]:
-    """Two hashes of a feature's name."""
-    return zlib.crc32(name) % BUCKETS, BUCKETS + zlib.crc32(name[::-1]) % BUCKETS
+def feature(name: bytes) -> int:
+    """64 bits that stand for a feature's name."""
+    value = zlib.crc32(name) << 32 | zlib.crc32(name[::-1])
+    return value - (value >> 63 << 64)
 
 
 def names(token: str) -> list[bytes]:
@@ -102,8 +102,7 @@ class Model:
         self.prefix: dict[str, float] = {}
 
     def lean(self, name: bytes) -> float:
-        a, b = buckets(name)
-        return min(self.weight.get(a, 0.0), self.weight.get(b, 0.0))
+        return self.weight.get(feature(name), 0.0)
 
     def leaning(self, token: str) -> float:
         """The largest log-odds of a token's features that lean, or 0. Prefixes are few and kept apart."""
@@ -200,34 +199,37 @@ def leanings(text_rows: DataFrame) -> dict[int, float]:
         import pyarrow as pa
 
         known: dict[str, bytes] = {}
-        for batch in batches:
+        for part in (p for batch in batches for p in chunks(batch, 2048)):
             found: tuple[list, list] = ([], [])
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 tokens = set(text.split())
                 if len(known) > WORDS_KEPT // 2:
                     known.clear()
                 for t in tokens:
                     if t not in known:
-                        known[t] = np.array([h for name in names(t) for h in buckets(name)], "<i4").tobytes()
-                found[0 if toxic else 1].append(np.unique(np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<i4")))
+                        known[t] = np.array([feature(name) for name in names(t)], "<i8").tobytes()
+                found[0 if toxic else 1].append(np.unique(np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<i8")))
             for k in (0, 1):
                 if found[k]:
-                    feature, n = np.unique(np.concatenate(found[k]), return_counts=True)
+                    features, n = np.unique(np.concatenate(found[k]), return_counts=True)
                     none = np.zeros(len(n), np.int64)
-                    columns = [feature.astype(np.int32), *((n, none) if k == 0 else (none, n))]
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["feature", "toxic", "clean"])
+                    yield pa.RecordBatch.from_arrays([pa.array(features), *map(pa.array, (n, none) if k == 0 else (none, n))], names=["feature", "toxic", "clean"])
 
     size = dict(text_rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
-    counts = text_rows.mapInArrow(run, "feature int, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # at most 2 * BUCKETS rows, whatever the corpus; features that don't lean stay on the executors
-    leaning = counts.filter("toxic >= 3").filter(F.col("toxic") * F.lit(n_clean) > F.col("clean") * F.lit(n_toxic)).toPandas()
-    t, c = leaning["toxic"].to_numpy(float), leaning["clean"].to_numpy(float)
-    delta, ratio = log_odds(t, c, n_toxic, n_clean)
-    keep = (ratio >= LEAST_RATIO) & (delta >= LEAST_LOG_ODDS)
-    return dict(zip(leaning["feature"].to_numpy()[keep].tolist(), delta[keep].tolist()))
+    counts = text_rows.mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+    def lean(frames):
+        for f in frames:
+            delta, ratio = log_odds(f["toxic"].to_numpy(float), f["clean"].to_numpy(float), n_toxic, n_clean)
+            yield f.assign(delta=delta)[(ratio >= LEAST_RATIO) & (delta >= LEAST_LOG_ODDS)][["feature", "delta"]]
+
+    # those that lean alone come to the driver
+    often = counts.filter("toxic >= 3").filter(F.col("toxic") * F.lit(n_clean) > F.col("clean") * F.lit(n_toxic))
+    found = often.mapInPandas(lean, "feature long, delta double").toPandas()
+    return dict(zip(found["feature"].tolist(), found["delta"].tolist()))
 
 
 def text_digest(text: Column) -> Column:

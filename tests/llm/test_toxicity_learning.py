@@ -30,7 +30,7 @@ def test_learning_by_plain_counts(spark):
         if is_held_out(i):
             continue
         size[label] += 1
-        for f in {h for t in text.split() for n in toxicity.names(t) for h in toxicity.buckets(n)}:
+        for f in {toxicity.feature(n) for t in text.split() for n in toxicity.names(t)}:
             counts.setdefault(f, [0, 0])[label] += 1
     want = {}
     for f, (clean, toxic) in counts.items():
@@ -45,7 +45,7 @@ def test_learning_by_plain_counts(spark):
             want[f] = odds
     assert want and model.weight.keys() == want.keys() and all(abs(model.weight[f] - v) < 1e-9 for f, v in want.items())
     for _, text in docs[:50]:
-        scores = [max([min(want.get(a, 0.0), want.get(b, 0.0)) for a, b in map(toxicity.buckets, toxicity.names(t))], default=0.0) or -model.cost for t in text.split()]
+        scores = [max([want.get(toxicity.feature(n), 0.0) for n in toxicity.names(t)], default=0.0) or -model.cost for t in text.split()]
         best = max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=0.0)
         p = 1 - math.exp(-model.scale * len(scores) * math.exp(-model.rate * best))
         expected = 1 / (1 + p / math.exp(model.level)) if best > 0 else 0.0
