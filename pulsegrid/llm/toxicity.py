@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,6 +101,10 @@ class Model:
         self.known: dict[str, float] = {}
         self.prefix: dict[str, float] = {}
 
+    def fresh(self) -> Model:
+        """The same model with empty caches, for one task: those of a broadcast model would live as long as its worker."""
+        return replace(self)
+
     def lean(self, name: bytes) -> float:
         return self.weight.get(feature(name), 0.0)
 
@@ -259,8 +263,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
         return None
     shared = documents.sparkSession.sparkContext.broadcast(Model(weight, 0.0, 1.0, 1.0, 0.0))
 
+    own: list[Model] = []
+
     def rows(texts, toxic):
-        m = shared.value
+        if not own:
+            own.append(shared.value.fresh())
+        m = own[0]
         for text, label in zip(texts, toxic):
             lean = m.leanings(text)
             for k, cost in enumerate(COSTS):
@@ -298,9 +306,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
 def toxicity(documents: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages, worst_log_p) of every whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    own: list[Model | None] = []
 
     def rows(ids, texts):
-        m = shared.value
+        if not own:
+            own.append(shared.value and shared.value.fresh())
+        m = own[0]
         for i, text in zip(ids, texts):
             text = text or ""
             score = m.score(text) if m else 0.0
@@ -324,7 +335,7 @@ def without_toxic(documents: DataFrame, model: Model | None, threshold: float =
     at = documents.columns.index("text")
 
     def run(batches):
-        m = shared.value
+        m = shared.value and shared.value.fresh()
         for batch in batches:
             yield batch.filter(pa.array([not m or m.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
