@@ -18,10 +18,7 @@ from .registry import BAND, BUFFER, EPS, KEYS, clusters, query, r
 @query("detect_threshold_matlab", ["dd"], ", s AS (SELECT beam, avg(value) AS m, stddev_samp(value) AS s FROM dd GROUP BY 1) SELECT beam, dm_idx, t, value FROM dd JOIN s USING (beam) WHERE value > m + s * 3.5")
 def detect_threshold_matlab(spark, d):
     """Points above the mean of the beam's whole plane by 3.5 sample deviations."""
-    plane = search.dedisperse(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d))
-    # a row for each beam
-    stats = plane.groupBy("beam").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    return plane.join(stats, "beam").filter(F.col("value") > F.col("m") + F.col("s") * 3.5).select("beam", "dm_idx", "t", "value")
+    return search.above_beam(search.plane(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d)), 3.5)
 
 
 @query("detect_threshold_single", ["dd"], ", s AS (SELECT beam, dm_idx, t // 1024 AS chunk, avg(value) AS m, stddev_pop(value) AS s FROM dd GROUP BY 1, 2, 3), f AS (SELECT beam, dm_idx, t, list_sort(list(value) OVER w) AS l FROM dd WINDOW w AS (PARTITION BY beam, dm_idx ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT f.beam, f.dm_idx, t, l[3] AS value, round((l[3] - m) / s.s, 5) AS snr FROM f JOIN s ON s.beam = f.beam AND s.dm_idx = f.dm_idx AND s.chunk = t // 1024 WHERE len(l) = 5 AND f.dm_idx * 2.0 > 1.0 AND l[3] - m >= s.s * 1.5")

@@ -25,11 +25,11 @@ def samples(spark: SparkSession, sf_dir: str) -> int:
 
 
 def voltages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series, chan, re, im): 32 complex channels of each vector."""
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("series"), F.posexplode("embedding").alias("pos", "e"))
-    e = e.withColumn("e", F.col("e").cast("double"))
-    part = F.col("pos") % 2
-    return e.groupBy("series", F.floor(F.col("pos") / 2).cast("int").alias("chan")).agg(F.max(F.when(part == 0, F.col("e"))).alias("re"), F.max(F.when(part == 1, F.col("e"))).alias("im"))
+    """(series, chan, re, im): 32 complex channels of each vector, whose pairs are taken from the array, without a shuffle."""
+    e = F.col("embedding").cast("array<double>")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(e) - 1, F.lit(2)), lambda k: F.struct(F.element_at(e, k).alias("re"), F.element_at(e, k + 1).alias("im")))
+    made = read(spark, sf_dir, "embeddings").filter(F.size("embedding") > 1).select(F.col("vec_id").alias("series"), F.posexplode(pairs).alias("chan", "v"))
+    return made.select("series", "chan", F.col("v.re").alias("re"), F.col("v.im").alias("im"))
 
 
 def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,8 +290,8 @@ def median_filter(spark, d):
 @query("detrend_normalise", ["dd"], ", f AS (SELECT beam, dm_idx, regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM dd GROUP BY 1, 2), q AS (SELECT beam, dm_idx, t, value - a * t - b AS residual FROM dd JOIN f USING (beam, dm_idx)), m AS (SELECT beam, dm_idx, sqrt(avg(residual * residual)) AS rms FROM q GROUP BY 1, 2) SELECT beam, dm_idx, t, round(residual / rms, 5) AS normal FROM q JOIN m USING (beam, dm_idx)")
 def detrend_normalise(spark, d):
     """Each dedispersed series without its trend, over its deviation."""
-    plane = search.dedisperse(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d))
-    return search.detrend(plane, ["beam", "dm_idx"], "t", "value").select("beam", "dm_idx", "t", r("normal", 5).alias("normal"))
+    plane = search.plane(inputs.filterbank(spark, d), BAND, inputs.samples(spark, d))
+    return search.detrend_plane(plane).withColumn("normal", r("normal", 5))
 
 
 for _width in (2, 3, 4, 6, 9, 14, 20, 30, 45, 70, 100, 150):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.dispersion import DISPERSION, Band, dm_shift, shifts
+from pulsegrid.shared import materialize
 
 from . import blocks
 from .blocks import SIZE, dedispersed
@@ -38,9 +39,10 @@ def samples(fb: DataFrame) -> int:
     return 0 if last is None else last + 1
 
 
-def cells(plane: DataFrame) -> DataFrame:
-    """(beam, dm_idx, t, value) from rows of arrays."""
-    return plane.select("beam", "dm_idx", "start", F.posexplode("value").alias("at", "value")).select("beam", "dm_idx", (F.col("start") + F.col("at")).alias("t"), "value")
+def cells(plane: DataFrame, *more: str) -> DataFrame:
+    """(beam, dm_idx, t, value), and the columns ``more``, from rows of arrays."""
+    made = plane.select("beam", "dm_idx", "start", *more, F.posexplode("value").alias("at", "value"))
+    return made.select("beam", "dm_idx", (F.col("start") + F.col("at")).alias("t"), "value", *more)
 
 
 def one_row(beam: int, trial: int, start: int, value: np.ndarray) -> dict:
@@ -316,6 +318,31 @@ def median_forward(rows: DataFrame, beams: int, samples: int, width: int = 5, si
     return blocks.series(rows, beams, samples, size, smooth, 0, width - 1)
 
 
+def detrend_plane(plane: DataFrame) -> DataFrame:
+    """(beam, dm_idx, t, normal): each series of a plane without its least-squares line, over its root mean square.
+
+    The plane's arrays are written once. One aggregation gives a row for each of the instrument's beams and trials, the
+    line and the root mean square of what it leaves, which is broadcast to the arrays: no cell is shuffled or joined.
+    """
+    plane = materialize(plane, "plane")
+    y, x = F.col("value"), F.col("t")
+    fit = cells(plane).groupBy("beam", "dm_idx").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icpt"), F.sqrt((F.regr_syy(y, x) - F.regr_slope(y, x) * F.regr_sxy(y, x)) / F.count("*")).alias("rms"))
+    normal = F.transform("value", lambda v, i: (v - F.col("slope") * (F.col("start") + i) - F.col("icpt")) / F.col("rms"))
+    found = plane.join(F.broadcast(fit), ["beam", "dm_idx"]).select("beam", "dm_idx", "start", normal.alias("value"))
+    return cells(found).withColumnRenamed("value", "normal")
+
+
+def above_beam(plane: DataFrame, sigmas: float) -> DataFrame:
+    """(beam, dm_idx, t, value): cells above the mean of their beam's whole plane by ``sigmas`` sample deviations.
+
+    The plane's arrays are written once; a row for each beam is broadcast to them.
+    """
+    plane = materialize(plane, "plane")
+    stats = cells(plane).groupBy("beam").agg((F.avg("value") + F.stddev_samp("value") * sigmas).alias("least"))
+    high = plane.join(F.broadcast(stats), "beam").filter(F.exists("value", lambda v: v > F.col("least")))
+    return cells(high.select("beam", "dm_idx", "start", "value", "least"), "least").filter(F.col("value") > F.col("least")).drop("least")
+
+
 def detrend(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Residuals of each series' least-squares line, over their root mean square.
 

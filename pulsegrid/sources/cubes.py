@@ -5,6 +5,10 @@ whole records; tasks read theirs and unpack them. A row holds some records of
 one file: ``sample`` is the first one's number and ``values`` all of theirs, and
 the header's numbers stand beside them. A last record that is cut off is dropped.
 
+With the option ``concat``, files are pieces of one recording in the order of
+their names: sample numbers go on from file to file, by sums of the lengths of
+those before, which the driver knows from their sizes.
+
 Formats (option ``format``): ``filterbank`` (keyword header), ``raw`` (none:
 options ``nchans``, ``nbits``), ``folded`` (trials, step, sampling time, period,
 bins, then repeated profiles of each trial) and ``beams`` (a line of text with
@@ -43,6 +47,7 @@ class Range(InputPartition):
     at: int
     first: int
     records: int
+    base: int = 0
 
 
 def header(data: bytes, kind: str, options: dict) -> tuple[dict, int]:
@@ -84,6 +89,7 @@ class CubeReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         limit = int(self.options.get("rangebytes", RANGE_BYTES))
+        concat, base = self.options.get("concat", "false").lower() == "true", 0
         for path, size in files(self.options["path"]):
             system, name = fs.FileSystem.from_uri(path)
             with system.open_input_file(name) as f:
@@ -92,7 +98,8 @@ class CubeReader(DataSourceReader):
             step = 8 // np.gcd(bits, 8)  # records that fill whole bytes
             records = (size - at) * 8 // bits
             each = max(int(step), int(limit * 8 // bits // step * step))
-            out += [Range(path, head, at, k, min(each, records - k)) for k in range(0, records, each)]
+            out += [Range(path, head, at, k, min(each, records - k), base) for k in range(0, records, each)]
+            base += records if concat else 0
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -106,7 +113,7 @@ class CubeReader(DataSourceReader):
                 data = f.read_at(-(-n * bits // 8), part.at + k * bits // 8)
                 values = unpack(data, part.head["nbits"])[: n * record]
                 known = [part.head.get(c) for c in ("fch1", "foff", "tsamp", "tstart", "dm_step", "period")]
-                row = [part.path, *known, part.head.get("nchans", 1), max(1, part.head.get("nbeams", 1)), k, values]
+                row = [part.path, *known, part.head.get("nchans", 1), max(1, part.head.get("nbeams", 1)), part.base + k, values]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, ARROW)], schema=ARROW)
 
 

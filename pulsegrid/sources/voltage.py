@@ -1,22 +1,34 @@
-"""Readers of voltage files: packed two-bit, signed byte pairs, and float pairs.
-
-Files with headers among their blocks are read by Spark's binary reader, one
-row of it a file (2 GB at most); each leaves as one row for a channel and block of
-samples with arrays ``re`` and ``im``. Float pairs without headers can be read by
-ranges with ``cubes.read_raw`` as twice the channels of 32 bits.
+"""Readers of voltage files by byte ranges: packed two-bit with card headers, signed byte pairs, and float pairs.
+
+Each row holds a channel and block of samples with arrays ``re`` and ``im``. Many
+tasks read one file. Files of pairs are cut into ranges of whole blocks. Files
+with a header before each block are indexed first: the driver seeks from one
+header to the next, by the block's size that each tells, and reads no block; a
+task then reads some channels of one block. With ``concat`` files are pieces of
+one recording, in the order of their names, and blocks are numbered on from file
+to file. A block or record that is cut off is dropped. Files lie wherever Arrow's
+file systems reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .cubes import RANGE_BYTES, files
 
 #: The levels that the four codes of a two-bit sample stand for.
 LEVELS = (-3.335875, -1.0, 1.0, 3.335875)
 CARD = 80
 SCHEMA = "path string, pol int, chan int, block long, re array<float>, im array<float>"
+ARROW = pa.schema([("path", pa.string()), ("pol", pa.int32()), ("chan", pa.int32()), ("block", pa.int64()), ("re", pa.list_(pa.float32())), ("im", pa.list_(pa.float32()))])
+HEADER_BYTES = 1 << 14
 
 
 def read_cards(data: bytes, at: int = 0) -> tuple[dict[str, str], int]:
@@ -38,64 +50,121 @@ def two_bit(data: bytes) -> np.ndarray:
     return np.asarray(LEVELS, "<f4")[((raw[:, None] >> np.arange(0, 8, 2)) & 3).ravel()]
 
 
-def card_blocks(data: bytes):
-    """(pol, chan, block, re, im) of a file of header and block pairs; a block that is cut off is dropped."""
-    at, block = 0, 0
-    while at < len(data):
-        head, at = read_cards(data, at)
-        size, channels = int(head["BLOCSIZE"]), int(head["OBSNCHAN"])
-        if at + size > len(data):
-            return
-        if int(head["NBITS"]) != 2:
-            raise ValueError("only two-bit samples are supported")
-        # channel by channel; a byte holds re and im of both polarisations
-        cube = two_bit(data[at : at + size]).reshape(channels, -1, 4)
-        for c in range(channels):
+@dataclass
+class Piece(InputPartition):
+    """Channels of one block of cards, or blocks of pairs."""
+
+    path: str
+    at: int
+    channels: int
+    first: int
+    count: int
+    block: int
+    size: int = 0
+
+
+def card_index(path: str, size: int) -> Iterator[tuple[int, int, int]]:
+    """(where a block begins, its bytes, channels) of each whole block of a file."""
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        at = 0
+        while at < size:
+            room, head = HEADER_BYTES, None
+            while head is None:
+                data = f.read_at(min(room, size - at), at)
+                try:
+                    head, start = read_cards(data)
+                except ValueError:
+                    if len(data) == size - at:
+                        raise
+                    room *= 4
+            if int(head["NBITS"]) != 2:
+                raise ValueError("only two-bit samples are supported")
+            length = int(head["BLOCSIZE"])
+            if at + start + length > size:
+                return
+            yield at + start, length, int(head["OBSNCHAN"])
+            at += start + length
+
+
+class VoltageReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = dict(options)
+        self.kind = self.options["kind"]
+        self.channels, self.block = int(self.options.get("channels", 1)), int(self.options.get("block", 4096))
+
+    def partitions(self) -> list[Piece]:
+        out, base = [], 0
+        limit, concat = int(self.options.get("rangebytes", RANGE_BYTES)), self.options.get("concat", "false").lower() == "true"
+        for path, size in files(self.options["path"]):
+            number = 0
+            if self.kind == "cards":
+                for at, length, channels in card_index(path, size):
+                    each = max(1, limit // max(1, length // channels))
+                    out += [Piece(path, at, channels, c, min(each, channels - c), base + number, length // channels) for c in range(0, channels, each)]
+                    number += 1
+            else:
+                width = np.dtype(self.kind).itemsize * 2 * self.channels
+                records = size // width
+                each = max(1, limit // (width * self.block)) * self.block
+                out += [Piece(path, k * width, self.channels, 0, min(each, records - k), base + k // self.block) for k in range(0, records, each)]
+                number = -(-records // self.block)
+            base += number if concat else 0
+        return out
+
+    def read(self, part: Piece) -> Iterator[pa.RecordBatch]:
+        system, name = fs.FileSystem.from_uri(part.path)
+        with system.open_input_file(name) as f:
+            for row in self.cards(f, part) if self.kind == "cards" else self.pairs(f, part):
+                yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip((part.path, *row), ARROW)], schema=ARROW)
+
+    def cards(self, f, part: Piece) -> Iterator[tuple]:
+        """Channel by channel; a byte holds re and im of both polarisations."""
+        for c in range(part.first, part.first + part.count):
+            values = two_bit(f.read_at(part.size, part.at + c * part.size)).reshape(-1, 4)
             for p in (0, 1):
-                yield p, c, block, cube[c, :, 2 * p], cube[c, :, 2 * p + 1]
-        at, block = at + size, block + 1
-
-
-def pair_blocks(kind: str, channels: int, block: int):
-    """A reader of (re, im) pairs of one numpy type, channel fastest."""
+                yield p, c, part.block, values[:, 2 * p], values[:, 2 * p + 1]
 
-    def read(data: bytes):
-        width = np.dtype(kind).itemsize * 2 * channels
-        cube = np.frombuffer(data[: len(data) // width * width], kind).reshape(-1, channels, 2).astype("<f4")
-        for k, b in enumerate(range(0, len(cube), block)):
-            for c in range(channels):
-                yield 0, c, k, cube[b : b + block, c, 0], cube[b : b + block, c, 1]
+    def pairs(self, f, part: Piece) -> Iterator[tuple]:
+        width = np.dtype(self.kind).itemsize * 2 * part.channels
+        for k in range(0, part.count, self.block):
+            data = f.read_at(min(self.block, part.count - k) * width, part.at + k * width)
+            cube = np.frombuffer(data, self.kind).reshape(-1, part.channels, 2).astype("<f4")
+            for c in range(part.channels):
+                yield 0, c, part.block + k // self.block, cube[:, c, 0], cube[:, c, 1]
 
-    return read
 
+class VoltageSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "pulsegrid_voltages"
 
-def read_voltages(spark: SparkSession, path: str, blocks: Callable) -> DataFrame:
-    """(path, pol, chan, block, re, im) of all files under ``path``."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    def schema(self) -> str:
+        return SCHEMA
 
-    def run(batches):
-        import pyarrow as pa
+    def reader(self, schema) -> VoltageReader:
+        return VoltageReader(self.options)
 
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float32())]
-        names = ["path", "pol", "chan", "block", "re", "im"]
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for row in blocks(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((name, *row), kinds)], names=names)
 
-    return files.mapInArrow(run, SCHEMA)
+def read_voltages(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    """``SCHEMA`` rows of all files under ``path``; ``kind`` is ``cards`` or the numpy type of pairs."""
+    spark.dataSource.register(VoltageSource)
+    reader = spark.read.format("pulsegrid_voltages").option("kind", kind)
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load(path)
 
 
-def guppi(spark: SparkSession, path: str) -> DataFrame:
+def guppi(spark: SparkSession, path: str, **options) -> DataFrame:
     """Two-bit, two-polarisation files with card headers."""
-    return read_voltages(spark, path, card_blocks)
+    return read_voltages(spark, path, "cards", **options)
 
 
-def byte_pairs(spark: SparkSession, path: str, channels: int = 1, block: int = 4096) -> DataFrame:
+def byte_pairs(spark: SparkSession, path: str, channels: int = 1, block: int = 4096, **options) -> DataFrame:
     """Signed bytes re, im."""
-    return read_voltages(spark, path, pair_blocks("<i1", channels, block))
+    return read_voltages(spark, path, "<i1", channels=channels, block=block, **options)
 
 
-def float_pairs(spark: SparkSession, path: str, channels: int, block: int = 4096) -> DataFrame:
+def float_pairs(spark: SparkSession, path: str, channels: int, block: int = 4096, **options) -> DataFrame:
     """32-bit floats re, im, channel fastest."""
-    return read_voltages(spark, path, pair_blocks("<f4", channels, block))
+    return read_voltages(spark, path, "<f4", channels=channels, block=block, **options)
