@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import dispersion
 from pulsegrid.operators import cluster, search, spectra
 from pulsegrid.operators.search import Pass
 
@@ -50,3 +51,15 @@ def subtractive_centres(spark, d):
     """All centres of subtractive clustering of each beam and buffer."""
     out = cluster.subtractive_centres(inputs.detection_points(spark, d), EPS, ["beam", "buffer"])
     return out.select("beam", "buffer", "id", r("potential").alias("potential"), r("ratio").alias("ratio"))
+
+
+_SNR = "CASE WHEN {w} < width * 20.0 THEN sqrt((width * 20.0 - {w}) / {w}) ELSE 0.0 END"
+_OFF = "sqrt(width * width + (8.3e6 * abs({o}) * (20.0 / (408.0 * 408.0 * 408.0))) * (8.3e6 * abs({o}) * (20.0 / (408.0 * 408.0 * 408.0))))"
+
+
+@query("optimal_dmstep", ["points"], f", w AS (SELECT DISTINCT (floor(abs(snr)) + 1.0) / 10.0 AS width FROM points), s AS (SELECT width, max(s) AS s FROM (SELECT width, 100.0 * pow(0.6, k.i) AS s FROM w, range(60) k(i)) WHERE {_OFF.format(o='s')} < width * 20.0 GROUP BY 1), y AS (SELECT width, i.i AS i, s * (i.i * 2 - 499) / 499.0 AS off FROM s, range(500) i(i)), v AS (SELECT *, {_SNR.format(w=_OFF.format(o='off'))} AS snr FROM y), m AS (SELECT width, max(snr) AS top FROM v GROUP BY 1) SELECT width, round(arg_max(abs(off), i), 6) AS step FROM v JOIN m USING (width) WHERE snr > 0.95 * top GROUP BY 1")
+def optimal_dmstep(spark, d):
+    """For each width of pulse, the widest step of trial measures that keeps 95 % of its snr."""
+    width = (F.floor(F.abs("snr")) + 1.0) / 10.0
+    w = inputs.detection_points(spark, d).filter(F.col("snr").isNotNull()).select(width.alias("width")).distinct()
+    return w.select("width", r(dispersion.optimal_step(F.col("width"), 20.0, 408.0)).alias("step"))
