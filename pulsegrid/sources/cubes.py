@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .filterbank import read_header, unpack
 
@@ -81,26 +81,28 @@ def files(path: str) -> Iterator[tuple[str, int]]:
         yield (f"{scheme}{f.path}" if scheme == "file://" or not scheme else path[: path.index(base)] + f.path), f.size
 
 
-class CubeReader(DataSourceReader):
+class Cubes:
+    """What the table and the stream share: how files are cut, and how a range is read."""
+
     def __init__(self, options: dict):
         self.options = dict(options)
         self.kind = self.options.get("format", "filterbank")
+        self.limit = int(self.options.get("rangebytes", RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
-        out = []
-        limit = int(self.options.get("rangebytes", RANGE_BYTES))
-        concat, base = self.options.get("concat", "false").lower() == "true", 0
-        for path, size in files(self.options["path"]):
-            system, name = fs.FileSystem.from_uri(path)
-            with system.open_input_file(name) as f:
-                head, at = header(f.read_at(min(size, HEADER_BYTES), 0), self.kind, self.options)
-            bits = head["record"] * head["nbits"]
-            step = 8 // np.gcd(bits, 8)  # records that fill whole bytes
-            records = (size - at) * 8 // bits
-            each = max(int(step), int(limit * 8 // bits // step * step))
-            out += [Range(path, head, at, k, min(each, records - k), base) for k in range(0, records, each)]
-            base += records if concat else 0
-        return out
+    def whole(self, path: str, size: int) -> tuple[dict, int, int, int]:
+        """A file's numbers, where its records begin, how many there are, and how many fill whole bytes."""
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as f:
+            head, at = header(f.read_at(min(size, HEADER_BYTES), 0), self.kind, self.options)
+        bits = head["record"] * head["nbits"]
+        return head, at, (size - at) * 8 // bits, int(8 // np.gcd(bits, 8))
+
+    def cut(self, path: str, size: int, base: int = 0, first: int = 0, last: int | None = None) -> list[Range]:
+        """Ranges of a file's records from ``first`` on, to ``last`` or its end."""
+        head, at, records, step = self.whole(path, size)
+        records = records if last is None else min(last, records)
+        each = max(step, self.limit * 8 // (head["record"] * head["nbits"]) // step * step)
+        return [Range(path, head, at, k, min(each, records - k), base) for k in range(first, records, each)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         system, name = fs.FileSystem.from_uri(part.path)
@@ -117,6 +119,47 @@ class CubeReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, ARROW)], schema=ARROW)
 
 
+class CubeReader(Cubes, DataSourceReader):
+    def partitions(self) -> list[Range]:
+        out, base = [], 0
+        for path, size in files(self.options["path"]):
+            out += self.cut(path, size, base)
+            if self.options.get("concat", "false").lower() == "true":
+                base += self.whole(path, size)[2]
+        return out
+
+
+class CubeStream(Cubes, DataSourceStreamReader):
+    """Files as they grow: the offset is the name of the last file and how many of its records were read.
+
+    Files sort by name and only the last one grows. A record that is half there waits; a file whose header is half
+    there has no records yet.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"file": "", "record": 0}
+
+    def latestOffset(self) -> dict:
+        found = list(files(self.options["path"]))
+        if not found:
+            return self.initialOffset()
+        path, size = found[-1]
+        try:
+            _, _, records, step = self.whole(path, size)
+        except (ValueError, struct.error):
+            records, step = 0, 1
+        return {"file": path, "record": records // step * step}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for path, size in files(self.options["path"]):
+            if start["file"] <= path <= end["file"]:
+                last = end["record"] if path == end["file"] else None
+                if last != 0:
+                    out += self.cut(path, size, 0, start["record"] if path == start["file"] else 0, last)
+        return out
+
+
 class CubeSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -128,6 +171,9 @@ class CubeSource(DataSource):
     def reader(self, schema) -> CubeReader:
         return CubeReader(self.options)
 
+    def streamReader(self, schema) -> CubeStream:
+        return CubeStream(self.options)
+
 
 def read_cubes(spark: SparkSession, path: str, kind: str = "filterbank", **options) -> DataFrame:
     """``SCHEMA`` rows of all files under ``path``."""
@@ -138,6 +184,15 @@ def read_cubes(spark: SparkSession, path: str, kind: str = "filterbank", **optio
     return reader.load(path)
 
 
+def stream_cubes(spark: SparkSession, path: str, kind: str = "filterbank", **options) -> DataFrame:
+    """The same as a stream that follows files while they are written; sample numbers start at 0 in each."""
+    spark.dataSource.register(CubeSource)
+    reader = spark.readStream.format("pulsegrid_cubes").option("format", kind)
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load(path)
+
+
 def samples(cubes: DataFrame) -> DataFrame:
     """(path, beam, sample, chan, power) of filterbank and raw records, in which beams lie one after another."""
     at, record = F.col("at"), F.col("nchans") * F.col("nbeams")

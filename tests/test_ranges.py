@@ -57,3 +57,27 @@ def test_samples_go_on_over_files(spark, tmp_path):
 
     assert read("cut", concat="true") == read("whole") == sorted((s, c, float(values[s, c])) for s in range(100) for c in range(4))
     assert max(r[0] for r in read("cut")) == 65
+
+
+def test_files_that_grow(spark, tmp_path):
+    """A stream that goes on where it stopped reads each record once, whole ones only, also over headers that are half there."""
+    from pulsegrid.shared import scratch
+    from pulsegrid.sources.writers import header
+
+    values = np.random.default_rng(4).integers(0, 256, (90, 4), dtype=np.uint8)
+    head = header(source_name="x", fch1=400.0, foff=-1.0, tsamp=0.01, nchans=4, nbits=8, nifs=1)
+    folder, state, out = tmp_path / "live", scratch(spark, "live-state"), scratch(spark, "live")
+    folder.mkdir()
+    one = head + values[:60].tobytes()
+    cuts = [(0, len(head) - 5), (len(head) - 5, len(head) + 42), (len(head) + 42, len(head) + 81), (len(head) + 81, len(one))]
+    for k in range(5):
+        if k < 4:
+            with open(folder / "a.fil", "ab") as f:
+                f.write(one[cuts[k][0] : cuts[k][1]])
+        else:
+            (folder / "b.fil").write_bytes(head + values[60:].tobytes() + b"x")
+        stream = cubes.samples(cubes.stream_cubes(spark, str(folder), records=8))
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    found = sorted((r.path[-5:], r.sample, r.chan, r.power) for r in spark.read.parquet(out).collect())
+    want = [("a.fil", s, c, float(values[s, c])) for s in range(60) for c in range(4)] + [("b.fil", s, c, float(values[60 + s, c])) for s in range(30) for c in range(4)]
+    assert found == sorted(want)
