@@ -35,6 +35,8 @@ def is_held_out(doc_id: int | None) -> bool:
 
 #: Bytes of input that a chunk holds, unless one row alone has more.
 CHUNK_BYTES = 8 << 20
+#: Bytes of a batch that Spark sends to Python, where ``bounded_batches`` holds.
+BATCH_BYTES = 4 << 20
 
 
 def chunks(batch: pa.RecordBatch, rows: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -52,6 +54,16 @@ def chunks(batch: pa.RecordBatch, rows: int, size: int = CHUNK_BYTES) -> Iterato
     yield batch.slice(first)
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound the bytes of the batches that Spark sends to Python from now on in this session, where it has no bound.
+
+    Ten thousand whole texts, Spark's default, would lie several times over in the executor and in each worker.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, size)
+
+
 def arrow_map(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str, chunk: int = 512) -> DataFrame:
     """Apply ``rows(*columns)`` to lists of up to ``chunk`` input values; it yields output tuples.
 

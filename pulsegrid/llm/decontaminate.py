@@ -23,25 +23,28 @@ of its rows that matches; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import chunks, read_table
 
 Q = 10
 EDIT_SHARE = 0.08
 LEAST_CHARS = 40
 BLOCK_CHARS = 4_000_000
-CHUNK_CHARS = 2_000_000
+#: Characters that are searched as one array, unless one text alone has more; its q-grams take some 60 bytes each meanwhile.
+CHUNK_CHARS = 500_000
+#: Rows that are read from a batch at once, at most; ``chunks`` bounds their bytes.
+ROWS = 1024
 FILTER_BITS = 22
 #: Item places of a q-gram beyond which it is set aside.
 HOT_PLACES = 64
 #: Shared q-grams that are counted at once.
-HITS = 4_000_000
+HITS = 1_000_000
 #: Diagonals of neighbouring bands that are verified together.
 MERGED = 4096
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
@@ -269,7 +272,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def matches(source: DataFrame, shared) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, ROWS, CHUNK_CHARS)):
             rows = search_batch(shared.value, batch.column(0).to_pylist(), batch.column(1).to_pylist())
             kinds = [pa.int64()] * 4 + [pa.int32()]
             columns = list(zip(*rows)) or [[]] * 5
@@ -289,15 +292,19 @@ def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def without(documents: DataFrame, shared) -> DataFrame:
     """Rows whose text matches no item of a block; decided where the row is read, so nothing is shuffled."""
-    names = documents.columns
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            bad = {row[0] for row in search_batch(shared.value, list(range(len(texts))), texts)}
-            yield batch.filter(pa.array([k not in bad for k in range(len(texts))], pa.bool_()))
-
-    return documents.mapInArrow(run, documents.schema)
+    at = documents.columns.index("text")
+    return documents.mapInArrow(lambda batches: clean_rows(shared.value, batches, at), documents.schema)
+
+
+def clean_rows(index: Index, batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Each batch's rows whose text, in column ``at``, matches no item; a few texts are held beside the batch."""
+    for batch in batches:
+        keep: list[bool] = []
+        for part in chunks(batch.select([at]), ROWS, CHUNK_CHARS):
+            texts = part.column(0).to_pylist()
+            bad = {row[0] for row in search_batch(index, list(range(len(texts))), texts)}
+            keep += [k not in bad for k in range(len(texts))]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

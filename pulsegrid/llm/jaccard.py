@@ -37,7 +37,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -61,7 +60,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 class Hashes(dict):
-    """64-bit hashes of words; emptied when it has grown too large."""
+    """64-bit hashes of words; emptied when it has grown too large. Each task has its own, which ends with it."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > WORDS_KEPT:
@@ -70,17 +69,12 @@ class Hashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> Hashes:
-    return Hashes()
-
-
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS, known: Hashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of word shingles. Bytes' lower() and split() are ASCII's, as is wanted."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    code = np.fromiter(map(word_hashes().__getitem__, tokens), np.uint64, len(tokens))
+    code = np.fromiter(map((Hashes() if known is None else known).__getitem__, tokens), np.uint64, len(tokens))
     width = min(words, len(code))
     n = len(code) - width + 1
     h = np.full(n, width, np.uint64)
@@ -124,9 +118,11 @@ def dropped_column(n: Column) -> Column:
 def sets(documents: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, set_key, head): head has the set's least hashes, prefix and slack."""
 
+    known = Hashes()  # a task gets a copy
+
     def rows(ids, keys, texts):
         for i, k, text in zip(ids, keys, texts):
-            s = shingle_set(text)
+            s = shingle_set(text, known=known)
             n = len(s)
             head = s[: prefix(n) + slack(n)].view(np.int64).tolist() if n else []
             yield i, k, n, set_key(s) if n else None, head
@@ -294,9 +290,10 @@ def grouped_links(rows: DataFrame, columns: list[str], of_group: Callable) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * 5, kinds)], names=["block", "own", "a", "b", "degree"])
 
         found: list[tuple] = []
+        known = Hashes()
         at = [names.index(c) for c in columns]
         for _, group in groupby(read(batches), key=lambda r: [r[k] for k in at]):
-            found += of_group([dict(zip(names, r)) for r in group])
+            found += of_group([dict(zip(names, r)) for r in group], known)
             if len(found) > 10_000:
                 yield out(found)
                 found = []
@@ -305,9 +302,9 @@ def grouped_links(rows: DataFrame, columns: list[str], of_group: Callable) -> Da
     return rows.repartition(*columns).sortWithinPartitions(*columns).mapInArrow(run, LINKS)
 
 
-def within_chunks(rows: list[dict]) -> list[tuple]:
+def within_chunks(rows: list[dict], known: Hashes | None = None) -> list[tuple]:
     """Links that join the components of one chunk. A chunk of a block that was cut names the root of every set, and its pivot."""
-    found = {r["set_key"]: shingle_set(r["text"]) for r in rows}
+    found = {r["set_key"]: shingle_set(r["text"], known=known) for r in rows}
     keys, first = list(found), rows[0]
     roots, pivot = link_all(list(found.values()))
     cut = first["chunks"] > 1
@@ -320,7 +317,7 @@ def within_chunks(rows: list[dict]) -> list[tuple]:
     return out
 
 
-def to_queries(rows: list[dict]) -> list[tuple]:
+def to_queries(rows: list[dict], known: Hashes | None = None) -> list[tuple]:
     """Links between a chunk's sets and the queries that came to it."""
     sets: dict[bytes, np.ndarray] = {}
     asked: dict[bytes, bool] = {}
@@ -328,7 +325,7 @@ def to_queries(rows: list[dict]) -> list[tuple]:
     for r in rows:
         k = r["set_key"]
         if k not in sets:
-            sets[k] = shingle_set(r["text"])
+            sets[k] = shingle_set(r["text"], known=known)
         asked[k] = asked.get(k, False) or r["asks"]
         inside[k] = inside.get(k, False) or r["inside"]
     keys = list(sets)

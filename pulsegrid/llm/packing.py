@@ -23,18 +23,19 @@ import re
 import struct
 import zlib
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, read_table
-from .tokens import BYTE_LETTERS, PIECES_KEPT, PLAIN, load, tokenizer_path
+from .tokens import BYTE_LETTERS, PLAIN, load, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 0
 WIDTH = 4
+#: Entries that a task keeps of pieces, and of words; then it starts anew.
+PIECES_KEPT = 300_000
 #: With white space beside a space, the tokenizer may join across it; and special strings start so.
 APART = ("<|", "  ", " \n", "\n ", "\t", "\v", "\f", "\r")
 #: The tokenizer's split into words, for the characters of ``PLAIN``.
@@ -99,11 +100,6 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def cut(length: int, capacity: int = CAPACITY) -> list[int]:
     """The lengths of a document's pieces, each of a class: longest first."""
     out = [capacity] * (length // capacity)
@@ -129,8 +125,9 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
 
         task = TaskContext.get()
         if state.get("task") != task.taskAttemptId():
-            state.update(task=task.taskAttemptId(), ranks={})
-        ranks, part, encode = state["ranks"], task.partitionId(), encoder(path).encode
+            # the encoder's entries end with the task: in the worker they would stay beside whatever it runs next
+            state.update(task=task.taskAttemptId(), ranks={}, encode=Encoder(path).encode)
+        ranks, part, encode = state["ranks"], task.partitionId(), state["encode"]
         end = END_ID.to_bytes(WIDTH, "little")
         for i, text in zip(ids, texts):
             tokens = encode(text or "") + end

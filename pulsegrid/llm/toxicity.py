@@ -337,6 +337,7 @@ def without_toxic(documents: DataFrame, model: Model | None, threshold: float =
     def run(batches):
         m = shared.value and shared.value.fresh()
         for batch in batches:
-            yield batch.filter(pa.array([not m or m.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            texts = (t for part in chunks(batch.select([at]), 512) for t in part.column(0).to_pylist())
+            yield batch.filter(pa.array([not m or m.score(t or "") < threshold for t in texts], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
