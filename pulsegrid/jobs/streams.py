@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import search
-from pulsegrid.shared import materialize, scratch
+from pulsegrid.shared import materialize, materialize_by, scratch
 from pulsegrid.sources import packets
 from pulsegrid.streaming import carried
 
@@ -18,20 +18,28 @@ from . import inputs
 from . import filters  # noqa: F401  (cluster_ids has the SQL of its stream)
 from .registry import BAND, BUFFER, KEYS, ORACLE_SQL, clusters, query, r
 
-#: Batches that a table is streamed in.
+#: Batches that a table is streamed in, at least.
 BATCHES = 3
+#: Rows of a batch, about: a key's rows of one batch are in memory together.
+BATCH_ROWS = 1 << 20
 
 
 def in_batches(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` as a stream of ``BATCHES`` files, which follow each other in ``order``."""
+    """``rows`` as a stream of files that follow each other in ``order``, of ``BATCH_ROWS`` rows at most but for what quantiles miss.
+
+    Their number grows with the table, not their size. Rows of one place stay together.
+    """
     spark: SparkSession = rows.sparkSession
-    rows, path = materialize(rows, "stream-source"), scratch(spark, "stream")
+    rows, path = materialize(rows.filter(F.col(order).isNotNull()), "stream-source"), scratch(spark, "stream")
+    batches = max(BATCHES, -(-rows.count() // BATCH_ROWS))
     # one row
-    ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = 0 if ends.a is None else (ends.b - ends.a) // BATCHES + 1
-    for k in range(BATCHES):
-        part = rows.filter(F.col(order).between((ends.a or 0) + k * width, (ends.a or 0) + (k + 1) * width - 1))
-        part.coalesce(1).write.mode("append").parquet(path)
+    cuts = rows.agg(F.percentile_approx(order, [k / batches for k in range(1, batches)], 100 * batches).alias("cuts")).first().cuts
+    cuts = sorted(set(cuts or []))
+    batch = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    staged = materialize_by(rows.withColumn("_batch", batch), "_batch", "stream-batches")
+    # a source takes files in the order in which they were written
+    for k in range(len(cuts) + 1):
+        staged.filter(F.col("_batch") == k).drop("_batch").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

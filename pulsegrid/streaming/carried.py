@@ -80,14 +80,17 @@ def carried(stream: DataFrame, step: Step) -> DataFrame:
 
 @contextmanager
 def stored(spark: SparkSession) -> Iterator[None]:
-    """Streams that start here keep their state where arrays fit."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    """Streams that start here keep their state where arrays fit, in a store for each core at most: a store is opened in each batch, and takes memory even if it is empty."""
+    most = spark.sparkContext.defaultParallelism
+    new = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))}
+    old = {name: spark.conf.get(name, None) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def run(stream: DataFrame, step: Step, finish: bool = True) -> DataFrame:
