@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.dispersion import Band
 from pulsegrid.jobs import streams
+from pulsegrid.operators import search
 from pulsegrid.streaming import carried
 
 SCHEMA = "beam int, sample long, chan int, power double"
@@ -48,3 +50,14 @@ def test_no_more_stores_than_cores(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_dedispersed_batches_equal_the_plane(spark, monkeypatch, tmp_path):
+    """A series of many batches, each shorter than a block and its edge, gives what the batch operator does."""
+    monkeypatch.setattr(streams, "BATCH_ROWS", 120, raising=False)
+    band = Band(channels=4, beams=2, dms=5)
+    rows = spark.range(2000).selectExpr("cast(id % 2 as int) beam", "id div 8 sample", "cast(id div 2 % 4 as int) chan", "cast(id * 7919 % 50 as double) power")
+    stream = streams.in_batches(rows, "sample")
+    assert len(batches(spark, stream, tmp_path)) == 17
+    found = {(r.beam, r.dm_idx, r.t): r.value for r in search.cells(carried.run(stream, carried.DedisperseStep(band, 64))).collect()}
+    assert found == {(r.beam, r.dm_idx, r.t): r.value for r in search.dedisperse(rows, band, 250).collect()} and len(found) > 2000
